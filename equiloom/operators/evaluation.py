@@ -52,7 +52,7 @@ def scores_at(calendar: DataFrame, scores: DataFrame, columns: list[str]) -> Dat
 
 def pick_weights(scored: DataFrame, score: str, n: int, size: str | None = None) -> DataFrame:
     """Top ``n`` per rebalance date with equal weights, or weights from a size column."""
-    order = [F.round(score, 6).desc(), F.asc("symbol")]
+    order = [F.round(score, 8).desc(), F.asc("symbol")]
     top = top_per_group(scored.where(F.col(score).isNotNull()), ["rebalance_date"], order, n, "pick_no")
     if size is None:
         return top.withColumn("weight", F.lit(1.0 / n))
@@ -201,7 +201,7 @@ def grid_daily_returns(scored: DataFrame, bars: DataFrame, calendar: DataFrame,
     window, so every day is computed once per combination and frequency.
     """
     sizes, frequencies = PORTFOLIO_GRID[strategy]
-    order = [F.round("score", 6).desc(), F.asc("symbol")]
+    order = [F.round("score", 8).desc(), F.asc("symbol")]
     picks = top_per_group(scored.where(F.col("score") > 0), ["rebalance_date", "combo"], order, max(sizes), "pick_no")
     counts = picks.groupBy("rebalance_date", "combo").agg(F.count("*").alias("_picked"))
     numbered = picks.join(counts, ["rebalance_date", "combo"]).join(
@@ -404,7 +404,8 @@ def attribution_report(held: DataFrame) -> DataFrame:
     parts = [alpha_beta(daily), brinson(held).where("sector = 'TOTAL'").drop("sector"), position_concentration(held)]
     row = growth.withColumn("excess_return", F.col("total_return") - F.col("benchmark_return"))
     for part in parts:
-        row = row.withColumns({name: part.select(name).scalar() for name in part.columns})
+        found = part.select(F.struct(*part.columns)).scalar()
+        row = row.withColumns({name: found[name] for name in part.columns})
     return row
 
 

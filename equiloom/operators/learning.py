@@ -91,7 +91,8 @@ def evaluate_predictions(scored: DataFrame, target: str = "target", predicted: s
         F.avg(((F.col("_p") > 0) == (F.col("_y") > 0)).cast("int")).alias("directional_accuracy"), F.count("*").alias("samples"),
     )
     spread = exact_quantiles(known.select(F.abs(e).alias("_e")), "_e", {"median_error": 0.5, "p90_error": 0.9})
-    return facts.withColumns({n: spread.select(n).scalar() for n in spread.columns})
+    both = spread.select(F.struct(*spread.columns)).scalar()
+    return facts.withColumns({n: both[n] for n in spread.columns})
 
 
 SIGNAL_BINS = [(-0.05, "STRONG_SELL"), (-0.02, "SELL"), (0.02, "HOLD"), (0.05, "BUY")]

@@ -86,7 +86,9 @@ def dividend_changes(yearly: DataFrame) -> DataFrame:
     before = F.lag("total_dividend").over(by_symbol("year"))
     moved = yearly.withColumns({"prev_dividend": before, "prev_year": F.lag("year").over(by_symbol("year"))})
     gap = F.col("total_dividend") - F.col("prev_dividend")
-    direction = F.when(gap > 0, 1).when(gap == 0, 0).otherwise(-1)
+    # Yearly sums of cents can be equal on paper and differ in the last bit.
+    moved_by = F.round(gap, 9)
+    direction = F.when(moved_by > 0, 1).when(moved_by == 0, 0).otherwise(-1)
     return moved.withColumns({
         "dividend_change": gap, "growth_rate": ratio(gap, F.col("prev_dividend")) * 100, "direction": direction
     })

@@ -311,11 +311,11 @@ def outperformance(bars: DataFrame, bench: DataFrame, universe: DataFrame, as_of
              *[closes(m).alias(f"_then_{m}") for m in OUTPERFORMANCE_MONTHS]]
     stock = traded.groupBy("symbol").agg(*picks)
     market = bench.where(c("trade_date") <= as_of).agg(*picks)
-    market = market.select(*[change(c("_now"), c(f"_then_{m}")).alias(f"sp_{m}") for m in OUTPERFORMANCE_MONTHS])
-    market_return = {m: market.select(f"sp_{m}").scalar() for m in OUTPERFORMANCE_MONTHS}
+    market_return = market.select(F.struct(
+        *[change(c("_now"), c(f"_then_{m}")).alias(f"m{m}") for m in OUTPERFORMANCE_MONTHS])).scalar()
     rows = stock.select(
         "symbol", *[change(c("_now"), c(f"_then_{m}")).alias(f"stock_return_{m}m") for m in OUTPERFORMANCE_MONTHS],
-        *[market_return[m].alias(f"market_return_{m}m") for m in OUTPERFORMANCE_MONTHS],
+        *[market_return[f"m{m}"].alias(f"market_return_{m}m") for m in OUTPERFORMANCE_MONTHS],
     )
     rows = rows.withColumns({
         f"relative_return_{m}m": c(f"stock_return_{m}m") - c(f"market_return_{m}m") for m in OUTPERFORMANCE_MONTHS

@@ -1,6 +1,8 @@
 """All registered queries; importing this module fills the registry."""
 
-from equiloom.plans import oracle_views, queries_scores  # noqa: F401
+from equiloom.plans import (  # noqa: F401
+    oracle_views, queries_scores, queries_market, queries_evaluation, queries_series, queries_portfolio,
+)
 from equiloom.plans.registry import QUERIES, oracle, run
 
 __all__ = ["QUERIES", "oracle", "run"]

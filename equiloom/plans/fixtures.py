@@ -72,7 +72,8 @@ class Inputs:
 
     @cached_property
     def as_of(self) -> Column:
-        return newest_value(self.bars, "trade_date")
+        """Newest day in the source: a one-column scan, without building the bars."""
+        return self.table("lineitem").agg(F.max(F.to_date("l_shipdate"))).scalar()
 
     @cached_property
     def fundamentals_q(self) -> DataFrame:
@@ -222,7 +223,7 @@ class Inputs:
         parts = ("value_score", "growth_score", "dividend_score", "momentum_score")
         mean = sum((F.coalesce(p, F.lit(50.0)) for p in parts), F.lit(0.0)) / len(parts)
         fscore = F.least(F.lit(9), F.floor(F.coalesce("value_score", F.lit(50.0)) / 10)).cast("int")
-        return scored.withColumns({"composite_score": F.round(mean, 6), "fscore": fscore})
+        return scored.withColumns({"composite_score": F.round(mean, 8), "fscore": fscore})
 
     @cached_property
     def queue(self) -> DataFrame:

@@ -57,7 +57,7 @@ SELECT c_custkey AS account_id, c_custkey AS client_id,
   abs(c_acctbal) AS cash_balance, c_custkey % 3 <> 0 AS stop_loss_enabled, 5.0 + c_custkey % 10 AS stop_loss_pct,
   c_custkey % 7 <> 0 AS automated_trading_active
 FROM customer""")
-view("today", "SELECT max(trade_date) AS d FROM bars")
+view("today", "SELECT max(CAST(l_shipdate AS date)) AS d FROM lineitem")
 view("elig", "SELECT * FROM universe WHERE market_cap >= 2e9 AND country = 'USA' AND security_type = 'Common Stock'")
 view("last_price", "SELECT symbol, arg_max(close, trade_date) AS current_price FROM bars GROUP BY 1")
 view("overview", """
@@ -94,7 +94,7 @@ SELECT s.symbol, signal_date, round(greatest(0, least(100, 50 + margin * 300)),
   round(margin * 100, 6) AS earnings_growth
 FROM score_base s ASOF LEFT JOIN momentum_bars b ON s.symbol = b.symbol AND s.signal_date >= b.trade_date""")
 view("score_history", """
-SELECT *, round((coalesce(value_score, 50) + coalesce(growth_score, 50) + coalesce(dividend_score, 50) + coalesce(momentum_score, 50)) / 4, 6) AS composite_score,
+SELECT *, round((coalesce(value_score, 50) + coalesce(growth_score, 50) + coalesce(dividend_score, 50) + coalesce(momentum_score, 50)) / 4, 8) AS composite_score,
   least(9, CAST(floor(coalesce(value_score, 50) / 10) AS int)) AS fscore
 FROM score_parts""")
 view("queue", """
@@ -194,7 +194,7 @@ SELECT h.symbol, latest_date, cash_flow_per_share, dividends_per_share, capex_pe
 FROM ecf_hist h JOIN ecf_fit f ON h.symbol = f.symbol WHERE row_no = 1 AND h.symbol IN (SELECT symbol FROM elig)""")
 view("div_change", """
 SELECT *, total_dividend - prev_dividend AS dividend_change, (total_dividend - prev_dividend) / nullif(prev_dividend, 0) * 100 AS growth_rate,
-  CASE WHEN total_dividend - prev_dividend > 0 THEN 1 WHEN total_dividend - prev_dividend = 0 THEN 0 ELSE -1 END AS direction,
+  CASE WHEN round(total_dividend - prev_dividend, 9) > 0 THEN 1 WHEN round(total_dividend - prev_dividend, 9) = 0 THEN 0 ELSE -1 END AS direction,
   row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS rn, max(year) OVER (PARTITION BY symbol) AS newest
 FROM (SELECT *, lag(total_dividend) OVER (PARTITION BY symbol ORDER BY year) AS prev_dividend FROM div_year)""")
 view("streaks", """

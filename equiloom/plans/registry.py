@@ -33,7 +33,7 @@ def _layout(text: str) -> tuple[tuple[str, int | None, bool], ...]:
     out = []
     for item in text.split():
         name, star, places, money = COLUMN.match(item).groups()
-        out.append((name, 4 if money else int(places or 6) if star else None, bool(money)))
+        out.append((name, 6 if money else int(places or 6) if star else None, bool(money)))
     return tuple(out)
 
 

@@ -26,7 +26,7 @@ def duck(directory: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and np.isnan(value)):
         return None
     if isinstance(value, (list, tuple, np.ndarray)):
         return tuple(plain(v) for v in value)
@@ -35,7 +35,7 @@ def plain(value):
     if isinstance(value, bool | np.bool_):
         return bool(value)
     if isinstance(value, (int, float, np.integer, np.floating)) or type(value).__name__ == "Decimal":
-        return round(float(value), 6) + 0.0
+        return round(float(value), 8) + 0.0
     return value
 
 

@@ -6,17 +6,17 @@ scores known by then, and its weighted daily return runs from the bar after the
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from equiloom.functions.expressions import change, compounded, ratio
+from equiloom.functions.expressions import compounded, ratio
 from equiloom.functions.frames import top_per_group
 from equiloom.functions.ranking import exact_quantiles
 from equiloom.operators.aggregates import concentration, share_of_total
 from equiloom.operators.joins import as_of_join, in_period
 from equiloom.operators.series import daily_returns
+from equiloom.session import checkpointed
 
 RISK_FREE = 0.03
 FREQUENCIES = {"monthly": "INTERVAL 1 MONTH", "quarterly": "INTERVAL 3 MONTHS", "annual": "INTERVAL 1 YEAR", "weekly": "INTERVAL 7 DAYS"}
@@ -50,14 +50,26 @@ def scores_at(calendar: DataFrame, scores: DataFrame, columns: list[str]) -> Dat
     return as_of_join(asked, scores, "symbol", "rebalance_date", "signal_date", columns)
 
 
-def pick_weights(scored: DataFrame, score: str, n: int, size: str | None = None) -> DataFrame:
-    """Top ``n`` per rebalance date with equal weights, or weights from a size column."""
-    order = [F.round(score, 8).desc(), F.asc("symbol")]
-    top = top_per_group(scored.where(F.col(score).isNotNull()), ["rebalance_date"], order, n, "pick_no")
+STRATEGY_SCORES = {"VALUE": "value_score", "GROWTH": "growth_score", "DIVIDEND": "dividend_score", "BALANCED": "composite_score"}
+
+
+def pick_weights(scored: DataFrame, n: int = 10, size: str | None = None) -> DataFrame:
+    """Top ``n`` per strategy and rebalance date, all strategies in one pass.
+
+    Weights are equal, or shares of a size column. The result has at most ``n`` rows per
+    strategy and date; it is stored, since returns and turnover both read it.
+    """
+    entries = [F.struct(F.lit(s).alias("strategy"), F.col(c).alias("score")) for s, c in STRATEGY_SCORES.items()]
+    sizes = [size] if size else []
+    rows = scored.select("symbol", "rebalance_date", *sizes, F.explode(F.array(*entries)).alias("_e")).select(
+        "symbol", "rebalance_date", *sizes, "_e.*").where(F.col("score").isNotNull())
+    order = [F.round("score", 8).desc(), F.asc("symbol")]
+    top = top_per_group(rows, ["strategy", "rebalance_date"], order, n, "pick_no")
     if size is None:
-        return top.withColumn("weight", F.lit(1.0 / n))
-    sized = top.withColumn("_size", F.coalesce(size, F.lit(0.05)))
-    return share_of_total(sized, ["rebalance_date"], "_size").drop("_size")
+        weighed = top.withColumn("weight", F.lit(1.0 / n))
+    else:
+        weighed = share_of_total(top.withColumn("_size", F.coalesce(size, F.lit(0.05))), ["strategy", "rebalance_date"], "_size")
+    return checkpointed(weighed.select("strategy", "rebalance_date", "symbol", "score", "weight", "pick_no"))
 
 
 def turnover(picks: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -98,18 +110,6 @@ def strategy_returns(picks: DataFrame, bars: DataFrame, calendar: DataFrame, day
     return charged.withColumn("net_return", F.col("gross_return") - F.col("cost"))
 
 
-STRATEGY_SCORES = {"VALUE": "value_score", "GROWTH": "growth_score", "DIVIDEND": "dividend_score", "BALANCED": "composite_score"}
-
-
-def all_picks(scored: DataFrame, n: int = 10, size: str | None = None) -> DataFrame:
-    parts = [
-        pick_weights(scored, column, n, size).select(
-            F.lit(name).alias("strategy"), "rebalance_date", "symbol", F.col(column).alias("score"), "weight", "pick_no")
-        for name, column in STRATEGY_SCORES.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def performance_stats(returns: DataFrame, value: str = "net_return") -> DataFrame:
     """Total and annual return, risk and win rate per strategy (population deviation)."""
     r, c = F.col(value), F.col
@@ -249,6 +249,8 @@ def _window_sharpe(returns: DataFrame, windows: DataFrame, days: DataFrame, star
 def walk_forward(returns: DataFrame, windows: DataFrame, days: DataFrame, strategy: str) -> DataFrame:
     """Best training parameters per window and how they did on the following test window."""
     keys = ["combo", "num_stocks", "rebalance_freq"]
+    # Combinations x trading days: fixed by the grid and the calendar, read once per side.
+    returns = checkpointed(returns)
     trained = _window_sharpe(returns, windows, days, "train_start", "train_end", keys, "train")
     best = F.max_by(F.struct(*keys, "train_return", "train_sharpe"),
                     F.struct("train_sharpe", -F.col("combo"), -F.col("num_stocks"), F.col("rebalance_freq") == "monthly"))
@@ -257,7 +259,7 @@ def walk_forward(returns: DataFrame, windows: DataFrame, days: DataFrame, strate
     rows = windows.join(chosen, "train_start").join(tested, ["train_start", *keys], "left")
     rows = rows.withColumn("test_sharpe", F.coalesce("test_sharpe", F.lit(0.0))).withColumns(grid_columns(strategy, F.col("combo")))
     gap = F.col("train_sharpe") - F.col("test_sharpe")
-    return rows.withColumns({"sharpe_degradation": gap, "parameter_stability": F.abs(gap)})
+    return checkpointed(rows.withColumns({"sharpe_degradation": gap, "parameter_stability": F.abs(gap)}))
 
 
 def parameters_json(best: DataFrame, strategy: str) -> DataFrame:
@@ -336,6 +338,7 @@ def factor_attribution(held: DataFrame) -> DataFrame:
 
     Medians over all positions come from a distributed sort, not from one big group.
     """
+    held = checkpointed(held)
     medians = {f: exact_quantiles(held, f, {"m": 0.5}).scalar() for f in FACTORS}
     r = F.col("daily_return")
 
@@ -399,6 +402,7 @@ def alpha_beta(daily: DataFrame, minimum: int = 20) -> DataFrame:
 
 def attribution_report(held: DataFrame) -> DataFrame:
     """One summary row; every part is a single row read as scalar subqueries."""
+    held = checkpointed(held)  # five parts read it
     daily = portfolio_daily(held)
     growth = daily.agg(compounded(F.col("portfolio")).alias("total_return"), compounded(F.col("benchmark")).alias("benchmark_return"))
     parts = [alpha_beta(daily), brinson(held).where("sector = 'TOTAL'").drop("sector"), position_concentration(held)]
@@ -407,7 +411,3 @@ def attribution_report(held: DataFrame) -> DataFrame:
         found = part.select(F.struct(*part.columns)).scalar()
         row = row.withColumns({name: found[name] for name in part.columns})
     return row
-
-
-def year_change(now: Column, before: Column) -> Column:
-    return change(now, before) * 100

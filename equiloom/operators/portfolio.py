@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from equiloom.functions.expressions import change, clamp, ratio
 from equiloom.functions.frames import top_per_group
-from equiloom.functions.ranking import numbered, tied_rank
+from equiloom.functions.ranking import tied_rank
 from equiloom.operators.aggregates import annual_fundamentals
 from equiloom.operators.filters import eligible_universe
 from equiloom.operators.joins import star_join
@@ -117,43 +117,48 @@ def portfolio_scores(universe: DataFrame, excess: DataFrame, value: DataFrame, g
 
 
 def capped_selection(df: DataFrame, score: str, n: int = 10, per_sector: int = 3, per_industry: int = 2,
-                     key: str = "symbol") -> DataFrame:
-    """Best-first pick of ``n`` rows with at most so many per sector and per industry.
+                     key: str = "symbol", group: str | None = None) -> DataFrame:
+    """Best-first pick of ``n`` rows (per ``group``) with at most so many per sector and industry.
 
     Below the ``per_industry`` best of its (sector, industry) a row can never be picked: each
     better one was either picked or met a cap that is still full. So only those few rows per
     pair — a number set by the classification, not by the symbols — reach the ordered fold,
     which applies both caps exactly, also where an industry spans sectors.
     """
+    if group is None:
+        df, group = df.withColumn("_group", F.lit(1)), "_group"
     order = [F.round(score, 6).desc_nulls_last(), F.col(key).asc()]
-    few = top_per_group(df, ["sector", "industry"], order, per_industry, "_place")
+    few = top_per_group(df, [group, "sector", "industry"], order, per_industry, "_place")
     fields = F.struct((-F.round(score, 6)).alias("_order"), F.col(key), "sector", "industry", F.col(score))
-    candidates = few.agg(F.array_sort(F.collect_list(fields)).alias("_all"))
+    candidates = few.groupBy(group).agg(F.array_sort(F.collect_list(fields)).alias("_all"))
 
     def pick(taken: Column, row: Column) -> Column:
-        same_sector = F.size(F.filter(taken, lambda t: t["sector"] == row["sector"]))
-        same_industry = F.size(F.filter(taken, lambda t: t["industry"] == row["industry"]))
+        same_sector = F.size(F.filter(taken, lambda t: t["sector"].eqNullSafe(row["sector"])))
+        same_industry = F.size(F.filter(taken, lambda t: t["industry"].eqNullSafe(row["industry"])))
         fits = (F.size(taken) < n) & (same_sector < per_sector) & (same_industry < per_industry)
         return F.when(fits, F.array_append(taken, row)).otherwise(taken)
 
     empty = F.filter("_all", lambda row: F.lit(False))
-    picked = candidates.select(F.posexplode(F.aggregate("_all", empty, pick)).alias("_pos", "_row"))
-    return picked.select(f"_row.{key}", "_row.sector", "_row.industry", f"_row.{score}",
-                         (F.col("_pos") + 1).alias("selection_rank"))
+    picked = candidates.select(group, F.posexplode(F.aggregate("_all", empty, pick)).alias("_pos", "_row"))
+    return picked.select(group, f"_row.{key}", "_row.sector", "_row.industry", f"_row.{score}",
+                         (F.col("_pos") + 1).alias("selection_rank")).drop("_group")
 
 
 MIN_EXCESS_PCT = {"VALUE": 20, "GROWTH": 40, "DIVIDEND": 30}
 MIN_DIVIDEND_SCORE = 60
 
 
-def select_portfolio(scores: DataFrame, portfolio: str, n: int = 10) -> DataFrame:
-    kept = scores.where(F.col("excess_cash_flow_pct") >= MIN_EXCESS_PCT[portfolio])
-    if portfolio == "DIVIDEND":
-        kept = kept.where(F.col("dividend_score") >= MIN_DIVIDEND_SCORE)
-    score = f"{portfolio.lower()}_score"
-    picked = capped_selection(kept, score, n)
-    return picked.select(F.lit(portfolio).alias("portfolio_type"), "symbol", "sector", "industry",
-                         F.col(score).alias("selection_score"), "selection_rank")
+def select_portfolio(scores: DataFrame, portfolios: tuple[str, ...] = PORTFOLIOS, n: int = 10) -> DataFrame:
+    """Capped picks of each portfolio among the symbols that pass its minimums, in one pass."""
+    def entry(name: str) -> Column:
+        fits = F.col("excess_cash_flow_pct") >= MIN_EXCESS_PCT[name]
+        if name == "DIVIDEND":
+            fits = fits & (F.col("dividend_score") >= MIN_DIVIDEND_SCORE)
+        return F.when(fits, F.struct(F.lit(name).alias("portfolio_type"), F.col(f"{name.lower()}_score").alias("selection_score")))
+
+    entered = scores.select("symbol", "sector", "industry", F.explode(F.array_compact(F.array(*map(entry, portfolios)))).alias("_e"))
+    rows = entered.select("symbol", "sector", "industry", "_e.*")
+    return capped_selection(rows, "selection_score", n, group="portfolio_type")
 
 
 def rebalance(old: DataFrame, new: DataFrame, scores: DataFrame, score: str) -> DataFrame:
@@ -200,20 +205,25 @@ KELLY_MINIMUM = {"VALUE": ("value_score", 70), "GROWTH": ("growth_score", 70), "
 PORTFOLIO_VALUE = 100_000
 
 
-def kelly_allocation(sized: DataFrame, portfolio: str = "BALANCED", max_positions: int = 20) -> DataFrame:
-    """Top positions of a portfolio by Kelly size. Shares above 100 % in total are scaled down;
-    below that they stay and the rest is cash."""
+def kelly_candidates(sized: DataFrame) -> DataFrame:
+    """Positions that reach the score minimum of a portfolio, one row per portfolio they reach."""
+    entries = [F.when(F.col(column) >= least, F.lit(name)) for name, (column, least) in KELLY_MINIMUM.items()]
+    reached = F.explode(F.array_compact(F.array(*entries))).alias("portfolio_type")
+    return sized.select(reached, "symbol", "final_position_pct")
+
+
+def kelly_allocation(sized: DataFrame, max_positions: int = 20) -> DataFrame:
+    """Top positions of each portfolio by Kelly size. Shares above 100 % in total are scaled
+    down; below that they stay and the rest is cash."""
     c = F.col
-    column, least = KELLY_MINIMUM[portfolio]
     order = [F.desc("final_position_pct"), F.asc("symbol")]
-    top = sized.where(c(column) >= least).orderBy(*order).limit(max_positions)
-    # At most max_positions rows from here on.
-    total = top.agg(F.sum("final_position_pct")).scalar()
-    count = top.agg(F.count("*")).scalar()
-    share = F.when(total > 100, c("final_position_pct") / total * 100).otherwise(c("final_position_pct"))
-    held = numbered(top.where(total > 0).select(
-        F.lit(portfolio).alias("portfolio_type"), "symbol", c("final_position_pct").alias("kelly_position_pct"),
-        share.alias("normalized_position_pct"), (share / 100 * PORTFOLIO_VALUE).alias("dollar_allocation"),
-        count.alias("total_positions"), F.greatest(F.lit(0.0), 100 - total).alias("cash_reserve_pct"), "final_position_pct",
-    ), order, "position_rank")
-    return held.drop("final_position_pct")
+    top = top_per_group(kelly_candidates(sized), ["portfolio_type"], order, max_positions, "position_rank")
+    # At most max_positions rows per portfolio from here on.
+    whole = Window.partitionBy("portfolio_type")
+    held = top.withColumns({"_total": F.sum("final_position_pct").over(whole), "total_positions": F.count("*").over(whole)})
+    share = F.when(c("_total") > 100, c("final_position_pct") / c("_total") * 100).otherwise(c("final_position_pct"))
+    return held.where(c("_total") > 0).select(
+        "portfolio_type", "symbol", c("final_position_pct").alias("kelly_position_pct"), share.alias("normalized_position_pct"),
+        (share / 100 * PORTFOLIO_VALUE).alias("dollar_allocation"), "total_positions",
+        F.greatest(F.lit(0.0), 100 - c("_total")).alias("cash_reserve_pct"), "position_rank",
+    )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from equiloom.functions.expressions import clamp, change, holds, ladder, points, ratio
-from equiloom.functions.frames import by_symbol
-from equiloom.operators.filters import eligible_universe, portfolio_candidates
+from equiloom.functions.frames import by_symbol, top_per_group
+from equiloom.operators.filters import candidate_rule, eligible_universe
 from equiloom.operators.joins import star_join
 
 LARGE_NET_VALUE = 1_000_000
@@ -176,9 +176,17 @@ def master_scores(signals: DataFrame) -> DataFrame:
     })
 
 
-def select_holdings(scores: DataFrame, portfolio: str, n: int = 10) -> DataFrame:
-    score = f"{portfolio.lower()}_score" if portfolio != "BALANCED" else "composite_score"
-    return portfolio_candidates(scores, portfolio).orderBy(F.round(score, 6).desc(), "symbol").limit(n)
+SCORE_OF = {"VALUE": "value_score", "GROWTH": "growth_score", "DIVIDEND": "dividend_score", "BALANCED": "composite_score"}
+
+
+def select_holdings(scores: DataFrame, portfolios: tuple[str, ...] = ("VALUE", "GROWTH", "DIVIDEND"), n: int = 10) -> DataFrame:
+    """Best ``n`` candidates of each portfolio, from one pass over the score table."""
+    entries = [
+        F.when(candidate_rule(p), F.struct(F.lit(p).alias("portfolio_type"), F.col(SCORE_OF[p]).alias("score")))
+        for p in portfolios
+    ]
+    entered = scores.select("symbol", F.explode(F.array_compact(F.array(*entries))).alias("_e")).select("symbol", "_e.*")
+    return top_per_group(entered, ["portfolio_type"], [F.round("score", 6).desc(), F.asc("symbol")], n, "selection_rank")
 
 
 def comprehensive_score(universe: DataFrame, insider: DataFrame, strength: DataFrame, bankruptcy: DataFrame,

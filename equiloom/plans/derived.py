@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from equiloom.functions.frames import latest_by, newest_value
 from equiloom.operators import accounts, evaluation, fundamental, portfolio, sectors, signals, technical
 from equiloom.plans.fixtures import Inputs
+from equiloom.session import checkpointed
 
 LOOKBACK_DAYS = 2500
 CALENDAR_SCALE = 5
@@ -112,7 +113,8 @@ class Derived(Inputs):
 
     @cached_property
     def sector_momentum(self) -> DataFrame:
-        return sectors.sector_momentum(self.sector_daily, self.sector_quality)
+        """One row per sector; stored, since rotation reads it three times."""
+        return checkpointed(sectors.sector_momentum(self.sector_daily, self.sector_quality))
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -129,7 +131,7 @@ class Derived(Inputs):
 
     @cached_property
     def picks(self) -> DataFrame:
-        return evaluation.all_picks(self.scores_at_rebalance)
+        return evaluation.pick_weights(self.scores_at_rebalance)
 
     @cached_property
     def strategy_returns(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from equiloom.functions.expressions import clamp, ratio
 from equiloom.functions.frames import newest_value, running, trailing
 from equiloom.operators.joins import as_of_join
+from equiloom.session import checkpointed
 from equiloom.sources.tables import read_table
 
 SECTOR_OF_REGION = {
@@ -161,7 +162,8 @@ class Inputs:
 
     @cached_property
     def days(self) -> DataFrame:
-        return self.bars.select("trade_date").distinct()
+        """The trading calendar as a stored table: one row per day, read by every calendar join."""
+        return checkpointed(self.bars.select("trade_date").distinct())
 
     @cached_property
     def latest_prices(self) -> DataFrame:
@@ -212,18 +214,16 @@ class Inputs:
         momentum = self.bars.withColumn("_mom", ratio(c("close"), F.lag("close", 126).over(order)) - 1)
         priced = as_of_join(facts, momentum, "symbol", "signal_date", "trade_date", ["close", "_mom"])
         scored = priced.select(
-            "symbol", "signal_date", F.round(clamp(50 + c("_margin") * 300), 6).alias("value_score"),
-            F.round(clamp(50 + c("_grown") * 100), 6).alias("growth_score"),
-            F.round(clamp(50 + c("_fcf") * 1000), 6).alias("dividend_score"),
-            F.round(clamp(50 + c("_mom") * 200), 6).alias("momentum_score"),
-            F.round(ratio(c("close"), c("_eps")), 6).alias("pe_ratio"), F.round(ratio(c("close"), c("_book")), 6).alias("price_to_book"),
-            F.round(c("_fcf") * 100, 6).alias("dividend_yield"), F.round("payout_ratio", 6).alias("payout_ratio"),
-            F.round(c("_grown") * 100, 6).alias("revenue_growth"), F.round(c("_margin") * 100, 6).alias("earnings_growth"),
+            "symbol", "signal_date", clamp(50 + c("_margin") * 300).alias("value_score"),
+            clamp(50 + c("_grown") * 100).alias("growth_score"), clamp(50 + c("_fcf") * 1000).alias("dividend_score"),
+            clamp(50 + c("_mom") * 200).alias("momentum_score"), ratio(c("close"), c("_eps")).alias("pe_ratio"),
+            ratio(c("close"), c("_book")).alias("price_to_book"), (c("_fcf") * 100).alias("dividend_yield"), "payout_ratio",
+            (c("_grown") * 100).alias("revenue_growth"), (c("_margin") * 100).alias("earnings_growth"),
         )
         parts = ("value_score", "growth_score", "dividend_score", "momentum_score")
         mean = sum((F.coalesce(p, F.lit(50.0)) for p in parts), F.lit(0.0)) / len(parts)
         fscore = F.least(F.lit(9), F.floor(F.coalesce("value_score", F.lit(50.0)) / 10)).cast("int")
-        return scored.withColumns({"composite_score": F.round(mean, 8), "fscore": fscore})
+        return scored.withColumns({"composite_score": mean, "fscore": fscore})
 
     @cached_property
     def queue(self) -> DataFrame:

@@ -85,16 +85,15 @@ SELECT symbol, fiscal_date + 45 AS signal_date, net_income / nullif(revenue, 0)
   CASE WHEN net_income > 0 THEN capex / net_income END AS payout_ratio
 FROM fundamentals_q""")
 view("score_parts", """
-SELECT s.symbol, signal_date, round(greatest(0, least(100, 50 + margin * 300)), 6) AS value_score,
-  CASE WHEN grown IS NOT NULL THEN round(greatest(0, least(100, 50 + grown * 100)), 6) END AS growth_score,
-  round(greatest(0, least(100, 50 + fcf * 1000)), 6) AS dividend_score,
-  CASE WHEN mom IS NOT NULL THEN round(greatest(0, least(100, 50 + mom * 200)), 6) END AS momentum_score,
-  round(close / nullif(eps, 0), 6) AS pe_ratio, round(close / nullif(book, 0), 6) AS price_to_book,
-  round(fcf * 100, 6) AS dividend_yield, round(payout_ratio, 6) AS payout_ratio, round(grown * 100, 6) AS revenue_growth,
-  round(margin * 100, 6) AS earnings_growth
+SELECT s.symbol, signal_date, greatest(0, least(100, 50 + margin * 300)) AS value_score,
+  CASE WHEN grown IS NOT NULL THEN greatest(0, least(100, 50 + grown * 100)) END AS growth_score,
+  greatest(0, least(100, 50 + fcf * 1000)) AS dividend_score,
+  CASE WHEN mom IS NOT NULL THEN greatest(0, least(100, 50 + mom * 200)) END AS momentum_score,
+  close / nullif(eps, 0) AS pe_ratio, close / nullif(book, 0) AS price_to_book, fcf * 100 AS dividend_yield, payout_ratio,
+  grown * 100 AS revenue_growth, margin * 100 AS earnings_growth
 FROM score_base s ASOF LEFT JOIN momentum_bars b ON s.symbol = b.symbol AND s.signal_date >= b.trade_date""")
 view("score_history", """
-SELECT *, round((coalesce(value_score, 50) + coalesce(growth_score, 50) + coalesce(dividend_score, 50) + coalesce(momentum_score, 50)) / 4, 8) AS composite_score,
+SELECT *, (coalesce(value_score, 50) + coalesce(growth_score, 50) + coalesce(dividend_score, 50) + coalesce(momentum_score, 50)) / 4 AS composite_score,
   least(9, CAST(floor(coalesce(value_score, 50) / 10) AS int)) AS fscore
 FROM score_parts""")
 view("queue", """

@@ -50,7 +50,7 @@ SELECT g.*, CASE WHEN k = 1 THEN m.turnover * 0.002 ELSE 0 END AS cost, gross_re
 FROM strategy_gross g JOIN pick_moves m ON g.strategy = m.strategy AND g.period_no = m.period_no""")
 
 add("c08_rebalance_calendar", "rebalance_date entry_day next_entry period_no", lambda v: v.calendar, "SELECT * FROM calendar")
-add("l02_top_per_group", "strategy rebalance_date symbol score*8 weight* pick_no", lambda v: v.picks, "SELECT * FROM picks")
+add("l02_top_per_group", "strategy rebalance_date symbol score* weight* pick_no", lambda v: v.picks, "SELECT * FROM picks")
 add("g35_strategy_returns", "strategy period_no trade_date gross_return* cost* net_return*", lambda v: v.strategy_returns, "SELECT * FROM strategy_daily")
 add("g36_performance_stats", "strategy total_return* annual_return* days volatility* sharpe_ratio* max_drawdown* win_rate*",
     lambda v: ev.performance_stats(v.strategy_returns), """
@@ -94,7 +94,7 @@ def grid_scores(v) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-add("g37_parameter_grid_scores", "strategy combo symbol score*8", grid_scores, " UNION ALL ".join(
+add("g37_parameter_grid_scores", "strategy combo symbol score*", grid_scores, " UNION ALL ".join(
     f"SELECT '{s}' AS strategy, combo, symbol, {sql} AS score FROM newest_scores, ({_sql_combos(s)})" for s, sql in GRID_SQL.items()))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from equiloom.operators import accounts, portfolio, reports
@@ -15,22 +13,16 @@ from equiloom.plans.registry import add, view
 PORTFOLIOS = portfolio.PORTFOLIOS
 
 
-def _stack(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 view("kelly_ranked", " UNION ALL ".join(f"""
 SELECT '{name}' AS portfolio_type, symbol, final_position_pct, row_number() OVER (ORDER BY final_position_pct DESC, symbol) AS position_rank
 FROM kelly WHERE {column} >= {least}""" for name, (column, least) in portfolio.KELLY_MINIMUM.items()))
 add("g11_kelly_allocation", "portfolio_type symbol kelly_position_pct* normalized_position_pct* dollar_allocation* total_positions cash_reserve_pct* position_rank",
-    lambda v: _stack([portfolio.kelly_allocation(v.kelly, name) for name in portfolio.KELLY_MINIMUM]), """
+    lambda v: portfolio.kelly_allocation(v.kelly), """
 SELECT *, normalized_position_pct / 100 * 100000 AS dollar_allocation FROM (SELECT portfolio_type, symbol, final_position_pct AS kelly_position_pct, position_rank,
   count(*) OVER w AS total_positions, greatest(0, 100 - sum(final_position_pct) OVER w) AS cash_reserve_pct, sum(final_position_pct) OVER w AS total,
   CASE WHEN sum(final_position_pct) OVER w > 100 THEN final_position_pct / sum(final_position_pct) OVER w * 100 ELSE final_position_pct END AS normalized_position_pct
 FROM kelly_ranked WHERE position_rank <= 20 WINDOW w AS (PARTITION BY portfolio_type)) WHERE total > 0""")
-add("u02_union_of_portfolios", "portfolio_type symbol final_position_pct*", lambda v: _stack([
-    v.kelly.where(F.col(column) >= least).select(F.lit(name).alias("portfolio_type"), "symbol", "final_position_pct")
-    for name, (column, least) in portfolio.KELLY_MINIMUM.items()]), "SELECT * FROM kelly_ranked")
+add("u02_union_of_portfolios", "portfolio_type symbol final_position_pct*", lambda v: portfolio.kelly_candidates(v.kelly), "SELECT * FROM kelly_ranked")
 add("a16_position_categories", "position_category count avg_allocation*", lambda v: category_distribution(v.kelly),
     "SELECT position_category, count(*) AS count, avg(final_position_pct) AS avg_allocation FROM kelly GROUP BY 1")
 
@@ -80,11 +72,7 @@ view("selected", _selected)
 SELECTED = "portfolio_type symbol sector industry selection_score* selection_rank"
 
 
-def selected(v) -> DataFrame:
-    return _stack([portfolio.select_portfolio(v.portfolio_scores, name) for name in PORTFOLIOS])
-
-
-add("g24_select_portfolio", SELECTED, selected, "SELECT * FROM selected")
+add("g24_select_portfolio", SELECTED, lambda v: portfolio.select_portfolio(v.portfolio_scores), "SELECT * FROM selected")
 add("l04_capped_selection", "symbol sector industry composite_score* selection_rank", lambda v: portfolio.capped_selection(v.master, "composite_score"), """
 SELECT *, row_number() OVER (ORDER BY round(composite_score, 6) DESC, symbol) AS selection_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY sector ORDER BY round(composite_score, 6) DESC, symbol) AS in_sector FROM (
@@ -102,7 +90,7 @@ def value_holdings(v) -> DataFrame:
 
 
 def rebalanced(v) -> DataFrame:
-    delta = portfolio.rebalance(value_holdings(v), portfolio.select_portfolio(v.portfolio_scores, "VALUE"), v.portfolio_scores, "value_score")
+    delta = portfolio.rebalance(value_holdings(v), portfolio.select_portfolio(v.portfolio_scores, ("VALUE",)), v.portfolio_scores, "value_score")
     return delta.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("stocks_added", "stocks_removed", "stocks_retained")})
 
 
@@ -115,7 +103,7 @@ DELTA = """SELECT coalesce(string_agg(CAST(n AS varchar), ',' ORDER BY n) FILTER
 add("g25_rebalance", "stocks_added stocks_removed stocks_retained avg_score_before* avg_score_after*", rebalanced, DELTA)
 add("u01_holding_sets", "stocks_added stocks_removed stocks_retained", rebalanced, DELTA)
 add("g26_update_holdings", "portfolio_type symbol selection_date selection_score* selection_rank entry_price* weight is_active exit_date exit_reason",
-    lambda v: portfolio.update_holdings(value_holdings(v), portfolio.select_portfolio(v.portfolio_scores, "VALUE"), v.bars, v.as_of), """
+    lambda v: portfolio.update_holdings(value_holdings(v), portfolio.select_portfolio(v.portfolio_scores, ("VALUE",)), v.bars, v.as_of), """
 SELECT portfolio_type, symbol, selection_date, selection_score, selection_rank, entry_price, 10.0 AS weight, false AS is_active, (SELECT d FROM today) AS exit_date, 'Rebalance' AS exit_reason
 FROM holdings WHERE portfolio_type = 'VALUE' UNION ALL
 SELECT portfolio_type, s.symbol, (SELECT d FROM today), selection_score, selection_rank, current_price, 10.0, true, NULL, NULL FROM selected s JOIN last_price p ON s.symbol = p.symbol WHERE portfolio_type = 'VALUE'""")
@@ -129,7 +117,7 @@ view("new_signals", """
 SELECT h.portfolio_type, h.symbol, 'BUY' AS signal_type, s.composite_score AS score, h.weight AS target_weight_pct, CASE WHEN s.composite_score > 80 THEN 'STRONG' ELSE 'MODERATE' END AS signal_strength, false AS processed
 FROM holdings h JOIN (SELECT symbol, arg_max(composite_score, signal_date) AS composite_score FROM score_history GROUP BY 1) s ON h.symbol = s.symbol
 WHERE NOT EXISTS (SELECT 1 FROM queue q WHERE q.symbol = h.symbol AND q.portfolio_type = h.portfolio_type AND NOT q.processed)""")
-add("g52_trading_signals", "portfolio_type symbol signal_type score*8 target_weight_pct* signal_strength processed", new_signals, "SELECT * FROM new_signals")
+add("g52_trading_signals", "portfolio_type symbol signal_type score* target_weight_pct* signal_strength processed", new_signals, "SELECT * FROM new_signals")
 add("j11_anti_join", "portfolio_type symbol", lambda v: v.holdings.join(v.queue.where("NOT processed").select("symbol", "portfolio_type"), ["symbol", "portfolio_type"], "left_anti"),
     "SELECT * FROM new_signals")
 view("waiting", "SELECT * FROM queue WHERE NOT processed AND (expiration_date IS NULL OR expiration_date >= (SELECT d FROM today))")
@@ -153,7 +141,7 @@ SELECT *, shares * current_price AS order_value FROM (SELECT m.account_id, m.sym
 FROM (SELECT *, (SELECT count(*) FROM basis b WHERE b.account_id = matched.account_id) AS held_now FROM matched) m JOIN last_price p ON m.symbol = p.symbol,
   LATERAL (SELECT floor(round(cash_balance / (1 - max_account_allocation_pct / 100) * least(coalesce(nullif(target_weight_pct, 0) / 100, max_position_size_pct / 100), max_position_size_pct / 100) / p.current_price, 9)) AS wanted)
 WHERE held_now < max_portfolio_positions) WHERE shares > 0""")
-add("g54_stop_loss_hits", "account_id symbol portfolio_type avg_cost* current_price* loss_pct* signal_type signal_strength", lambda v: accounts.stop_loss_hits(v.cost_basis, v.accounts), """
+add("g54_stop_loss_hits", "account_id symbol portfolio_type current_price* loss_pct* signal_type signal_strength", lambda v: accounts.stop_loss_hits(v.cost_basis, v.accounts), """
 SELECT b.account_id, symbol, strategy AS portfolio_type, avg_cost, current_price, (current_price - avg_cost) / avg_cost * 100 AS loss_pct, 'SELL' AS signal_type, 'STRONG' AS signal_strength
 FROM basis b JOIN accounts a ON b.account_id = a.account_id WHERE stop_loss_enabled AND round((current_price - avg_cost) / avg_cost * 100, 9) <= -stop_loss_pct""")
 
@@ -188,7 +176,7 @@ SELECT *, ytd_return - market_ytd_return AS alpha_ytd FROM (SELECT *, {_since('m
   stddev_samp(daily_return) OVER (PARTITION BY portfolio_type ORDER BY trade_date ROWS 29 PRECEDING) * sqrt(252) AS volatility_30d
 FROM (SELECT strategy AS portfolio_type, s.trade_date, net_return AS daily_return, coalesce(m.r, 0) AS market_daily_return FROM strategy_daily s
   JOIN (SELECT trade_date, close / lag(close) OVER (ORDER BY trade_date) - 1 AS r FROM bench) m ON s.trade_date = m.trade_date WHERE strategy <> 'BALANCED'))""")
-add("g58_cost_basis", "account_id symbol quantity avg_cost* opened_on current_price* market_value* total_cost* unrealized_pnl* unrealized_pnl_pct* portfolio_weight_pct*", lambda v: v.cost_basis, """
+add("g58_cost_basis", "account_id symbol quantity opened_on current_price* market_value* unrealized_pnl* unrealized_pnl_pct* portfolio_weight_pct*", lambda v: v.cost_basis, """
 SELECT *, market_value - total_cost AS unrealized_pnl, (market_value - total_cost) / total_cost * 100 AS unrealized_pnl_pct,
   market_value / sum(market_value) OVER (PARTITION BY account_id) * 100 AS portfolio_weight_pct FROM basis""")
 FRESH = {"prices": ("bars", "trade_date"), "fundamentals": ("fundamentals_q", "fiscal_date"), "dividends": ("dividends", "ex_date"), "insider": ("insider", "transaction_date"),

@@ -54,21 +54,13 @@ add("g16_master_composite", "symbol sector value_score* growth_score* dividend_s
     "SELECT * FROM master")
 
 
-def holdings(v):
-    parts = [
-        signals.select_holdings(v.master, p).select(F.lit(p).alias("portfolio_type"), "symbol", F.col(f"{p.lower()}_score").alias("score"))
-        for p in ("VALUE", "GROWTH", "DIVIDEND")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 def _held(label: str, rule: str) -> str:
     score = f"{label.lower()}_score"
     return (f"(SELECT '{label}' AS portfolio_type, symbol, {score} AS score FROM master WHERE {rule} "
             f"ORDER BY round({score}, 6) DESC, symbol LIMIT 10)")
 
 
-add("g17_select_holdings", "portfolio_type symbol score*", holdings, " UNION ALL ".join([
+add("g17_select_holdings", "portfolio_type symbol score*", lambda v: signals.select_holdings(v.master), " UNION ALL ".join([
     _held("VALUE", "fscore >= 6 AND bankruptcy_risk <> 'DISTRESS' AND pe_ratio > 0 AND pe_ratio < 25"),
     _held("GROWTH", "fscore >= 5 AND bankruptcy_risk <> 'DISTRESS' AND (revenue_growth > 5 OR eps_growth > 5)"),
     _held("DIVIDEND", "dividend_yield > 1.5 AND fscore >= 6 AND bankruptcy_risk = 'SAFE'")]))

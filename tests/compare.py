@@ -35,7 +35,7 @@ def plain(value):
     if isinstance(value, bool | np.bool_):
         return bool(value)
     if isinstance(value, (int, float, np.integer, np.floating)) or type(value).__name__ == "Decimal":
-        return round(float(value), 8) + 0.0
+        return float(value) + 0.0
     return value
 
 

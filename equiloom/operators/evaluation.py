@@ -14,7 +14,7 @@ from equiloom.functions.expressions import compounded, ratio
 from equiloom.functions.frames import top_per_group
 from equiloom.functions.ranking import exact_quantiles
 from equiloom.operators.aggregates import concentration, share_of_total
-from equiloom.operators.joins import as_of_join, in_period
+from equiloom.operators.joins import as_of_join, in_period, of_symbols
 from equiloom.operators.series import daily_returns
 from equiloom.session import checkpointed
 
@@ -296,7 +296,7 @@ def positions(trades: DataFrame, bars: DataFrame, universe: DataFrame) -> DataFr
     """Bought shares per day and symbol with price, sector, returns and weight of the day."""
     bought = trades.where(F.col("trade_type") == "BUY").groupBy("trade_date", "symbol").agg(F.sum("quantity").alias("shares"))
     moved = daily_returns(bars.select("symbol", "trade_date", "close"))
-    priced = moved.join(universe.select("symbol", "sector"), "symbol").select(
+    priced = of_symbols(moved, universe.select("symbol", "sector")).select(
         "symbol", "trade_date", "sector", F.col("close").alias("price"), F.coalesce("daily_return", F.lit(0.0)).alias("daily_return"))
     market = priced.groupBy("trade_date").agg(F.avg("daily_return").alias("market_return"))
     rows = bought.join(priced, ["trade_date", "symbol"]).withColumn("market_value", F.col("shares") * F.col("price"))

@@ -24,8 +24,11 @@ def _newest_quarter(quarters: DataFrame) -> DataFrame:
     return latest_by(quarters, ["symbol"], "fiscal_date")
 
 
-def piotroski(quarters: DataFrame, prices: DataFrame, universe: DataFrame) -> DataFrame:
-    """Nine yes/no tests of the newest quarter against the year-ago and previous quarters."""
+def piotroski(quarters: DataFrame, universe: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """Nine yes/no tests of the newest quarter against the year-ago and previous quarters.
+
+    ``prices`` adds the latest price and the market value at it.
+    """
     items = ("net_income", "revenue", "total_assets", "total_debt", "shares")
     before = by_symbol("fiscal_date")
     lagged = year_ago(quarters, items).withColumns({
@@ -37,9 +40,8 @@ def piotroski(quarters: DataFrame, prices: DataFrame, universe: DataFrame) -> Da
         """Ratio of the newest quarter; only a positive denominator counts."""
         return ratio(c(top), F.when(c(bottom) > 0, c(bottom)))
 
-    latest_price = prices.groupBy("symbol").agg(F.max_by("close", "trade_date").alias("latest_price"))
     listed = eligible_universe(universe, security_type=None, exclude_etf=True).select("symbol", "sector", "industry")
-    rows = _newest_quarter(lagged).join(listed, "symbol").join(latest_price, "symbol", "left")
+    rows = _newest_quarter(lagged).join(listed, "symbol")
     ratios = rows.withColumns({
         "current_roa": over("net_income", "total_assets"), "prior_roa": over("prior_net_income", "prior_total_assets"),
         "current_debt_ratio": over("total_debt", "total_assets"),
@@ -63,14 +65,17 @@ def piotroski(quarters: DataFrame, prices: DataFrame, universe: DataFrame) -> Da
     flagged = ratios.withColumns({name: holds(test) for name, test in tests.items()})
     score = sum((as_int(c(f)) for f in FSCORE_FLAGS), F.lit(0))
     scored = flagged.withColumn("fscore", score)
-    return scored.select(
+    result = scored.select(
         "symbol", "sector", c("fiscal_date").alias("calculation_date"), *FSCORE_FLAGS, "fscore",
         ladder(c("fscore"), [(7, "STRONG"), (4, "MODERATE")], "WEAK").alias("strength_category"),
         (c("current_roa") * 100).alias("current_roa"), (c("prior_roa") * 100).alias("prior_roa"),
         "current_debt_ratio", "prior_debt_ratio", "current_ratio", (c("current_margin") * 100).alias("current_margin"),
-        (c("prior_margin") * 100).alias("prior_margin"), "current_turnover", "prior_turnover", "latest_price",
-        (c("latest_price") * c("shares")).alias("price_market_cap"),
+        (c("prior_margin") * 100).alias("prior_margin"), "current_turnover", "prior_turnover", "shares",
     )
+    if prices is None:
+        return result
+    latest = prices.groupBy("symbol").agg(F.max_by("close", "trade_date").alias("latest_price"))
+    return result.join(latest, "symbol", "left").withColumn("price_market_cap", c("latest_price") * c("shares"))
 
 
 MANUFACTURING = ("MANUFACTURING", "INDUSTRIALS")

@@ -9,10 +9,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from equiloom.functions.frames import top_per_group
 
 
+def of_symbols(facts: DataFrame, listed: DataFrame, key: str = "symbol") -> DataFrame:
+    """Fact rows of the listed symbols, with the listing's columns.
+
+    Both sides meet on the hash partitioning of the symbol that every per-symbol operator
+    uses anyway, so the facts move once at most and keep their order. The build side is one
+    narrow row per symbol and cannot be skewed; the facts are never the broadcast side,
+    whatever a small test table makes the planner estimate.
+    """
+    return facts.join(listed.hint("shuffle_hash"), key)
+
+
 def star_join(base: DataFrame, tables: Sequence[DataFrame], key: str = "symbol") -> DataFrame:
-    """Left joins of one-row-per-key tables; all share one hash partitioning of ``key``."""
+    """Left joins of one-row-per-key tables.
+
+    Each table comes out of an aggregate by ``key`` and is already partitioned by it, so a
+    merge join needs no further shuffle and waits for no broadcast.
+    """
     for table in tables:
-        base = base.join(table, key, "left")
+        base = base.join(table.hint("merge"), key, "left")
     return base
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from equiloom.functions.expressions import ladder, ratio
 from equiloom.functions.frames import latest_by
 from equiloom.functions.ranking import exact_quantiles, tied_rank
-from equiloom.operators.joins import as_of_join
+from equiloom.operators.joins import as_of_join, of_symbols
 from equiloom.operators.series import forward_changes, moving_averages, rolling_volatility, sequences, volume_ratio
 
 RISK_CODES = {"SAFE": 0, "GREY": 1, "DISTRESS": 2}
@@ -38,7 +38,7 @@ def ml_features(targets: DataFrame, scores: DataFrame, score_columns: list[str],
     """Targets with the scores known on their day, sector indicators and no missing values."""
     rows = as_of_join(targets, scores, "symbol", "trade_date", "signal_date", score_columns)
     listed = universe.select("symbol", "sector", (F.col("market_cap") / 1e9).alias("market_cap_b"))
-    known = rows.join(listed, "symbol").where(F.col("target").isNotNull() & (F.col("target") != 0))
+    known = of_symbols(rows, listed).where(F.col("target").isNotNull() & (F.col("target") != 0))
     filled = known.fillna(0.0, [*score_columns, "market_cap_b"])
     return filled.withColumns(one_hot("sector", SECTORS, "sector"))
 

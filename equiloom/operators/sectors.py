@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from equiloom.functions.expressions import change, clamp, compounded, holds, ladder, ratio
 from equiloom.functions.frames import by_symbol, top_per_group, within
 from equiloom.operators.filters import eligible_universe
+from equiloom.operators.joins import of_symbols, star_join
 from equiloom.operators.series import cross_section_volatility
 
 # Fixed preference lists.
@@ -30,7 +31,7 @@ def sector_daily(bars: DataFrame, universe: DataFrame, as_of: Column, lookback_d
     """
     listed = eligible_universe(universe).where(F.col("sector").isNotNull()).select("symbol", "sector", "market_cap")
     recent = within(bars, "trade_date", lookback_days, as_of).select("symbol", "trade_date", "close", "volume")
-    priced = recent.join(listed, "symbol").groupBy("sector", "trade_date").agg(
+    priced = of_symbols(recent, listed).groupBy("sector", "trade_date").agg(
         F.avg("close").alias("avg_close"),
         ratio(F.sum(F.col("volume") * F.col("close")), F.sum("volume")).alias("vwap"),
         F.count("*").alias("num_stocks"), (F.sum("market_cap") / 1e9).alias("sector_mcap_b"),
@@ -82,9 +83,7 @@ def sector_quality(universe: DataFrame, strength: DataFrame, bankruptcy: DataFra
         master.select("symbol", "composite_score"), risk.select("symbol", "sharpe_ratio"),
         ownership.select("symbol", "quarter_change_pct"),
     ]
-    for table in tables:
-        listed = listed.join(table, "symbol", "left")
-    return listed.groupBy("sector").agg(
+    return star_join(listed, tables).groupBy("sector").agg(
         F.avg("fscore").alias("avg_fscore"), F.avg("z_score").alias("avg_zscore"),
         F.avg("composite_score").alias("avg_quality_score"), F.avg("sharpe_ratio").alias("avg_sharpe"),
         F.avg("quarter_change_pct").alias("avg_inst_change"),

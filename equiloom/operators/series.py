@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from equiloom.functions.expressions import as_int, change, ratio
-from equiloom.functions.frames import by_symbol, running, top_per_group, trailing
+from equiloom.functions.frames import by_symbol, running, top_per_group, trailing, trailing_means
 
 YEAR_ROWS = 252
 
 
 def moving_averages(bars: DataFrame, spans: tuple[int, ...] = (20, 50, 200)) -> DataFrame:
-    return bars.withColumns({f"sma_{n}": F.avg("close").over(trailing(n)) for n in spans})
+    return trailing_means(bars, {f"sma_{n}": ("close", n) for n in spans})
 
 
 def volume_ratio(bars: DataFrame, spans: tuple[int, ...] = (20, 50)) -> DataFrame:
-    averaged = bars.withColumns({f"avg_volume_{n}": F.avg("volume").over(trailing(n)) for n in spans})
+    averaged = trailing_means(bars, {f"avg_volume_{n}": ("volume", n) for n in spans})
     return averaged.withColumn("volume_ratio", ratio(F.col("volume"), F.col(f"avg_volume_{spans[0]}")))
 
 

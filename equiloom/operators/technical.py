@@ -7,49 +7,61 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from equiloom.functions.expressions import (
     as_int, change, clamp, holds, ladder, points, ratio, sample_kurtosis, sample_skew,
 )
-from equiloom.functions.frames import by_symbol, latest_by, running, top_per_group, trailing, within
+from equiloom.functions.frames import by_symbol, running, top_per_group, within
 from equiloom.functions.ranking import numbered, tied_rank
 from equiloom.operators.aggregates import win_loss
 from equiloom.operators.filters import eligible_universe
-from equiloom.operators.joins import latest_not_after, nth_later
-from equiloom.operators.series import daily_returns, moving_averages, recent_base, rolling_range, rsi, volume_ratio
+from equiloom.operators.joins import nth_later, of_symbols
+from equiloom.operators.series import daily_returns
 
 RISK_FREE = 0.03  # annual
 TRADING_DAYS = 252
 DAILY_RISK_FREE = RISK_FREE / TRADING_DAYS
+YEAR_ROWS, RSI_ROWS = 252, 14
 
 BREAKOUT_WEIGHTS = {"proximity": 0.25, "volume": 0.25, "base_quality": 0.15, "momentum": 0.15,
                     "accumulation": 0.10, "relative_strength_score": 0.10}
 
 
+def _newest(bars: DataFrame, listed: DataFrame, rows: int) -> DataFrame:
+    """Newest rows of each listed symbol, numbered back from today, with their price step.
+
+    A score of the last day needs no window over the whole history: trailing means and
+    extremes are plain aggregates over the newest rows.
+    """
+    back = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
+    stepped = of_symbols(bars, listed).withColumn("_step", F.col("close") - F.lead("close").over(back))
+    return top_per_group(stepped, ["symbol"], [F.desc("trade_date")], rows)
+
+
+def _span(first: int, last: int, value: str) -> Column:
+    return F.when(F.col("row_no").between(first, last), F.col(value))
+
+
 def breakout_score(bars: DataFrame, bench: DataFrame, universe: DataFrame, as_of: Column, scale: int = 1) -> DataFrame:
     """Six weighted parts per symbol; calendar look-backs are multiplied by ``scale``.
 
-    Everything but the ranking is one pass: the trailing windows share one sort by symbol
-    and the look-backs are conditional aggregates over the same rows.
+    A day has at most one row, so the newest rows of the longest look-back hold everything.
     """
     c = F.col
     traded = eligible_universe(universe, exclude_etf=True).select("symbol")
-    framed = volume_ratio(rolling_range(moving_averages(bars.join(traded, "symbol"))))
-    step = c("close") - F.lag("close").over(by_symbol())
-    framed = framed.withColumn("_step", step)
-    newest, day = F.col("trade_date"), F.col("trade_date")
+    newest = _newest(bars, traded, max(YEAR_ROWS, 90 * scale + 1))
+    day = c("trade_date")
 
     def since(days: int) -> Column:
         return day >= F.date_sub(as_of, days * scale)
 
-    def at_end(name: str) -> Column:
-        return F.max_by(name, "trade_date").alias(name)
-
     signed = F.signum("_step") * c("volume")
     base = F.when(since(90), c("close"))
-    facts = framed.groupBy("symbol").agg(
-        *[at_end(n) for n in ("close", "high_52w", "sma_50", "sma_200", "volume_ratio")],
-        F.max(newest).alias("last_traded"), ratio(F.stddev_samp(base), F.avg(base)).alias("base_volatility"),
+    before = day <= F.date_sub(as_of, 20 * scale)
+    facts = newest.groupBy("symbol").agg(
+        F.max(_span(1, 1, "close")).alias("close"), F.max(_span(1, YEAR_ROWS, "high")).alias("high_52w"),
+        F.avg(_span(1, 50, "close")).alias("sma_50"), F.avg(_span(1, 200, "close")).alias("sma_200"),
+        ratio(F.max(_span(1, 1, "volume")), F.avg(_span(1, 20, "volume"))).alias("volume_ratio"),
+        F.max(day).alias("last_traded"), ratio(F.stddev_samp(base), F.avg(base)).alias("base_volatility"),
         F.count_if(since(10) & (c("_step") > 0)).alias("up_days"),
         ratio(F.sum(F.when(since(20), signed)), F.sum(F.when(since(20), F.abs(signed)))).alias("accumulation_ratio"),
-        F.max_by(F.when(day <= F.date_sub(as_of, 20 * scale), c("close")),
-                 F.when(day <= F.date_sub(as_of, 20 * scale), day)).alias("_then"),
+        F.max_by(F.when(before, c("close")), F.when(before, day)).alias("_then"),
     ).where(c("last_traded") >= F.date_sub(as_of, 365))
     market_now = bench.agg(F.max_by("close", "trade_date")).scalar()
     market_then = bench.where(day <= F.date_sub(as_of, 20 * scale)).agg(F.max_by("close", "trade_date")).scalar()
@@ -93,12 +105,17 @@ def technical_breakouts(bars: DataFrame, universe: DataFrame, minimum: int = 20,
     """Position, volume and trend flags of the newest bar, and the scores built from them."""
     c = F.col
     traded = eligible_universe(universe).select("symbol", "sector")
-    full = volume_ratio(rolling_range(moving_averages(bars.join(traded, "symbol"))), (20,))
-    recent = recent_base(rsi(top_per_group(full, ["symbol"], [F.desc("trade_date")], rows)))
-    names = [n for n in recent.columns if n not in ("symbol", "row_no")]
-    last = recent.groupBy("symbol").agg(
-        F.count("*").alias("_rows"), F.max_by(F.struct(*names), "trade_date").alias("_l")
-    ).where(c("_rows") >= minimum).select("symbol", "_l.*")
+    gain, loss = F.greatest("_step", F.lit(0.0)), F.greatest(-c("_step"), F.lit(0.0))
+    momentum = c("row_no") <= RSI_ROWS
+    up, down = F.sum(F.when(momentum, gain)), F.sum(F.when(momentum, loss))
+    last = _newest(bars, traded, YEAR_ROWS).groupBy("symbol", "sector").agg(
+        F.count_if(c("row_no") <= rows).alias("_rows"), F.max("trade_date").alias("trade_date"),
+        F.max(_span(1, 1, "close")).alias("close"), F.max("high").alias("high_52w"), F.min("low").alias("low_52w"),
+        *[F.avg(_span(1, n, "close")).alias(f"sma_{n}") for n in (20, 50, 200)],
+        ratio(F.max(_span(1, 1, "volume")), F.avg(_span(1, 20, "volume"))).alias("volume_ratio"),
+        F.max(_span(2, 21, "high")).alias("recent_high"), F.min(_span(2, 21, "low")).alias("recent_low"),
+        ratio(100 * up, up + down).alias("rsi"),
+    ).where(c("_rows") >= minimum)
     above_high = F.coalesce(ratio(c("close"), F.when(c("high_52w") > 0, c("high_52w"))), F.lit(0.0))
     flags = last.withColumns({
         "price_vs_52w_high": above_high,
@@ -161,11 +178,8 @@ def risk_metrics(bars: DataFrame, bench: DataFrame, universe: DataFrame, as_of:
     c = F.col
     listed = eligible_universe(universe).select("symbol", "sector")
     recent = within(bars, "trade_date", lookback_days, as_of).select("symbol", "trade_date", "close")
-    returns = stock_and_market_returns(recent.join(listed, "symbol"), bench).where(c("daily_return").isNotNull())
-    whole = Window.partitionBy("symbol")
-    tail = F.percentile("daily_return", F.lit(0.05)).over(whole)
-    peak = F.max("close").over(running())
-    rows = returns.withColumns({"_q": tail, "_dd": change(c("close"), peak)})
+    returns = stock_and_market_returns(of_symbols(recent, listed), bench).where(c("daily_return").isNotNull())
+    rows = returns.withColumn("_dd", change(c("close"), F.max("close").over(running())))
     r = c("daily_return")
     annual = F.sqrt(F.lit(float(TRADING_DAYS)))
     downside = F.stddev_samp(F.when(r < 0, r)) * annual
@@ -176,12 +190,15 @@ def risk_metrics(bars: DataFrame, bench: DataFrame, universe: DataFrame, as_of:
         ratio((F.avg(r) - DAILY_RISK_FREE) * TRADING_DAYS, downside).alias("sortino_ratio"),
         F.when(F.count("market_return") == F.count(r),
                ratio(F.covar_samp(r, "market_return"), F.var_samp("market_return"))).alias("beta"),
-        F.min("_dd").alias("max_drawdown"), F.max("_q").alias("var_95"),
-        F.avg(F.when(r <= c("_q"), r)).alias("cvar_95"), F.count(r).alias("trading_days"),
+        F.min("_dd").alias("max_drawdown"), F.percentile(r, F.lit(0.05)).alias("var_95"),
+        F.collect_list(r).alias("_returns"), F.count(r).alias("trading_days"),
         F.count_if(r > 0).alias("positive_days"), F.count_if(r < 0).alias("negative_days"),
         F.max("trade_date").alias("calculation_date"),
     ).where(c("trading_days") >= minimum)
-    rated = stats.withColumn("win_rate", c("positive_days") / c("trading_days"))
+    # The returns of one symbol are bounded by the calendar; the tail mean folds over them.
+    tail = F.filter("_returns", lambda x: x <= c("var_95"))
+    shortfall = F.aggregate(tail, F.lit(0.0), lambda acc, x: acc + x) / F.size(tail)
+    rated = stats.withColumns({"cvar_95": shortfall, "win_rate": c("positive_days") / c("trading_days")}).drop("_returns")
     vol, fall, wins = (F.round(n, 9) for n in ("annual_volatility", "max_drawdown", "win_rate"))
     sharpe_points = F.when(c("sharpe_ratio") > 0, F.least(F.lit(25.0), c("sharpe_ratio") * 10)).otherwise(0.0)
     score = (
@@ -206,7 +223,7 @@ def kelly(bars: DataFrame, universe: DataFrame, as_of: Column, scores: DataFrame
     c = F.col
     listed = eligible_universe(universe).select("symbol")
     recent = within(bars, "trade_date", lookback_days, as_of).select("symbol", "trade_date", "close")
-    stats = win_loss(daily_returns(recent.join(listed, "symbol")), minimum)
+    stats = win_loss(daily_returns(of_symbols(recent, listed)), minimum)
     if scores is None:
         stats = stats.withColumn("composite_score", F.lit(None).cast("double"))
     else:
@@ -328,15 +345,3 @@ def outperformance(bars: DataFrame, bench: DataFrame, universe: DataFrame, as_of
 
 def rank_outperformance(rows: DataFrame) -> DataFrame:
     return tied_rank(rows, "outperformance_score", "symbol", "rank_composite")
-
-
-def price_then(bars: DataFrame, moment: Column, name: str) -> DataFrame:
-    return latest_not_after(bars, "symbol", "trade_date", "close", moment, name)
-
-
-def newest_signals(signals: DataFrame) -> DataFrame:
-    return latest_by(signals, ["symbol"], "signal_date")
-
-
-def smoothed(bars: DataFrame, rows: int, name: str) -> DataFrame:
-    return bars.withColumn(name, F.avg("close").over(trailing(rows)))

@@ -22,7 +22,7 @@ CALENDAR_SCALE = 5
 class Derived(Inputs):
     @cached_property
     def piotroski(self) -> DataFrame:
-        return fundamental.piotroski(self.fundamentals_q, self.bars, self.universe)
+        return fundamental.piotroski(self.fundamentals_q, self.universe)
 
     @cached_property
     def altman(self) -> DataFrame:

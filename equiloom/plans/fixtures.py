@@ -7,8 +7,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from equiloom.functions.expressions import clamp, ratio
-from equiloom.functions.frames import newest_value, running, trailing
-from equiloom.operators.joins import as_of_join
+from equiloom.functions.frames import newest_value, running, trailing_means
+from equiloom.operators.joins import as_of_join, star_join
 from equiloom.session import checkpointed
 from equiloom.sources.tables import read_table
 
@@ -55,9 +55,9 @@ class Inputs:
     @cached_property
     def bars(self) -> DataFrame:
         order = Window.partitionBy("symbol").orderBy("trade_date")
-        close = F.avg("px").over(trailing(100)) / 50
         return (
-            self.raw_bars.withColumn("close", close).withColumn("bar_no", F.row_number().over(order))
+            trailing_means(self.raw_bars, {"_mean": ("px", BAR_WARM_UP)}).withColumn("close", F.col("_mean") / 50)
+            .withColumn("bar_no", F.row_number().over(order))
             .where(F.col("bar_no") >= BAR_WARM_UP)
             .select(
                 "symbol", "trade_date", (F.col("close") * (1 - F.col("dn") / 2)).alias("open"),
@@ -184,7 +184,7 @@ class Inputs:
             F.max_by("close", "trade_date").alias("_close"), F.max("high").alias("high_52w"))
         paid = self.dividends.where(c("ex_date") >= F.date_sub(newest_value(self.dividends, "ex_date"), 365)).groupBy(
             "symbol").agg(F.sum("dividend").alias("_paid"))
-        rows = self.universe.select("symbol", "market_cap").join(newest, "symbol").join(price, "symbol").join(paid, "symbol", "left")
+        rows = star_join(self.universe.select("symbol", "market_cap").join(newest, "symbol").join(price, "symbol"), [paid])
         grown = ratio(c("revenue"), c("_rev4")) - 1
         earned = F.when(c("_ni4") > 0, c("net_income") / c("_ni4") - 1)
         return rows.select(

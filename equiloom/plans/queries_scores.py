@@ -13,7 +13,7 @@ FLAGS = " ".join(fundamental.FSCORE_FLAGS)
 
 add("g01_piotroski", f"symbol sector calculation_date {FLAGS} fscore strength_category current_roa* prior_roa* current_debt_ratio* "
     "prior_debt_ratio* current_ratio* current_margin* prior_margin* current_turnover* prior_turnover* latest_price* price_market_cap$",
-    lambda v: v.piotroski, "SELECT * FROM piotroski")
+    lambda v: fundamental.piotroski(v.fundamentals_q, v.universe, v.bars), "SELECT * FROM piotroski")
 add("g02_altman", "symbol sector calculation_date z_score* z_prime_score* working_capital_ratio* retained_earnings_ratio* ebit_ratio* "
     "market_to_book_liability* sales_to_assets* risk_category is_manufacturing", lambda v: v.altman, "SELECT * FROM altman")
 add("g03_beneish", "symbol calculation_date dsri* gmi* aqi* sgi* depi* sgai* lvgi* tata* m_score* manipulation_risk risk_flag quality_score* revenue_growth*",

@@ -292,24 +292,30 @@ def parameter_stability(best: DataFrame, strategy: str) -> tuple[DataFrame, Data
     return numeric, categorical
 
 
-def positions(trades: DataFrame, bars: DataFrame, universe: DataFrame) -> DataFrame:
-    """Bought shares per day and symbol with price, sector, returns and weight of the day."""
+def position_values(trades: DataFrame, bars: DataFrame, universe: DataFrame) -> DataFrame:
+    """Bought shares per day and symbol with price, sector, value and return of the day."""
     bought = trades.where(F.col("trade_type") == "BUY").groupBy("trade_date", "symbol").agg(F.sum("quantity").alias("shares"))
     moved = daily_returns(bars.select("symbol", "trade_date", "close"))
     priced = of_symbols(moved, universe.select("symbol", "sector")).select(
         "symbol", "trade_date", "sector", F.col("close").alias("price"), F.coalesce("daily_return", F.lit(0.0)).alias("daily_return"))
-    market = priced.groupBy("trade_date").agg(F.avg("daily_return").alias("market_return"))
-    rows = bought.join(priced, ["trade_date", "symbol"]).withColumn("market_value", F.col("shares") * F.col("price"))
-    return share_of_total(rows, ["trade_date"], "market_value").join(F.broadcast(market), "trade_date")
+    return bought.join(priced, ["trade_date", "symbol"]).withColumn("market_value", F.col("shares") * F.col("price"))
+
+
+def positions(values: DataFrame, bars: DataFrame) -> DataFrame:
+    """Position values with their weight of the day and the mean return of all symbols that day."""
+    moved = daily_returns(bars.select("symbol", "trade_date", "close"))
+    market = moved.groupBy("trade_date").agg(F.avg(F.coalesce("daily_return", F.lit(0.0))).alias("market_return"))
+    return share_of_total(values, ["trade_date"], "market_value").join(F.broadcast(market), "trade_date")
 
 
 def brinson_effects(held: DataFrame) -> DataFrame:
     """Allocation, selection and interaction per day and sector against equal sector weights."""
     c = F.col
-    # One row per (day, sector).
-    cells = held.groupBy("trade_date", "sector").agg(F.sum("market_value").alias("_mv"), F.avg("daily_return").alias("_r"))
+    # One row per (day, sector), stored: weights, sector count and mean all read it.
+    cells = checkpointed(held.groupBy("trade_date", "sector").agg(
+        F.sum("market_value").alias("_mv"), F.avg("daily_return").alias("_r")))
     weighed = share_of_total(cells, ["trade_date"], "_mv")
-    benchmark = 1.0 / held.agg(F.countDistinct("sector")).scalar()
+    benchmark = 1.0 / cells.agg(F.countDistinct("sector")).scalar()
     mean = cells.agg(F.avg("_r")).scalar()
     return weighed.select(
         "trade_date", "sector", ((c("weight") - benchmark) * c("_r")).alias("allocation_effect"),

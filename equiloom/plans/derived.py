@@ -20,6 +20,25 @@ CALENDAR_SCALE = 5
 
 
 class Derived(Inputs):
+    """Every step is lazy. Tables a real deployment keeps — one row per symbol, or per symbol
+    and quarter — are written to the shared folder where several later steps read them."""
+
+    @cached_property
+    def stored_excess(self) -> DataFrame:
+        return checkpointed(self.excess)
+
+    @cached_property
+    def stored_overview(self) -> DataFrame:
+        return checkpointed(self.overview)
+
+    @cached_property
+    def stored_master(self) -> DataFrame:
+        return checkpointed(self.master)
+
+    @cached_property
+    def stored_scores(self) -> DataFrame:
+        return checkpointed(self.score_history)
+
     @cached_property
     def piotroski(self) -> DataFrame:
         return fundamental.piotroski(self.fundamentals_q, self.universe)
@@ -38,7 +57,7 @@ class Derived(Inputs):
 
     @cached_property
     def dividend_quality(self) -> DataFrame:
-        return fundamental.dividend_sustainability(self.dividends, self.fundamentals_q, self.universe, self.excess)
+        return fundamental.dividend_sustainability(self.dividends, self.fundamentals_q, self.universe, self.stored_excess)
 
     @cached_property
     def breakout(self) -> DataFrame:
@@ -88,11 +107,11 @@ class Derived(Inputs):
 
     @cached_property
     def value_part(self) -> DataFrame:
-        return portfolio.portfolio_value_score(self.bars, self.fundamentals_q, self.overview, self.excess, self.as_of, years=5)
+        return portfolio.portfolio_value_score(self.bars, self.fundamentals_q, self.stored_overview, self.stored_excess, self.as_of, years=5)
 
     @cached_property
     def growth_part(self) -> DataFrame:
-        return portfolio.portfolio_growth_score(self.bars, self.bench, self.fundamentals_q, self.overview, self.excess,
+        return portfolio.portfolio_growth_score(self.bars, self.bench, self.fundamentals_q, self.stored_overview, self.stored_excess,
                                                 self.as_of, alpha_years=5, growth_years=3)
 
     @cached_property
@@ -101,7 +120,7 @@ class Derived(Inputs):
 
     @cached_property
     def portfolio_scores(self) -> DataFrame:
-        return portfolio.portfolio_scores(self.universe, self.excess, self.value_part, self.growth_part, self.dividend_part, ranked=False)
+        return portfolio.portfolio_scores(self.universe, self.stored_excess, self.value_part, self.growth_part, self.dividend_part, ranked=False)
 
     @cached_property
     def sector_daily(self) -> DataFrame:
@@ -109,7 +128,9 @@ class Derived(Inputs):
 
     @cached_property
     def sector_quality(self) -> DataFrame:
-        return sectors.sector_quality(self.universe, self.piotroski, self.altman, self.master, self.risk, self.ownership)
+        """Read from the stored master table, which carries every symbol's latest scores."""
+        scores = self.stored_master.withColumnRenamed("institutional_change", "quarter_change_pct")
+        return sectors.sector_quality(self.universe, scores, scores, scores, scores, scores)
 
     @cached_property
     def sector_momentum(self) -> DataFrame:
@@ -127,7 +148,7 @@ class Derived(Inputs):
     @cached_property
     def scores_at_rebalance(self) -> DataFrame:
         columns = ["value_score", "growth_score", "dividend_score", "composite_score"]
-        return evaluation.scores_at(self.calendar, self.score_history, columns)
+        return evaluation.scores_at(self.calendar, self.stored_scores, columns)
 
     @cached_property
     def picks(self) -> DataFrame:
@@ -137,9 +158,13 @@ class Derived(Inputs):
     def strategy_returns(self) -> DataFrame:
         return evaluation.strategy_returns(self.picks, self.bars, self.calendar, self.days)
 
+    @cached_property
+    def position_values(self) -> DataFrame:
+        return evaluation.position_values(self.trades, self.bars, self.universe)
+
     @cached_property
     def positions(self) -> DataFrame:
-        return evaluation.positions(self.trades, self.bars, self.universe)
+        return evaluation.positions(self.position_values, self.bars)
 
     @cached_property
     def factor_positions(self) -> DataFrame:

@@ -99,7 +99,7 @@ add("g37_parameter_grid_scores", "strategy combo symbol score*", grid_scores, "
 
 
 def grid_returns(v, strategy: str = "VALUE") -> DataFrame:
-    scored = ev.scores_at(v.months, v.score_history, SCORES)
+    scored = ev.scores_at(v.months, v.stored_scores, SCORES)
     return ev.grid_daily_returns(ev.parameter_grid_scores(scored, strategy), v.bars, v.months, v.days, strategy)
 
 
@@ -167,7 +167,7 @@ FROM (SELECT trade_date, sector, sum(market_value) AS mv, avg(daily_return) AS r
 view("brinson_rows", """
 SELECT sector, sum(active * r) AS allocation_effect, sum(bw * rel) AS selection_effect, sum(active * rel) AS interaction_effect FROM cells GROUP BY 1 UNION ALL
 SELECT 'TOTAL', sum(active * r), sum(bw * rel), sum(active * rel) FROM cells""")
-add("g40_brinson", "sector allocation_effect* selection_effect* interaction_effect* total_effect*", lambda v: ev.brinson(v.positions),
+add("g40_brinson", "sector allocation_effect* selection_effect* interaction_effect* total_effect*", lambda v: ev.brinson(v.position_values),
     "SELECT *, allocation_effect + selection_effect + interaction_effect AS total_effect FROM brinson_rows")
 view("factor_rows", """
 SELECT h.daily_return, value_score / 100 AS value_factor, growth_score / 100 AS growth_factor, momentum_score / 100 AS momentum_factor, composite_score / 100 AS quality_factor

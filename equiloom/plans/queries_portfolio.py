@@ -59,7 +59,7 @@ add("g20_portfolio_value_score", "symbol valuation_percentile* excess_cf_yield*
 add("g21_portfolio_growth_score", "symbol market_alpha* fundamental_growth* forward_growth_estimate* growth_score*", lambda v: v.growth_part, "SELECT * FROM growth_part")
 add("g22_portfolio_dividend_score", "symbol dividend_score* dividend_sustainability* dividend_growth_rate* payment_history_score*", lambda v: v.dividend_part, "SELECT * FROM dividend_part")
 add("g23_portfolio_scores", "symbol value_score* growth_score* dividend_score* valuation_percentile* market_alpha* fundamental_growth* payment_history_score* value_rank growth_rank dividend_rank",
-    lambda v: portfolio.portfolio_scores(v.universe, v.excess, v.value_part, v.growth_part, v.dividend_part), """
+    lambda v: portfolio.portfolio_scores(v.universe, v.stored_excess, v.value_part, v.growth_part, v.dividend_part), """
 SELECT *, rank() OVER (ORDER BY value_score DESC) AS value_rank, rank() OVER (ORDER BY growth_score DESC) AS growth_rank, rank() OVER (ORDER BY dividend_score DESC) AS dividend_rank FROM pscores""")
 # In the fixture every industry lies in one sector, so nested ranks give the capped pick.
 _selected = " UNION ALL ".join(f"""(

@@ -68,7 +68,7 @@ def sequence_check(v) -> DataFrame:
     return rows.select("symbol", "trade_date", "target", F.size("sequence").alias("steps"), F.col("sequence")[0]["relative_volume"].alias("first_volume"), total.alias("feature_sum"))
 
 
-add("g50_sequence_features", "symbol trade_date target* steps first_volume* feature_sum*", sequence_check, f"""
+add("g50_sequence_features", "symbol trade_date target* steps first_volume* feature_sum*3", sequence_check, f"""
 SELECT symbol, trade_date, return_1m AS target, 60 AS steps, first_volume, feature_sum FROM (SELECT *, lag(relative_volume, 60) OVER ({W}) AS first_volume,
   sum(coalesce(normalized_volatility, 0) + daily_range + price_to_sma200) OVER ({W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS feature_sum FROM feature_rows) WHERE k > 60""")
 add("g51_ensemble", "symbol trade_date predicted*", lambda v: learning.ensemble(naive(v), naive(v).withColumn("predicted", F.col("predicted") * F.col("predicted"))),

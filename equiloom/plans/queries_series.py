@@ -90,7 +90,7 @@ def sequence_summary(v):
                        total.alias("close_sum"), "target")
 
 
-add("w20_sequences", "symbol trade_date steps first_day close_sum* target*", sequence_summary, f"""
+add("w20_sequences", "symbol trade_date steps first_day close_sum*3 target*", sequence_summary, f"""
 SELECT symbol, trade_date, 60 AS steps, first_day, close_sum, target FROM (SELECT symbol, trade_date, close AS target, row_number() OVER ({W}) AS k,
   lag(trade_date, 60) OVER ({W}) AS first_day, sum(close) OVER ({W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS close_sum FROM bars) WHERE k > 60""")
 add("w21_cross_section_volatility", "market_vol* days", lambda v: series.cross_section_volatility(v.sector_daily), """

@@ -2,7 +2,7 @@
 
 A step of the network is a word (a run of letters, digits and non-ASCII characters, lower-case). Its input is a word part,
 how much likelier the word is in toxic texts of the sample and a trained embedding, and a character part, the mean of
-trained embeddings of its character trigrams. Texts are scored in windows of ``WINDOW`` words, each overlapping the next by half;
+trained embeddings of its character trigrams. Texts are scored in windows of ``WINDOW`` words, each overlapping the next by a quarter;
 a text is as toxic as its most toxic window, and is trained on that window.
 
 The sample: at most ``sample`` labelled texts of each class, of at most ``longest`` characters, by the order of a hash of their id.
@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from equiloom.llm.decontaminate import words_of
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 24
 HIDDEN, EMBEDDED, TRIGRAMS = 8, 4, 4096
 INPUTS = 1 + 2 * EMBEDDED
 KEPT_WORDS = 300_000
 CHUNK = 150_000
-WINDOWS_AT_ONCE = 2048
+WINDOWS_AT_ONCE = 1024
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -80,11 +81,13 @@ def run(net: Network, x: np.ndarray | None, real: np.ndarray, keep: list | None
     for side, order in ((0, range(length)), (1, range(length - 1, -1, -1))):
         h, u = np.zeros((n, HIDDEN), np.float32), w[f"u{side}"]
         for t in order:
-            gx = gates[0][side][gates[1][:, t]] if gates else x[:, t] @ w[f"x{side}"] + w[f"b{side}"]
+            gx = gates[0][side].take(gates[1][:, t], axis=0) if gates else x[:, t] @ w[f"x{side}"] + w[f"b{side}"]
             gh = h @ u
-            zr = 1 / (1 + np.exp(-(gx[:, :2 * HIDDEN] + gh[:, :2 * HIDDEN])))
+            zr = gx[:, :2 * HIDDEN] + gh[:, :2 * HIDDEN]
+            zr = 1 / (1 + np.exp(np.negative(zr, out=zr), out=zr))
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = np.tanh(gx[:, 2 * HIDDEN:] + r * gh[:, 2 * HIDDEN:])
+            c = gx[:, 2 * HIDDEN:] + r * gh[:, 2 * HIDDEN:]
+            c = 1 - 2 / (np.exp(2 * c) + 1)  # tanh
             new = c + z * (h - c)
             if not whole:
                 new = np.where(real[:, t, None], new, h)
@@ -92,15 +95,14 @@ def run(net: Network, x: np.ndarray | None, real: np.ndarray, keep: list | None
                 keep.append((side, t, h, z, r, c, gh))
             h = states[side, t] = new
     both = np.concatenate([states[0], states[1]], axis=2)
-    hidden = np.tanh(both @ w["attend"])
-    energy = hidden @ w["query"]
+    energy = both @ w["query"]
     energy = np.where(real.T, energy, -1e9)
     share = np.exp(energy - energy.max(axis=0))
     share = share * real.T
     share /= np.maximum(share.sum(axis=0), 1e-9)
     pooled = np.einsum("tn,tnh->nh", share, both)
     if keep is not None:
-        keep.append((both, hidden, share, pooled))
+        keep.append((both, share, pooled))
     return pooled @ w["out"] + w["bias"][0]
 
 
@@ -108,7 +110,7 @@ def gradients(net: Network, x: np.ndarray, real: np.ndarray, target: np.ndarray)
     """Gradients of the mean cross entropy by the weights and by the inputs."""
     w, keep = net.weights, []
     logit = run(net, x, real, keep)
-    both, hidden, share, pooled = keep.pop()
+    both, share, pooled = keep.pop()
     p = sigmoid(logit)
     loss = float(-np.mean(np.where(target > 0, np.log(p + 1e-7), np.log(1 - p + 1e-7))))
     d = ((p - target) / len(target)).astype(np.float32)
@@ -117,10 +119,8 @@ def gradients(net: Network, x: np.ndarray, real: np.ndarray, target: np.ndarray)
     d_pooled = d[:, None] * w["out"]
     d_share = np.einsum("nh,tnh->tn", d_pooled, both)
     d_energy = share * (d_share - (share * d_share).sum(axis=0))
-    d_hidden = d_energy[:, :, None] * w["query"] * (1 - hidden**2)
-    g["query"] = np.einsum("tn,tnh->h", d_energy, hidden)
-    g["attend"] = np.einsum("tnh,tnk->hk", both, d_hidden)
-    d_both = share[:, :, None] * d_pooled + d_hidden @ w["attend"].T
+    g["query"] = np.einsum("tn,tnh->h", d_energy, both)
+    d_both = share[:, :, None] * d_pooled + d_energy[:, :, None] * w["query"]
     dx = np.zeros_like(x)
     carried = [np.zeros((len(x), HIDDEN), np.float32) for _ in range(2)]
     for side, t, h, z, r, c, gh in reversed(keep):
@@ -155,7 +155,7 @@ def far_apart(texts: list[list[bytes]], words: int = 5, marks: int = 3) -> list[
     return out
 
 
-def train(texts: Sequence[bytes], labels: Sequence[int], epochs: int = 24, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: Sequence[bytes], labels: Sequence[int], epochs: int = 20, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
     """A network from texts labelled 0 or 1. With no text of one class the score is the share of toxic texts (0 with no text)."""
     found = [words_of(t) for t in texts]
     kept = far_apart(found)
@@ -175,14 +175,15 @@ def train(texts: Sequence[bytes], labels: Sequence[int], epochs: int = 24, batch
     def drawn(*shape: int, scale: float) -> np.ndarray:
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-    weights = {"words": drawn(len(vocabulary) + 1, EMBEDDED, scale=0.05), "trigrams": drawn(TRIGRAMS, EMBEDDED, scale=0.1), "attend": drawn(2 * HIDDEN, 2 * HIDDEN, scale=0.3), "query": drawn(2 * HIDDEN, scale=0.3), "out": drawn(2 * HIDDEN, scale=0.3), "bias": np.zeros(1, np.float32)}
+    weights = {"words": drawn(len(vocabulary) + 1, EMBEDDED, scale=0.05), "trigrams": drawn(TRIGRAMS, EMBEDDED, scale=0.1), "query": drawn(2 * HIDDEN, scale=0.3), "out": drawn(2 * HIDDEN, scale=0.3), "bias": np.zeros(1, np.float32)}
     for side in (0, 1):
         weights |= {f"x{side}": drawn(INPUTS, 3 * HIDDEN, scale=0.4), f"u{side}": drawn(HIDDEN, 3 * HIDDEN, scale=0.3), f"b{side}": np.zeros(3 * HIDDEN, np.float32)}
     net = Network({w: n + 1 for n, w in enumerate(vocabulary)}, np.array([0.0, *map(lift, vocabulary)], np.float32), weights)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in weights.items()}
     step = 0
     for epoch in range(epochs):
-        start = window_of_most(net, found)
+        if epoch % 2 == 0:
+            start = window_of_most(net, found)
         order = rng.permutation(len(found))
         for at in range(0, len(order), batch):
             chosen = order[at:at + batch]
@@ -225,7 +226,7 @@ def logits(net: Network, found: Sequence[list[bytes]], cache: dict | None = None
     if len(number) > KEPT_WORDS:
         number.clear()
         cache.pop("tables", None)
-    fresh = list(dict.fromkeys(w for words in found for w in words if w not in number))
+    fresh = list(set().union(*found).difference(number))
     if fresh or "tables" not in cache:
         more = _tables(net, fresh or [b"a"])
         if "tables" in cache:
@@ -235,7 +236,7 @@ def logits(net: Network, found: Sequence[list[bytes]], cache: dict | None = None
             number.clear() if not fresh else None
         base = len(cache["tables"][0]) - len(more[0])
         number.update({w: base + i for i, w in enumerate(fresh)})
-    ids = np.fromiter((number[w] for words in found for w in words), np.int64, sum(map(len, found)))
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
     ids = np.r_[ids, np.zeros(WINDOW, np.int64)]
     first = np.cumsum([0, *map(len, found)])[:-1]
     starts = [windows(len(words)) for words in found]

@@ -28,23 +28,11 @@ def running(order: str = "trade_date", key="symbol") -> WindowSpec:
 
 
 def trailing_means(df: DataFrame, means: dict[str, tuple[str, int]], order: str = "trade_date", key: str = "symbol") -> DataFrame:
-    """Means of the newest rows, from running totals: ``{name: (column, rows)}``.
+    """Means of the newest rows: ``{name: (column, rows)}``.
 
-    A sliding frame adds up all its rows again for every row; the difference of two running
-    totals costs the same for 20 rows as for 200.
+    Each frame adds up its own rows, so a NaN or a spike leaves with the row that brought it. All frames share one sort.
     """
-    window, run = by_symbol(order, key), running(order, key)
-    columns = sorted({column for column, _ in means.values()})
-    total = {c: f"_sum_{c}" for c in columns}
-    known = {c: f"_count_{c}" for c in columns}
-    summed = df.withColumns({total[c]: F.sum(F.col(c).cast("double")).over(run) for c in columns}
-                            | {known[c]: F.count(c).over(run) for c in columns})
-
-    def inside(name: str, rows: int) -> Column:
-        return F.col(name) - F.coalesce(F.lag(name, rows).over(window), F.lit(0))
-
-    averaged = {name: F.try_divide(inside(total[c], rows), inside(known[c], rows)) for name, (c, rows) in means.items()}
-    return summed.withColumns(averaged).drop(*total.values(), *known.values())
+    return df.withColumns({name: F.avg(F.col(c).cast("double")).over(trailing(rows, order, key)) for name, (c, rows) in means.items()})
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,

@@ -44,29 +44,46 @@ def with_percentile(df: DataFrame, rank: str, name: str = "percentile") -> DataF
     return df.withColumn(name, 100 - (F.col(rank) - 1) / total * 100)
 
 
+def levels(df: DataFrame, column: str, order: Column) -> DataFrame:
+    """(column, n, before) for each different value: its rows, and the rows ahead of it in the given order.
+
+    Rows are counted by value on every task before the shuffle; then only different values are sorted, so a value that
+    most rows share is one row here. Running counts are taken inside range partitions and shifted by the partitions before.
+    """
+    counted = df.groupBy(column).agg(F.count("*").alias("n"))
+    placed = checkpointed(counted.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    ahead = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.sum("n").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("n").over(ahead), F.lit(0))
+    return placed.withColumn("_inside", inside).join(F.broadcast(starts), "_part").select(column, "n", (F.col("_inside") + F.col("_start")).alias("before"))
+
+
 def tied_rank(df: DataFrame, score: str, tie: str, name: str, method: str = "min") -> DataFrame:
     """Competition (``min``) or ``dense`` rank, best score first; missing scores rank last."""
-    order = [F.col(score).desc_nulls_last()]
+    order = F.col(score).desc_nulls_last()
     if method == "dense":
-        levels = numbered(df.groupBy(score).agg(F.count("*").alias("_n")), order, name)
+        ranked = numbered(df.groupBy(score).agg(F.count("*").alias("_n")), [order], name)
     else:
-        placed = numbered(df.select(score, tie), order + [F.col(tie).asc()], "_row")
-        levels = placed.groupBy(score).agg(F.min("_row").alias(name))
-    levels = levels.select(F.col(score).alias("_score"), name)
+        ranked = levels(df, score, order).withColumn(name, F.col("before") + 1)
+    ranked = ranked.select(F.col(score).alias("_score"), name)
     return (
-        df.join(levels, F.col(score).eqNullSafe(F.col("_score")), "left").drop("_score")
+        df.join(ranked, F.col(score).eqNullSafe(F.col("_score")), "left").drop("_score")
     )
 
 
 def exact_quantiles(df: DataFrame, column: str, quantiles: dict[str, float]) -> DataFrame:
     """One row of linearly interpolated quantiles of a whole column."""
-    values = df.select(column).where(F.col(column).isNotNull())
-    placed = numbered(values, [F.col(column).asc()], "_row")
-    span = placed.agg(F.count("*") - 1).scalar()
+    placed = levels(df.select(column).where(F.col(column).isNotNull()), column, F.col(column).asc())
+    span = placed.agg(F.sum("n") - 1).scalar()
     found = []
     for name, share in quantiles.items():
         at = F.lit(share) * span
-        low = F.max(F.when(F.col("_row") == F.floor(at) + 1, F.col(column)))
-        high = F.max(F.when(F.col("_row") == F.ceil(at) + 1, F.col(column)))
+
+        def value(row: Column) -> Column:
+            return F.max(F.when((F.col("before") <= row) & (row < F.col("before") + F.col("n")), F.col(column)))
+
+        low, high = value(F.floor(at)), value(F.ceil(at))
         found.append((low + (high - low) * (F.first(at) - F.floor(F.first(at)))).alias(name))
     return placed.agg(*found)

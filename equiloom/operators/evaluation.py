@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from equiloom.functions.expressions import compounded, ratio
 from equiloom.functions.frames import top_per_group
-from equiloom.functions.ranking import exact_quantiles
 from equiloom.operators.aggregates import concentration, share_of_total
 from equiloom.operators.joins import as_of_join, in_period, of_symbols
 from equiloom.operators.series import daily_returns
@@ -202,7 +201,7 @@ def grid_daily_returns(scored: DataFrame, bars: DataFrame, calendar: DataFrame,
     """
     sizes, frequencies = PORTFOLIO_GRID[strategy]
     order = [F.round("score", 8).desc(), F.asc("symbol")]
-    picks = top_per_group(scored.where(F.col("score") > 0), ["rebalance_date", "combo"], order, max(sizes), "pick_no")
+    picks = checkpointed(top_per_group(scored.where(F.col("score") > 0), ["rebalance_date", "combo"], order, max(sizes), "pick_no").select("rebalance_date", "combo", "symbol", "pick_no"))
     counts = picks.groupBy("rebalance_date", "combo").agg(F.count("*").alias("_picked"))
     numbered = picks.join(counts, ["rebalance_date", "combo"]).join(
         F.broadcast(calendar.select("rebalance_date", "period_no")), "rebalance_date")
@@ -212,7 +211,8 @@ def grid_daily_returns(scored: DataFrame, bars: DataFrame, calendar: DataFrame,
     held = held.select(
         "combo", "symbol", "pick_no", "_picked", F.col("_s.f").alias("rebalance_freq"),
         F.explode(F.sequence("period_no", F.col("period_no") + F.col("_s.m") - 1)).alias("period_no"))
-    placed = held_returns(bars, calendar, days)
+    # Only symbols that some combination holds have to be priced.
+    placed = held_returns(bars.join(picks.select("symbol").distinct(), "symbol", "left_semi"), calendar, days)
     joined = held.join(placed, ["symbol", "period_no"])
 
     def portfolio(n: int) -> Column:
@@ -253,7 +253,7 @@ def walk_forward(returns: DataFrame, windows: DataFrame, days: DataFrame, strate
     returns = checkpointed(returns)
     trained = _window_sharpe(returns, windows, days, "train_start", "train_end", keys, "train")
     best = F.max_by(F.struct(*keys, "train_return", "train_sharpe"),
-                    F.struct("train_sharpe", -F.col("combo"), -F.col("num_stocks"), F.col("rebalance_freq") == "monthly"))
+                    F.struct("train_sharpe", -F.col("combo"), -F.col("num_stocks"), F.col("rebalance_freq") == min(PORTFOLIO_GRID[strategy][1])))
     chosen = trained.groupBy("train_start").agg(best.alias("_b")).select("train_start", "_b.*")
     tested = _window_sharpe(returns, windows, days, "test_start", "test_end", keys, "test")
     rows = windows.join(chosen, "train_start").join(tested, ["train_start", *keys], "left")
@@ -342,19 +342,28 @@ FACTORS = ("value_factor", "growth_factor", "momentum_factor", "quality_factor")
 def factor_attribution(held: DataFrame) -> DataFrame:
     """Exposure and return spread per factor; ``held`` carries the factor columns.
 
-    Medians over all positions come from a distributed sort, not from one big group.
+    A factor has one value per symbol, so positions are first summed by (factor, value) on every task; medians and
+    averages follow from that small table.
     """
-    held = checkpointed(held)
-    medians = {f: exact_quantiles(held, f, {"m": 0.5}).scalar() for f in FACTORS}
-    r = F.col("daily_return")
+    c = F.col
+    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), c(f).alias("value")) for f in FACTORS)))
+    by_value = checkpointed(held.select("daily_return", pairs.alias("p")).select("daily_return", "p.*").groupBy("factor", "value").agg(F.count("value").alias("n"), F.sum("daily_return").alias("gained")))
+    whole = Window.partitionBy("factor")
+    ahead = whole.orderBy(c("value").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = by_value.withColumns({"before": F.coalesce(F.sum("n").over(ahead), F.lit(0)), "all": F.sum("n").over(whole)})
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((c("before") <= place) & (place < c("before") + c("n")), c("value"))).over(whole)
+
+    rows = rows.withColumn("median", (at(F.floor((c("all") - 1) / 2)) + at(F.ceil((c("all") - 1) / 2))) / 2)
 
-    def facts(f: str) -> Column:
-        high = F.coalesce(F.avg(F.when(F.col(f) > medians[f], r)), F.lit(0.0))
-        low = F.coalesce(F.avg(F.when(F.col(f) <= medians[f], r)), F.lit(0.0))
-        return F.struct(F.lit(f).alias("factor"), F.avg(f).alias("exposure"), (high - low).alias("factor_return"))
+    def average(where: Column) -> Column:
+        return F.coalesce(F.try_divide(F.sum(F.when(where, c("gained"))), F.sum(F.when(where, c("n")))), F.lit(0.0))
 
-    rows = held.agg(*[facts(f).alias(f) for f in FACTORS]).select(F.inline(F.array(*FACTORS)))
-    return rows.withColumn("contribution", F.col("exposure") * F.col("factor_return"))
+    facts = rows.groupBy("factor").agg(
+        F.try_divide(F.sum(c("n") * c("value")), F.sum("n")).alias("exposure"),
+        (average(c("value") > c("median")) - average(c("value") <= c("median"))).alias("factor_return"))
+    return facts.withColumn("contribution", c("exposure") * c("factor_return"))
 
 
 def risk_attribution(held: DataFrame) -> DataFrame:

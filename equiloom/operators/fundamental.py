@@ -161,7 +161,7 @@ def cash_rating(pct: Column) -> Column:
     return F.coalesce(ladder(pct, CASH_RATINGS, "Warning"), F.lit("Unknown"))
 
 
-def yearly_excess(quarters: DataFrame, dividends: DataFrame, years: int = 30) -> DataFrame:
+def yearly_excess(quarters: DataFrame, dividends: DataFrame) -> DataFrame:
     """Cash left per share and year after dividends and capital spending."""
     c = F.col
     annual = annual_fundamentals(quarters).where(
@@ -175,8 +175,8 @@ def yearly_excess(quarters: DataFrame, dividends: DataFrame, years: int = 30) ->
     )
     excess = c("cash_flow_per_share") - c("dividends_per_share") - c("capex_per_share")
     pct = F.when(c("cash_flow_per_share") > 0, excess / c("cash_flow_per_share") * 100)
-    history = joined.withColumns({"excess_cash_flow": excess, "excess_cash_flow_pct": pct})
-    return top_per_group(history, ["symbol"], [F.desc("fiscal_year")], years)
+    newest = Window.partitionBy("symbol").orderBy(F.desc("fiscal_year"))
+    return joined.withColumns({"excess_cash_flow": excess, "excess_cash_flow_pct": pct, "row_no": F.row_number().over(newest)})
 
 
 def known_points(history: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from equiloom.functions.expressions import ladder, ratio
 from equiloom.functions.frames import latest_by
@@ -61,15 +61,30 @@ def split_by_date(features: DataFrame, shares: tuple[float, float] = (0.64, 0.80
     }
 
 
-def train_return_model(train: DataFrame, inputs: list[str], trees: int = 60, depth: int = 6, rate: float = 0.05) -> PipelineModel:
-    """Robust scaling and boosted trees, all fitted by Spark ML over the whole training part."""
+def train_return_model(train: DataFrame, inputs: list[str], validation: DataFrame | None = None, trees: int = 60, depth: int = 6, rate: float = 0.05) -> PipelineModel:
+    """Robust scaling and boosted trees, all fitted by Spark ML over the whole training part.
+
+    With validation rows no more trees are added once these stop gaining.
+    """
     stages = [
         VectorAssembler(inputCols=inputs, outputCol="raw"),
         RobustScaler(inputCol="raw", outputCol="features", withCentering=True),
         GBTRegressor(featuresCol="features", labelCol="target", predictionCol="predicted", maxIter=trees, maxDepth=depth,
                      stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=5, seed=42),
     ]
-    return Pipeline(stages=stages).fit(train)
+    rows = train
+    if validation is not None:
+        stages[-1].setValidationIndicatorCol("held_back")
+        rows = train.withColumn("held_back", F.lit(False)).unionByName(validation.withColumn("held_back", F.lit(True)))
+    scaled = Pipeline(stages=stages[:-1]).fit(train)
+    return PipelineModel([*scaled.stages, stages[-1].fit(scaled.transform(rows))])
+
+
+def importances(model: PipelineModel, inputs: list[str]) -> DataFrame:
+    """Share of the trees' gain by input."""
+    gain = model.stages[-1].featureImportances
+    spark = SparkSession.active()
+    return spark.createDataFrame([(name, float(gain[n])) for n, name in enumerate(inputs)], "feature string, importance double")
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:

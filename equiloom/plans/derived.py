@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from equiloom.functions.frames import latest_by, newest_value
 from equiloom.operators import accounts, evaluation, fundamental, portfolio, sectors, signals, technical
 from equiloom.plans.fixtures import Inputs
-from equiloom.session import checkpointed
+from equiloom.session import checkpointed, stored
 
 LOOKBACK_DAYS = 2500
 CALENDAR_SCALE = 5
@@ -193,3 +193,27 @@ class Derived(Inputs):
                 "r.selection_score", (F.col("pos") + 1).alias("selection_rank"), F.lit(1.0).alias("entry_price"),
                 F.lit(10.0).alias("weight"), F.lit(True).alias("is_active")))
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+class Kept(Derived):
+    """The same tables, with bars, quarters and sector days written to the shared folder once and read from there."""
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return stored(super().bars, "bars")
+
+    @cached_property
+    def fundamentals_q(self) -> DataFrame:
+        return stored(super().fundamentals_q, "quarters")
+
+    @cached_property
+    def dividends(self) -> DataFrame:
+        return self.bars.where("dividend_amount > 0").select("symbol", F.col("trade_date").alias("ex_date"), (F.col("dividend_amount") / 100).alias("dividend"))
+
+    @cached_property
+    def as_of(self) -> Column:
+        return newest_value(self.bars, "trade_date")
+
+    @cached_property
+    def sector_daily(self) -> DataFrame:
+        return stored(super().sector_daily, "sector-days")

@@ -15,7 +15,7 @@ from equiloom.sources.tables import read_table
 SECTOR_OF_REGION = {
     "AFRICA": "Industrials", "AMERICA": "Technology", "ASIA": "Energy", "EUROPE": "Consumer Staples",
 }
-BAR_WARM_UP = 100
+MEAN_ROWS = 100
 
 
 class Inputs:
@@ -54,11 +54,9 @@ class Inputs:
 
     @cached_property
     def bars(self) -> DataFrame:
-        order = Window.partitionBy("symbol").orderBy("trade_date")
+        """Early bars have the mean of the bars there are."""
         return (
-            trailing_means(self.raw_bars, {"_mean": ("px", BAR_WARM_UP)}).withColumn("close", F.col("_mean") / 50)
-            .withColumn("bar_no", F.row_number().over(order))
-            .where(F.col("bar_no") >= BAR_WARM_UP)
+            trailing_means(self.raw_bars, {"_mean": ("px", MEAN_ROWS)}).withColumn("close", F.col("_mean") / 50)
             .select(
                 "symbol", "trade_date", (F.col("close") * (1 - F.col("dn") / 2)).alias("open"),
                 (F.col("close") * (1 + F.col("up"))).alias("high"),

@@ -21,6 +21,8 @@ FROM (SELECT rebalance_date, (SELECT min(trade_date) FROM days WHERE trade_date
 
 _calendar("calendar", "3 MONTH")
 _calendar("months", "1 MONTH")
+_calendar("weeks", "7 DAY")
+_calendar("years", "1 YEAR")
 
 
 def _scored(name: str, calendar: str) -> None:
@@ -35,23 +37,45 @@ view("picks", "SELECT * FROM (" + " UNION ALL ".join(f"""
 SELECT '{name}' AS strategy, rebalance_date, symbol, {column} AS score, 0.1 AS weight,
   row_number() OVER (PARTITION BY rebalance_date ORDER BY {column} DESC, symbol) AS pick_no FROM quarter_scores WHERE {column} IS NOT NULL"""
      for name, column in ev.STRATEGY_SCORES.items()) + ") WHERE pick_no <= 10")
-view("pick_moves", """
+
+
+def _returns(picks: str, moves: str, gross: str, daily: str) -> None:
+    """Turnover, gross and net daily returns of a table of picks."""
+    view(moves, f"""
 SELECT strategy, period_no, sum(abs(d)) AS turnover FROM (SELECT strategy, period_no, symbol, sum(w) AS d FROM (
-  SELECT strategy, period_no, symbol, weight AS w FROM picks p JOIN calendar c ON p.rebalance_date = c.rebalance_date UNION ALL
-  SELECT strategy, period_no + 1, symbol, -weight FROM picks p JOIN calendar c ON p.rebalance_date = c.rebalance_date) GROUP BY 1, 2, 3)
+  SELECT strategy, period_no, symbol, weight AS w FROM {picks} p JOIN calendar c ON p.rebalance_date = c.rebalance_date UNION ALL
+  SELECT strategy, period_no + 1, symbol, -weight FROM {picks} p JOIN calendar c ON p.rebalance_date = c.rebalance_date) GROUP BY 1, 2, 3)
 WHERE period_no <= (SELECT max(period_no) FROM calendar) GROUP BY 1, 2""")
-view("strategy_gross", """
+    view(gross, f"""
 SELECT p.strategy, c.period_no, r.trade_date, sum(p.weight * r.r) AS gross_return,
   row_number() OVER (PARTITION BY p.strategy, c.period_no ORDER BY r.trade_date) AS k
-FROM picks p JOIN calendar c ON p.rebalance_date = c.rebalance_date JOIN returns r ON r.symbol = p.symbol AND r.trade_date > c.entry_day AND r.trade_date <= c.next_entry
+FROM {picks} p JOIN calendar c ON p.rebalance_date = c.rebalance_date JOIN returns r ON r.symbol = p.symbol AND r.trade_date > c.entry_day AND r.trade_date <= c.next_entry
 GROUP BY 1, 2, 3""")
-view("strategy_daily", """
+    view(daily, f"""
 SELECT g.*, CASE WHEN k = 1 THEN m.turnover * 0.002 ELSE 0 END AS cost, gross_return - CASE WHEN k = 1 THEN m.turnover * 0.002 ELSE 0 END AS net_return
-FROM strategy_gross g JOIN pick_moves m ON g.strategy = m.strategy AND g.period_no = m.period_no""")
+FROM {gross} g JOIN {moves} m ON g.strategy = m.strategy AND g.period_no = m.period_no""")
+
+
+_returns("picks", "pick_moves", "strategy_gross", "strategy_daily")
+view("kelly_picks", """
+SELECT * REPLACE (coalesce(final_position_pct / 100, 0.05) / sum(coalesce(final_position_pct / 100, 0.05)) OVER (PARTITION BY strategy, rebalance_date) AS weight)
+FROM picks LEFT JOIN (SELECT symbol, final_position_pct FROM kelly) k USING (symbol)""")
+_returns("kelly_picks", "kelly_moves", "kelly_gross", "kelly_daily")
+
+
+def kelly_returns(v) -> DataFrame:
+    """Strategy returns with each pick weighted by its Kelly position, 5 % where there is none."""
+    sizes = v.kelly.select("symbol", (F.col("final_position_pct") / 100).alias("size"))
+    picks = ev.pick_weights(v.scores_at_rebalance.join(sizes, "symbol", "left"), size="size")
+    return ev.strategy_returns(picks, v.bars, v.calendar, v.days)
+
 
 add("c08_rebalance_calendar", "rebalance_date entry_day next_entry period_no", lambda v: v.calendar, "SELECT * FROM calendar")
+for _frequency, _name in (("monthly", "months"), ("weekly", "weeks"), ("annual", "years")):
+    add(f"c08_rebalance_calendar_{_frequency}", "rebalance_date entry_day next_entry period_no", lambda v, f=_frequency: ev.rebalance_calendar(v.days, f), f"SELECT * FROM {_name}")
 add("l02_top_per_group", "strategy rebalance_date symbol score* weight* pick_no", lambda v: v.picks, "SELECT * FROM picks")
 add("g35_strategy_returns", "strategy period_no trade_date gross_return* cost* net_return*", lambda v: v.strategy_returns, "SELECT * FROM strategy_daily")
+add("g35_strategy_returns_kelly", "strategy period_no trade_date gross_return* cost* net_return*", kelly_returns, "SELECT * FROM kelly_daily")
 add("g36_performance_stats", "strategy total_return* annual_return* days volatility* sharpe_ratio* max_drawdown* win_rate*",
     lambda v: ev.performance_stats(v.strategy_returns), """
 SELECT strategy, product(1 + net_return) - 1 AS total_return, pow(product(1 + net_return), 252 / count(*)) - 1 AS annual_return, count(*) AS days,
@@ -107,40 +131,55 @@ def walked(v, strategy: str = "VALUE") -> DataFrame:
     return ev.walk_forward(grid_returns(v, strategy), ev.walk_windows(v.days), v.days, strategy)
 
 
-view("grid_picks", f"""
-SELECT *, count(*) OVER (PARTITION BY rebalance_date, combo) AS picked FROM (
-  SELECT *, row_number() OVER (PARTITION BY rebalance_date, combo ORDER BY round(score, 8) DESC, symbol) AS pick_no FROM (
-    SELECT symbol, rebalance_date, combo, {GRID_SQL['VALUE']} AS score FROM month_scores, ({_sql_combos('VALUE')})) WHERE score > 0) WHERE pick_no <= 15""")
-view("grid_held", """
-SELECT combo, symbol, pick_no, picked, 'monthly' AS rebalance_freq, period_no FROM grid_picks p JOIN months m ON p.rebalance_date = m.rebalance_date UNION ALL
-SELECT combo, symbol, pick_no, picked, 'quarterly', period_no + unnest([0, 1, 2]) FROM grid_picks p JOIN months m ON p.rebalance_date = m.rebalance_date WHERE period_no % 3 = 0""")
-view("month_returns", """
-SELECT symbol, trade_date, period_no, r FROM returns JOIN months ON trade_date > entry_day AND trade_date <= next_entry""")
-view("grid_daily", """
-SELECT combo, rebalance_freq, trade_date, n AS num_stocks, coalesce(sum(r) FILTER (pick_no <= n), 0) / least(n, any_value(picked)) AS daily_return
-FROM grid_held h JOIN month_returns r ON h.symbol = r.symbol AND h.period_no = r.period_no, (SELECT unnest([8, 10, 12, 15]) AS n) GROUP BY 1, 2, 3, 4""")
 view("walk_windows", """
 SELECT train_start, train_end, train_end AS test_start, least(CAST(train_end + INTERVAL 3 MONTH AS date), z) AS test_end FROM (
   SELECT CAST(s AS date) AS train_start, CAST(s + INTERVAL 12 MONTH AS date) AS train_end, z FROM (
     SELECT unnest(generate_series(min(trade_date)::timestamp, max(trade_date)::timestamp, INTERVAL 3 MONTH)) AS s, max(trade_date) AS z FROM days)) WHERE train_end < z""")
 
 
-def _sharpe(start: str, end: str, prefix: str) -> str:
+#: Portfolio sizes, and months a pick is kept by frequency.
+SQL_PORTFOLIOS = {"VALUE": ([8, 10, 12, 15], {"monthly": 1, "quarterly": 3}), "GROWTH": ([8, 10, 12, 15], {"monthly": 1, "quarterly": 3}),
+                  "DIVIDEND": ([10, 15, 20], {"quarterly": 3, "annual": 12}), "BALANCED": ([15, 20, 25], {"monthly": 1, "quarterly": 3})}
+view("month_returns", """
+SELECT symbol, trade_date, period_no, r FROM returns JOIN months ON trade_date > entry_day AND trade_date <= next_entry""")
+
+
+def _sharpe(daily: str, start: str, end: str, prefix: str) -> str:
     return f"""
 SELECT train_start, combo, num_stocks, rebalance_freq, product(1 + daily_return) - 1 AS {prefix}_return,
   round(coalesce((pow(product(1 + daily_return), 252 / count(*)) - 1 - 0.03) / CASE WHEN round(stddev_pop(daily_return) * sqrt(252), 12) > 0 THEN stddev_pop(daily_return) * sqrt(252) END, 0), 6) AS {prefix}_sharpe
-FROM grid_daily JOIN walk_windows ON trade_date >= {start} AND trade_date < {end} GROUP BY 1, 2, 3, 4"""
+FROM {daily} JOIN walk_windows ON trade_date >= {start} AND trade_date < {end} GROUP BY 1, 2, 3, 4"""
 
 
-view("walk_train", _sharpe("train_start", "train_end", "train"))
-view("walk_test", _sharpe("test_start", "test_end", "test"))
-view("walk_best", f"""
+def _walk(strategy: str, tail: str) -> None:
+    """Views of one strategy's search, named with ``tail``."""
+    sizes, kept = SQL_PORTFOLIOS[strategy]
+    view(f"grid_picks{tail}", f"""
+SELECT *, count(*) OVER (PARTITION BY rebalance_date, combo) AS picked FROM (
+  SELECT *, row_number() OVER (PARTITION BY rebalance_date, combo ORDER BY round(score, 8) DESC, symbol) AS pick_no FROM (
+    SELECT symbol, rebalance_date, combo, {GRID_SQL[strategy]} AS score FROM month_scores, ({_sql_combos(strategy)})) WHERE score > 0) WHERE pick_no <= {max(sizes)}""")
+    view(f"grid_held{tail}", " UNION ALL ".join(f"""
+SELECT combo, symbol, pick_no, picked, '{f}' AS rebalance_freq, period_no + unnest(range({m})) AS period_no FROM grid_picks{tail} p JOIN months m ON p.rebalance_date = m.rebalance_date WHERE period_no % {m} = 0"""
+        for f, m in kept.items()))
+    view(f"grid_daily{tail}", f"""
+SELECT combo, rebalance_freq, trade_date, n AS num_stocks, coalesce(sum(r) FILTER (pick_no <= n), 0) / least(n, any_value(picked)) AS daily_return
+FROM grid_held{tail} h JOIN month_returns r ON h.symbol = r.symbol AND h.period_no = r.period_no, (SELECT unnest({sizes}) AS n) GROUP BY 1, 2, 3, 4""")
+    view(f"walk_train{tail}", _sharpe(f"grid_daily{tail}", "train_start", "train_end", "train"))
+    view(f"walk_test{tail}", _sharpe(f"grid_daily{tail}", "test_start", "test_end", "test"))
+    view(f"walk_best{tail}", f"""
 SELECT w.*, b.combo, b.num_stocks, b.rebalance_freq, b.train_return, b.train_sharpe, t.test_return, coalesce(t.test_sharpe, 0) AS test_sharpe, g.* EXCLUDE (combo),
   b.train_sharpe - coalesce(t.test_sharpe, 0) AS sharpe_degradation, abs(b.train_sharpe - coalesce(t.test_sharpe, 0)) AS parameter_stability
-FROM walk_windows w JOIN (SELECT *, row_number() OVER (PARTITION BY train_start ORDER BY train_sharpe DESC, combo, num_stocks, rebalance_freq) AS k FROM walk_train) b
+FROM walk_windows w JOIN (SELECT *, row_number() OVER (PARTITION BY train_start ORDER BY train_sharpe DESC, combo, num_stocks, rebalance_freq) AS k FROM walk_train{tail}) b
   ON w.train_start = b.train_start AND k = 1
-LEFT JOIN walk_test t ON b.train_start = t.train_start AND b.combo = t.combo AND b.num_stocks = t.num_stocks AND b.rebalance_freq = t.rebalance_freq
-JOIN ({_sql_combos('VALUE')}) g ON b.combo = g.combo""")
+LEFT JOIN walk_test{tail} t ON b.train_start = t.train_start AND b.combo = t.combo AND b.num_stocks = t.num_stocks AND b.rebalance_freq = t.rebalance_freq
+JOIN ({_sql_combos(strategy)}) g ON b.combo = g.combo""")
+
+
+_walk("VALUE", "")
+WALK = "train_start train_end test_start test_end combo num_stocks rebalance_freq {} train_return* train_sharpe* test_return* test_sharpe* sharpe_degradation* parameter_stability*"
+for _strategy in ("GROWTH", "DIVIDEND", "BALANCED"):
+    _walk(_strategy, f"_{_strategy.lower()}")
+    add(f"g38_walk_forward_{_strategy.lower()}", WALK.format(" ".join(f"{p}*" for p in ev.SCORE_GRID[_strategy])), lambda v, s=_strategy: walked(v, s), f"SELECT * FROM walk_best_{_strategy.lower()}")
 VALUE_PARAMETERS = list(ev.SCORE_GRID["VALUE"])
 add("g38_walk_forward", "train_start train_end test_start test_end combo num_stocks rebalance_freq " + " ".join(f"{p}*" for p in VALUE_PARAMETERS)
     + " train_return* train_sharpe* test_return* test_sharpe* sharpe_degradation* parameter_stability*", walked, "SELECT * FROM walk_best")

@@ -29,14 +29,38 @@ add("g46_ml_features", "symbol trade_date target* " + " ".join(f"{s}*" for s in
     + " FROM (SELECT * FROM targets WHERE target <> 0) t ASOF LEFT JOIN score_history h ON t.symbol = h.symbol AND t.trade_date >= h.signal_date JOIN universe u ON t.symbol = u.symbol")
 
 
-def trained(v) -> DataFrame:
-    """Trains on the oldest days and predicts the newest ones; no SQL equivalent."""
+def fitted(v) -> tuple:
+    """Trained on the oldest days, held back by the following ones; the newest are left to predict."""
     parts = learning.split_by_date(checkpointed(features(v)))
-    model = learning.train_return_model(parts["train"], learning.feature_names(SCORES), trees=10, depth=4)
-    return learning.predict(model, parts["test"])
+    return learning.train_return_model(parts["train"], learning.feature_names(SCORES), parts["validation"]), parts
 
 
-add("g47_train_return_model", "symbol trade_date target* predicted*", trained)
+def trained(v) -> DataFrame:
+    model, parts = fitted(v)
+    return learning.predict(model, parts["test"]).withColumn("finite", F.col("predicted").isNotNull() & ~F.isnan("predicted") & (F.abs("predicted") < 10))
+
+
+def trained_facts(v) -> DataFrame:
+    """What must hold of any fit: rows and days of each part, and a training error below that of the mean."""
+    model, parts = fitted(v)
+    rows = [learning.predict(model, df).select(F.lit(part).alias("part"), "trade_date", "target", "predicted") for part, df in parts.items()]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    facts = every.groupBy("part").agg(
+        F.count("*").alias("samples"), F.countDistinct("trade_date").alias("days"),
+        (F.avg(F.pow(F.col("predicted") - F.col("target"), F.lit(2.0))) < F.var_pop("target")).alias("better"))
+    shares = learning.importances(model, learning.feature_names(SCORES)).agg(F.abs(F.sum("importance") - 1) < 1e-6).scalar()
+    return facts.select("part", "samples", "days", F.when(F.col("part") == "train", F.col("better")).alias("beats_mean"), shares.alias("importances_sum_to_one"))
+
+
+view("ml_rows", """
+SELECT t.symbol, t.trade_date, target FROM (SELECT * FROM targets WHERE target <> 0) t JOIN universe u ON t.symbol = u.symbol""")
+view("ml_cuts", """
+SELECT quantile_cont(epoch(trade_date) / 86400, 0.64) AS a, quantile_cont(epoch(trade_date) / 86400, 0.8) AS b FROM (SELECT DISTINCT trade_date FROM ml_rows)""")
+add("g47_train_return_model", "symbol trade_date target* finite", trained,
+    "SELECT symbol, trade_date, target, true AS finite FROM ml_rows, ml_cuts WHERE epoch(trade_date) / 86400 > b")
+add("g47_training_facts", "part samples days beats_mean importances_sum_to_one", trained_facts, """
+SELECT part, count(*) AS samples, count(DISTINCT trade_date) AS days, CASE WHEN part = 'train' THEN true END AS beats_mean, true AS importances_sum_to_one
+FROM (SELECT *, CASE WHEN epoch(trade_date) / 86400 <= a THEN 'train' WHEN epoch(trade_date) / 86400 <= b THEN 'validation' ELSE 'test' END AS part FROM ml_rows, ml_cuts) GROUP BY part""")
 
 
 def naive(v) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, functions as F
 
 from equiloom import schemas
@@ -13,7 +11,7 @@ from equiloom.operators import aggregates, filters, fundamental, joins, learning
 from equiloom.operators.fundamental import FSCORE_FLAGS
 from equiloom.plans import payload_fixtures as pf
 from equiloom.plans.registry import add, view
-from equiloom.session import shared_dir
+from equiloom.session import scratch
 from equiloom.sources import maintenance, payloads, tables
 from equiloom.streaming import ingest
 
@@ -24,11 +22,6 @@ def _cut():
     return F.lit("1999-06-30").cast("date")
 
 
-def scratch(v, name: str) -> str:
-    """A path of its own under the shared folder."""
-    return f"{shared_dir(v.spark)}/{name}-{uuid4().hex}"
-
-
 # Sources and sinks.
 add("k00_read_table", "l_orderkey l_suppkey l_quantity l_extendedprice l_shipdate", lambda v: v.table("lineitem"), "SELECT * FROM lineitem")
 
@@ -45,7 +38,7 @@ add("k02_update_from", "symbol ex_date dividend* frequency", lambda v: fundament
 
 
 def written(v) -> DataFrame:
-    path, late = scratch(v, "dividends"), F.col("ex_date") > _cut()
+    path, late = scratch(v.spark, "dividends"), F.col("ex_date") > _cut()
     table = tables.for_sink(v.dividends.withColumn("year", F.year("ex_date")), {"dividend": schemas.PRICE})
     tables.replace_table(table.where(late), path, "year")
     tables.replace_table(table.where(~late), path, "year")
@@ -56,7 +49,7 @@ add("k03_sinks", "symbol ex_date dividend year", written, "SELECT symbol, ex_dat
 
 
 def listed(v) -> DataFrame:
-    path = scratch(v, "listing")
+    path = scratch(v.spark, "listing")
     pf.listing(v).write.option("header", True).csv(path)
     return tables.read_listing_csv(v.spark, path)
 
@@ -93,7 +86,7 @@ SELECT symbol, fiscal_date, 'quarterly' AS period_type, revenue, (operating_inco
 FROM statement_base""")
 add("k08_parse_overview", "symbol sector industry text_length market_cap$ pe_ratio* price_to_book* dividend_yield* profit_margin* quarterly_earnings_growth* shares_outstanding high_52w* latest_quarter",
     lambda v: payloads.parse_overview(pf.overview_payloads(v)).withColumn("text_length", F.length("description")), """
-SELECT o.symbol, sector, industry, least(1000, 80 * length(name)) AS text_length, market_cap, CASE WHEN pe_ratio > 0 THEN pe_ratio END AS pe_ratio, pb_ratio AS price_to_book, dividend_yield,
+SELECT o.symbol, sector, industry, 80 * length(name) AS text_length, market_cap, CASE WHEN pe_ratio > 0 THEN pe_ratio END AS pe_ratio, pb_ratio AS price_to_book, dividend_yield,
   CASE WHEN o.symbol % 5 <> 0 THEN profit_margin END AS profit_margin, quarterly_earnings_growth, o.symbol * 1234567 AS shares_outstanding, high_52w,
   CASE WHEN o.symbol % 4 <> 0 THEN DATE '2001-09-30' END AS latest_quarter FROM overview o JOIN universe u ON o.symbol = u.symbol""")
 add("k09_parse_insider", "symbol transaction_date owner_name owner_title transaction_type shares price_per_share total_value is_ceo is_cfo is_director is_officer",
@@ -141,22 +134,14 @@ add("k14_dedupe_on_key", "symbol transaction_date transaction_type total_value e
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, transaction_date, transaction_type ORDER BY total_value DESC, event_id DESC) AS k FROM insider) WHERE k = 1""")
 
 
-def streamed(v) -> DataFrame:
-    """Drains the line-item file as a stream into a keyed table of newest ship dates."""
-    root = scratch(v, "stream")
-    schema = schemas.SOURCE_TABLES["lineitem"]
-    source = ingest.price_stream(v.spark, v.directory, schema, "lineitem.parquet")
+def streamed(v, files_per_batch: int = 100) -> DataFrame:
+    """Drains the line items as a stream into a keyed table of newest ship dates."""
+    root = scratch(v.spark, "stream")
+    source = ingest.price_stream(v.spark, f"{v.directory}/lineitem.parquet", schemas.SOURCE_TABLES["lineitem"], files_per_batch)
     bars = source.select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), F.col("l_extendedprice").alias("high"),
                          F.lit(0.0).alias("low"), F.col("l_extendedprice").alias("close"))
     table = ingest.MergedTable(v.spark, f"{root}/table", bars.schema, ["symbol", "trade_date"])
-    numbers: list[int] = []
-
-    def absorb(batch: DataFrame, number: int) -> None:
-        table.absorb(batch, number, "trade_date")
-        numbers.append(number)
-
-    ingest.run_ingest(bars, absorb, f"{root}/checkpoint").awaitTermination()
-    return ingest.newest_day(table.version(max(numbers)))
+    return ingest.newest_day(ingest.run_ingest(bars, table, f"{root}/checkpoint"))
 
 
 add("s01_incremental_ingest", "symbol last_date bars", streamed, """
@@ -199,13 +184,13 @@ add("f08_check_constraints", "rows_checked constraint_name violations", lambda v
 SELECT (SELECT count(*) FROM piotroski) AS rows_checked, * FROM (SELECT 'strength_category_enum' AS constraint_name, count(*) FILTER (strength_category NOT IN ('STRONG', 'WEAK')) AS violations FROM piotroski
 UNION ALL SELECT 'fscore_range', count(*) FILTER (fscore NOT BETWEEN 2 AND 8) FROM piotroski UNION ALL SELECT 'current_roa_range', count(*) FILTER (current_roa NOT BETWEEN -1 AND 1) FROM piotroski)""")
 add("f09_stale_symbols", "symbol last_fetched", lambda v: filters.stale_symbols(
-    v.universe, v.fundamentals_q.where("symbol % 4 <> 0").select("symbol", F.date_add("fiscal_date", (F.col("symbol") % 90).cast("int")).alias("fetched_on")), v.bars, v.as_of, 92, 60), """
-SELECT u.symbol, last_fetched FROM universe u LEFT JOIN (SELECT symbol, max(fiscal_date) + CAST(symbol % 90 AS int) AS last_fetched FROM fundamentals_q WHERE symbol % 4 <> 0 GROUP BY symbol) f ON u.symbol = f.symbol
+    v.universe, v.fundamentals_q.select(F.when(F.col("symbol") % 4 == 0, -F.col("symbol")).otherwise(F.col("symbol")).alias("symbol"), F.date_add("fiscal_date", (F.col("symbol") % 90).cast("int")).alias("fetched_on")), v.bars, v.as_of, 92, 60), """
+SELECT u.symbol, last_fetched FROM universe u LEFT JOIN (SELECT CASE WHEN symbol % 4 = 0 THEN -symbol ELSE symbol END AS symbol, max(fiscal_date + CAST(symbol % 90 AS int)) AS last_fetched FROM fundamentals_q GROUP BY 1) f ON u.symbol = f.symbol
 WHERE (last_fetched IS NULL OR last_fetched < (SELECT d FROM today) - 92) AND u.symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING max(trade_date) >= (SELECT d FROM today) - 60)""")
-add("l03_ordered_work_list", "symbol last_fetched market_cap$", lambda v: v.universe.join(v.bars.where("symbol % 3 = 0").groupBy("symbol").agg(F.max("trade_date").alias("last_fetched")), "symbol", "left").orderBy(
-    F.asc_nulls_first("last_fetched"), F.when(F.col("sector") == "Energy", 0).otherwise(1), F.desc_nulls_last("market_cap"), "symbol").limit(50), """
-SELECT u.*, last_fetched FROM universe u LEFT JOIN (SELECT symbol, max(trade_date) AS last_fetched FROM bars WHERE symbol % 3 = 0 GROUP BY 1) f ON u.symbol = f.symbol
-ORDER BY last_fetched NULLS FIRST, CASE WHEN sector = 'Energy' THEN 0 ELSE 1 END, market_cap DESC NULLS LAST, u.symbol LIMIT 50""")
+add("l03_ordered_work_list", "symbol last_fetched market_cap$", lambda v: v.universe.join(v.bars.groupBy(F.when(F.col("symbol") % 3 == 0, F.col("symbol")).otherwise(-F.col("symbol")).alias("symbol")).agg(F.max("trade_date").alias("last_fetched")), "symbol", "left").orderBy(
+    F.asc_nulls_first("last_fetched"), F.when(F.col("sector") == "Energy", 0).otherwise(1), F.desc_nulls_last("market_cap"), "symbol"), """
+SELECT u.*, last_fetched FROM universe u LEFT JOIN (SELECT CASE WHEN symbol % 3 = 0 THEN symbol ELSE -symbol END AS symbol, max(trade_date) AS last_fetched FROM bars GROUP BY 1) f ON u.symbol = f.symbol
+ORDER BY last_fetched NULLS FIRST, CASE WHEN sector = 'Energy' THEN 0 ELSE 1 END, market_cap DESC NULLS LAST, u.symbol""")
 add("f10_pending_signals", "signal_id symbol portfolio_type score*", lambda v: filters.pending_signals(v.queue, v.as_of, "VALUE"), """
 SELECT * FROM queue WHERE NOT processed AND (expiration_date IS NULL OR expiration_date >= (SELECT d FROM today)) AND portfolio_type = 'VALUE'""")
 
@@ -213,8 +198,8 @@ SELECT * FROM queue WHERE NOT processed AND (expiration_date IS NULL OR expirati
 add("j01_fact_universe", "symbol trade_date close* sector", lambda v: v.bars.join(filters.eligible_universe(v.universe).select("symbol", "sector"), "symbol"),
     "SELECT b.symbol, trade_date, close, sector FROM bars b JOIN elig u ON b.symbol = u.symbol")
 add("j02_star_join", "symbol fscore bankruptcy_risk insider_score* smart_money_signal volatility_level breakout_score*", lambda v: v.signals, "SELECT * FROM signals")
-add("j03_left_join_benchmark", "symbol trade_date close* market_close*", lambda v: technical.stock_and_market_returns(v.bars, v.bench.where("trade_date > date'1998-01-01'")), """
-SELECT b.symbol, b.trade_date, b.close, m.close AS market_close FROM bars b LEFT JOIN (SELECT * FROM bench WHERE trade_date > DATE '1998-01-01') m ON b.trade_date = m.trade_date""")
+add("j03_left_join_benchmark", "symbol trade_date close* market_close*", lambda v: technical.stock_and_market_returns(v.bars, v.bench.withColumn("trade_date", F.when(F.col("trade_date") > F.lit("1998-01-01").cast("date"), F.col("trade_date")).otherwise(F.add_months("trade_date", -600)))), """
+SELECT b.symbol, b.trade_date, b.close, m.close AS market_close FROM bars b LEFT JOIN (SELECT CASE WHEN trade_date > DATE '1998-01-01' THEN trade_date ELSE CAST(trade_date - INTERVAL 600 MONTH AS date) END AS trade_date, close FROM bench) m ON b.trade_date = m.trade_date""")
 add("j04_trades_prices", "account_id symbol trade_date quantity close*", lambda v: v.trades.join(v.bars.select("symbol", "trade_date", "close"), ["symbol", "trade_date"]), """
 SELECT account_id, t.symbol, t.trade_date, quantity, close FROM trades t JOIN bars b ON t.symbol = b.symbol AND t.trade_date = b.trade_date""")
 
@@ -229,8 +214,8 @@ add("j05_one_row_relations", "average_close* bars benchmark_days", one_row, "SEL
 add("j06_expression_key", "symbol trade_date eps*", lambda v: v.bars.withColumn("q", F.date_trunc("quarter", "trade_date")).join(
     v.fundamentals_q.select("symbol", F.date_trunc("quarter", "fiscal_date").alias("q"), ratio(F.col("net_income"), F.col("shares")).alias("eps")), ["symbol", "q"]), """
 SELECT b.symbol, trade_date, net_income / shares AS eps FROM bars b JOIN fundamentals_q f ON b.symbol = f.symbol AND date_trunc('quarter', trade_date) = date_trunc('quarter', fiscal_date)""")
-add("j07_as_of_join", "account_id symbol trade_date quantity close*", lambda v: joins.as_of_join(v.trades.where("trade_type = 'SELL'"), v.bars, "symbol", "trade_date", "trade_date", ["close"]), """
-SELECT account_id, t.symbol, t.trade_date, quantity, close FROM (SELECT * FROM trades WHERE trade_type = 'SELL') t ASOF LEFT JOIN bars b ON t.symbol = b.symbol AND t.trade_date >= b.trade_date""")
+add("j07_as_of_join", "account_id symbol trade_date quantity close*", lambda v: joins.as_of_join(v.trades, v.bars, "symbol", "trade_date", "trade_date", ["close"]), """
+SELECT account_id, t.symbol, t.trade_date, quantity, close FROM trades t ASOF LEFT JOIN bars b ON t.symbol = b.symbol AND t.trade_date >= b.trade_date""")
 
 
 def offsets(v) -> DataFrame:
@@ -246,8 +231,8 @@ add("j09_bounded_forward_lookup", "trade_date return_1m* return_3m* return_6m* r
     "SELECT trade_date, " + ", ".join(f"CASE WHEN lead(trade_date, {n}) OVER w <= trade_date + {d} THEN (lead(close, {n}) OVER w - close) / close * 100 END AS {name}"
                                       for name, n, d in (("return_1m", 21, 35), ("return_3m", 63, 100), ("return_6m", 126, 200), ("return_1y", 252, 380))) + " FROM bench WINDOW w AS (ORDER BY trade_date)")
 add("j10_semi_join", "symbol trade_date close*", lambda v: v.bars.join(
-    v.bars.groupBy("symbol").agg(F.max("trade_date").alias("trade_date")).where("symbol % 2 = 0"), ["symbol", "trade_date"], "left_semi"),
-    "SELECT * FROM bars WHERE (symbol, trade_date) IN (SELECT (symbol, max(trade_date)) FROM bars WHERE symbol % 2 = 0 GROUP BY symbol)")
+    v.bars.groupBy("symbol").agg(F.max("trade_date").alias("trade_date")), ["symbol", "trade_date"], "left_semi"),
+    "SELECT * FROM bars WHERE (symbol, trade_date) IN (SELECT (symbol, max(trade_date)) FROM bars GROUP BY symbol)")
 add("j12_merge", "symbol sector trade_date weight* daily_return*", lambda v: v.positions, "SELECT * FROM held")
 
 # Aggregates.

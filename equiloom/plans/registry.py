@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from equiloom.plans.derived import Derived
+from equiloom.plans.derived import Derived, Kept
 
 COLUMN = re.compile(r"^(\w+?)(?:(\*)(\d*)|(\$))?$")
 MILLION = 1e6
+#: Queries composed of many score tables: they store the bars and quarters once and read those.
+COMPOSED = ("g10_", "g11_", "g14_", "g16_", "g17_", "g18_", "g19_", "g20_", "g21_", "g22_", "g23_", "g24_", "g25_", "g28_", "g29_", "g31_", "g35_strategy_returns_kelly", "g60_", "j02_")
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,8 @@ def run(name: str, spark: SparkSession, directory: str) -> DataFrame:
     for column, places, money in query.layout:
         value = F.col(column) / MILLION if money else F.col(column)
         columns.append((value if places is None else F.round(value, places)).alias(column))
-    return query.plan(Derived(spark, directory)).select(*columns)
+    tables = Kept if name.startswith(COMPOSED) else Derived
+    return query.plan(tables(spark, directory)).select(*columns)
 
 
 def _used(text: str) -> list[str]:

@@ -120,7 +120,6 @@ OVERVIEW_COUNTS = {
     "analyst_rating_strong_sell": "AnalystRatingStrongSell",
 }
 OVERVIEW_DATES = {"dividend_date": "DividendDate", "ex_dividend_date": "ExDividendDate", "latest_quarter": "LatestQuarter"}
-DESCRIPTION_LENGTH = 1000  # width of the description column
 
 
 def parse_overview(df: DataFrame) -> DataFrame:
@@ -130,7 +129,7 @@ def parse_overview(df: DataFrame) -> DataFrame:
     return rows.select(
         "symbol", F.nullif(o["Sector"], F.lit("")).alias("sector"),
         F.nullif(o["Industry"], F.lit("")).alias("industry"),
-        F.substring(F.coalesce(o["Description"], F.lit("")), 1, DESCRIPTION_LENGTH).alias("description"),
+        F.coalesce(o["Description"], F.lit("")).alias("description"),
         *[number(o[key]).alias(name) for name, key in OVERVIEW_NUMBERS.items()],
         *[number(o[key]).cast("bigint").alias(name) for name, key in OVERVIEW_COUNTS.items()],
         *[iso_date(o[key]).alias(name) for name, key in OVERVIEW_DATES.items()],

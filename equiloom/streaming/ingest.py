@@ -1,60 +1,69 @@
-"""Incremental price load as a stream: new files in, merged keyed table out."""
+"""Incremental price load as a stream: new files in, merged keyed table out.
 
-from __future__ import annotations
+A run drains what has arrived. Its batches are only kept, and merged with the table once at the end, so the result
+depends on the rows alone, not on how files are cut into batches or in which order they come. The merge also
+removes repeats: a key has one row, and a row that is read twice changes nothing.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from equiloom.operators.filters import valid_bars
-from equiloom.sources.maintenance import incremental_new_rows, merge_latest
-
-
-def price_stream(spark: SparkSession, path: str, schema: StructType, pattern: str = "*.parquet",
-                 files_per_batch: int = 100) -> DataFrame:
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+from equiloom.session import found, is_file, remove
+from equiloom.sources.maintenance import merge_latest
 
 
-def without_repeats(stream: DataFrame, keys: list[str], event_time: str = "trade_time", delay: str = "30 days") -> DataFrame:
-    """Drops repeats of a key that arrive within the delay; state older than that is let go."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+def price_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
+    """Rows of the files at ``path``, a table's folder or its only file."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if is_file(spark, path):  # a file source watches folders
+        path, _, name = path.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(path)
 
 
 class MergedTable:
-    """A keyed Parquet table kept in numbered versions.
-
-    Each batch writes the merge of the newest version and its own rows to a new path, named
-    by the batch: a batch that is run again after a failure writes the same version again.
-    """
+    """A keyed Parquet table in numbered versions, of which the newest is kept."""
 
     def __init__(self, spark: SparkSession, root: str, schema: StructType, keys: list[str]):
         self.spark, self.root, self.schema, self.keys = spark, root, schema, keys
+        # A version counts once it is whole.
+        whole = [path.split("version=")[1].split("/")[0] for path in found(spark, f"{root}/version=*/_SUCCESS")]
+        self.newest = max(map(int, whole), default=-1)
 
-    def version(self, number: int) -> DataFrame:
-        if number < 0:
+    def rows(self) -> DataFrame:
+        if self.newest < 0:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/version={number}")
-
-    def absorb(self, batch: DataFrame, number: int, time: str | None = None) -> None:
-        """With ``time``, only rows later than a key's newest stored one are taken."""
-        old = self.version(number - 1)
-        fresh = valid_bars(batch)
-        if time is not None:
-            fresh = incremental_new_rows(fresh, old, self.keys[0], time)
-        merged = merge_latest(old, fresh.select(*self.schema.names), self.keys, [n for n in self.schema.names if n not in self.keys])
-        merged.write.mode("overwrite").parquet(f"{self.root}/version={number}")
-
-
-def run_ingest(stream: DataFrame, absorb: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Drains what is there and stops; schedule it, or swap the trigger to keep it running."""
-    return (
-        stream.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/version={self.newest}")
+
+    def keep(self, batch: DataFrame, number: int) -> None:
+        """A batch that is run again after a failure replaces itself."""
+        valid_bars(batch).select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/kept/batch={number}")
+
+    def merge(self) -> DataFrame:
+        """The table with all kept batches; of a key's rows the new replace the old, and of several new the largest counts."""
+        kept, old = f"{self.root}/kept", self.newest
+        if not found(self.spark, f"{kept}/batch=*/_SUCCESS"):
+            return self.rows()
+        fresh = self.spark.read.schema(self.schema).parquet(kept).select(*self.schema.names)
+        merged = merge_latest(self.rows(), fresh, self.keys, [n for n in self.schema.names if n not in self.keys])
+        merged.write.mode("overwrite").parquet(f"{self.root}/version={old + 1}")
+        self.newest = old + 1
+        remove(self.spark, kept)
+        remove(self.spark, f"{self.root}/version={old}")
+        return self.rows()
+
+
+def run_ingest(stream: DataFrame, table: MergedTable, checkpoint: str) -> DataFrame:
+    """Drains what is there, then merges; schedule it to keep the table up to date."""
+    query: StreamingQuery = (
+        stream.writeStream.foreachBatch(table.keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+    query.awaitTermination()
+    return table.merge()
 
 
 def newest_day(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from equiloom.functions.expressions import clamp, iso_date, ladder, number, ratio, sample_kurtosis, sample_skew
 from equiloom.functions.frames import latest_by, trailing_means
-from equiloom.functions.ranking import exact_quantiles, numbered, tied_rank
+from equiloom.functions.ranking import exact_quantiles, levels, numbered, tied_rank
 from equiloom.operators import aggregates, evaluation, filters, fundamental, joins, portfolio, series, signals, technical
 from equiloom.sources import maintenance, payloads
 from equiloom.streaming import ingest
@@ -248,25 +248,53 @@ def test_shares_of_a_hot_group_sum_to_one(spark):
     assert sums.count() == 0
 
 
-def test_stream_merges_files_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+@pytest.mark.parametrize("files_per_batch", [1, 7, 100])
+def test_stream_result_does_not_follow_the_files(spark, tmp_path, files_per_batch):
     schema = bars(spark, [1]).schema
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
-    bars(spark, [1, 2, 3]).coalesce(1).write.parquet(source)
-    table, seen = ingest.MergedTable(spark, root, schema, ["symbol", "trade_date"]), []
-
-    def absorb(batch, number):
-        table.absorb(batch, number, "trade_date")
-        table.absorb(batch, number, "trade_date")
-        seen.append(number)
 
     def drain():
-        stream = ingest.price_stream(spark, source, schema)
-        ingest.run_ingest(stream, absorb, str(tmp_path / "cp")).awaitTermination()
-
-    drain()
-    bars(spark, [1, 2, 3, 4, 5]).coalesce(1).write.mode("append").parquet(source)
-    drain()
-    assert table.version(max(seen)).count() == 5 and len(seen) == 2
+        stream = ingest.price_stream(spark, source, schema, files_per_batch)
+        return ingest.run_ingest(stream, ingest.MergedTable(spark, root, schema, ["symbol", "trade_date"]), str(tmp_path / "cp"))
+
+    days = list(range(1, 21))
+    late_first = bars(spark, days).orderBy(F.desc("trade_date"))
+    late_first.repartitionByRange(10, F.desc("trade_date")).write.parquet(source)
+    expected = sorted(map(tuple, bars(spark, days).collect()))
+    assert sorted(map(tuple, drain().collect())) == expected
+    bars(spark, days[:5]).coalesce(1).write.mode("append").parquet(source)  # a repeat of old days
+    bars(spark, [*days, 21, 22]).coalesce(1).write.mode("append").parquet(source)
+    assert sorted(map(tuple, drain().collect())) == sorted(map(tuple, bars(spark, [*days, 21, 22]).collect()))
+    assert drain().count() == 22
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["version=1"]
+
+
+def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+    from equiloom.plans import queries_tables
+    from equiloom.plans.derived import Derived
+
+    whole = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    whole.repartition(50).write.parquet(str(tmp_path / "lineitem.parquet"))
+    one = sorted(map(tuple, queries_tables.streamed(Derived(spark, "/root/testdata/sf0.001")).collect()))
+    for files_per_batch in (7, 100):
+        assert sorted(map(tuple, queries_tables.streamed(Derived(spark, str(tmp_path)), files_per_batch).collect())) == one
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), 1e17])
+def test_means_recover_from_an_odd_value(spark, odd):
+    rows = trailing_means(bars(spark, [1.0] * 5 + [odd] + [1.0] * 20), {"m": ("close", 5)}).orderBy("trade_date").collect()
+    assert [r.m for r in rows][:5] + [r.m for r in rows][10:] == [1.0] * 21
+
+
+def test_quantiles_and_ranks_of_a_hot_value(spark):
+    rows = spark.range(0, 20000).select(F.when(F.col("id") % 10 < 9, 0.0).otherwise(F.col("id") / 7).alias("v"), "id")
+    values = sorted(r.v for r in rows.collect())
+    found = exact_quantiles(rows, "v", {"a": 0.25, "b": 0.5, "c": 0.95, "d": 1.0, "e": 0.0}).first()
+    assert [round(found[c], 6) for c in "abcde"] == [round(float(np.quantile(values, q)), 6) for q in (0.25, 0.5, 0.95, 1, 0)]
+    placed = levels(rows, "v", F.col("v").asc())
+    assert placed.count() == 2001  # what is sorted has one row for each different value
+    ranks = {r.id: r.rank for r in tied_rank(rows, "v", "id", "rank").collect()}
+    assert ranks[19999] == 1 and ranks[0] == 2001 and ranks[9] == 2000
 
 
 def test_cluster_without_checkpoint_setting_is_refused():

@@ -2,10 +2,10 @@
 
 A step of the network is a word (a run of letters, digits and non-ASCII characters, lower-case). Its input is a word part,
 how much likelier the word is in toxic texts of the sample and a trained embedding, and a character part, the mean of
-trained embeddings of its character trigrams. Texts are scored in windows of ``WINDOW`` words, each overlapping the next by a quarter;
+trained embeddings of its character trigrams. Texts are scored in windows of ``WINDOW`` words, each overlapping the next by half;
 a text is as toxic as its most toxic window, and is trained on that window.
 
-The sample: at most ``sample`` labelled texts of each class, of at most ``longest`` characters, by the order of a hash of their id.
+The sample: at most ``sample`` toxic texts and three times as many others, of at most ``longest`` characters, by the order of a hash of their id.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from equiloom.llm.decontaminate import words_of
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, EMBEDDED, TRIGRAMS = 8, 4, 4096
 INPUTS = 1 + 2 * EMBEDDED
 KEPT_WORDS = 300_000
@@ -155,7 +155,7 @@ def far_apart(texts: list[list[bytes]], words: int = 5, marks: int = 3) -> list[
     return out
 
 
-def train(texts: Sequence[bytes], labels: Sequence[int], epochs: int = 20, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: Sequence[bytes], labels: Sequence[int], epochs: int = 14, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
     """A network from texts labelled 0 or 1. With no text of one class the score is the share of toxic texts (0 with no text)."""
     found = [words_of(t) for t in texts]
     kept = far_apart(found)
@@ -175,7 +175,7 @@ def train(texts: Sequence[bytes], labels: Sequence[int], epochs: int = 20, batch
     def drawn(*shape: int, scale: float) -> np.ndarray:
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-    weights = {"words": drawn(len(vocabulary) + 1, EMBEDDED, scale=0.05), "trigrams": drawn(TRIGRAMS, EMBEDDED, scale=0.1), "query": drawn(2 * HIDDEN, scale=0.3), "out": drawn(2 * HIDDEN, scale=0.3), "bias": np.zeros(1, np.float32)}
+    weights = {"words": drawn(len(vocabulary) + 1, EMBEDDED, scale=0.02), "trigrams": drawn(TRIGRAMS, EMBEDDED, scale=0.02), "query": drawn(2 * HIDDEN, scale=0.3), "out": drawn(2 * HIDDEN, scale=0.3), "bias": np.zeros(1, np.float32)}
     for side in (0, 1):
         weights |= {f"x{side}": drawn(INPUTS, 3 * HIDDEN, scale=0.4), f"u{side}": drawn(HIDDEN, 3 * HIDDEN, scale=0.3), f"b{side}": np.zeros(3 * HIDDEN, np.float32)}
     net = Network({w: n + 1 for n, w in enumerate(vocabulary)}, np.array([0.0, *map(lift, vocabulary)], np.float32), weights)
@@ -209,7 +209,7 @@ def train(texts: Sequence[bytes], labels: Sequence[int], epochs: int = 20, batch
                 m, s = moments[k]
                 m += 0.1 * (g[k] - m)
                 s += 0.001 * (g[k] ** 2 - s)
-                v -= pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8) + pace * 1e-3 * v
+                v -= pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8) + pace * (3e-2 if k == "trigrams" else 1e-3) * v
     return net
 
 
@@ -291,11 +291,11 @@ def scores(net: Network, texts: Sequence[bytes | None], cache: dict | None = Non
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, wanted: Column, sample: int = 1500, longest: int = 8000) -> tuple[list[bytes], list[int]]:
-    """At most ``2 * sample`` texts and labels. Rows with a null id, text or label are left out; of unequal labels the higher counts."""
+    """At most ``sample`` toxic texts and ``3 * sample`` others, and their labels. Rows with a null id, text or label are left out; of unequal labels the higher counts."""
     sizes = docs.where(F.col("doc_id").isNotNull() & wanted).select("doc_id", F.length("text").alias("size")).where(F.col("size") <= longest).select("doc_id").distinct()
     marks = labels.where(F.col("toxic").isNotNull() & wanted).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     both = sizes.join(marks, "doc_id")
-    chosen = [both.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
+    chosen = [both.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * (1 if c else 3)) for c in (0, 1)]
     ids = {r["doc_id"]: r["toxic"] for part in chosen for r in part.collect()}
     if not ids:
         return [], []

@@ -162,7 +162,8 @@ def grid_score(strategy: str) -> Column:
         return F.coalesce(value * c(weight), F.lit(0.0))
 
     def growth(name: str) -> Column:
-        return F.least(F.lit(100.0), c(name) * 2)
+        # ``least`` passes over nulls; unknown growth scores nothing.
+        return F.when(c(name).isNotNull(), F.least(F.lit(100.0), c(name) * 2))
 
     if strategy == "VALUE":
         total = part(_cheapness("pe_ratio", 1000.0), "pe_weight") + part(_cheapness("price_to_book", 10.0), "pb_weight") + part(

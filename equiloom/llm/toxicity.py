@@ -155,8 +155,8 @@ def far_apart(texts: list[list[bytes]], words: int = 5, marks: int = 3) -> list[
     return out
 
 
-def train(texts: Sequence[bytes], labels: Sequence[int], epochs: int = 14, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
-    """A network from texts labelled 0 or 1. With no text of one class the score is the share of toxic texts (0 with no text)."""
+def train(texts: Sequence[bytes], labels: Sequence[int], epochs: int = 14, steps: int = 650, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
+    """A network from texts labelled 0 or 1, after ``epochs`` rounds and ``steps`` batches at least. With no text of one class the score is the share of toxic texts (0 with no text)."""
     found = [words_of(t) for t in texts]
     kept = far_apart(found)
     found, y = [found[i] for i in kept], np.array([labels[i] for i in kept], np.float32)
@@ -180,9 +180,9 @@ def train(texts: Sequence[bytes], labels: Sequence[int], epochs: int = 14, batch
         weights |= {f"x{side}": drawn(INPUTS, 3 * HIDDEN, scale=0.4), f"u{side}": drawn(HIDDEN, 3 * HIDDEN, scale=0.3), f"b{side}": np.zeros(3 * HIDDEN, np.float32)}
     net = Network({w: n + 1 for n, w in enumerate(vocabulary)}, np.array([0.0, *map(lift, vocabulary)], np.float32), weights)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in weights.items()}
-    step = 0
+    step, epochs = 0, max(epochs, -(-steps * batch // len(found)))
     for epoch in range(epochs):
-        if epoch % 2 == 0:
+        if epoch % max(2, epochs // 7) == 0:
             start = window_of_most(net, found)
         order = rng.permutation(len(found))
         for at in range(0, len(order), batch):

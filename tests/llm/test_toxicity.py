@@ -25,7 +25,7 @@ def corpus(count=240, seed=0):
 
 @pytest.fixture(scope="module")
 def net():
-    return toxicity.train(*corpus(), epochs=12)
+    return toxicity.train(*corpus())
 
 
 def test_held_out(net):
@@ -63,7 +63,7 @@ def test_windows_cover_and_overlap(count):
 
 def test_gradients():
     rng = np.random.default_rng(3)
-    net = toxicity.train(*corpus(60), epochs=1)
+    net = toxicity.train(*corpus(60), epochs=1, steps=1)
     net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
     x = rng.normal(size=(3, toxicity.WINDOW, toxicity.INPUTS))
     real = np.arange(toxicity.WINDOW) < np.array([[32], [5], [17]])

@@ -10,6 +10,7 @@ lost or repeated tasks leave no trace in the result.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -26,7 +27,10 @@ from equiloom.llm.common import new_folder, partitions, stored
 
 SEQUENCE = 2048
 ROWS_A_BATCH = 256
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
+WORDS_IN_A_ROW = 1000
+#: How byte-level vocabularies write a blank and a line break; fixed values.
+BLANK, LINE = "\u0120", "\u010a"
 #: A blank between two characters that are no white space starts a new piece in byte-level BPE, whatever else stands around.
 PIECE_START = r"(?<=\S)(?= \S)"
 
@@ -34,25 +38,78 @@ PIECE_START = r"(?<=\S)(?= \S)"
 def encoder(path: str, end_id: int = 0) -> tuple[Callable[[list[bytes | None]], list[bytes]], np.dtype]:
     """A function from texts to their ids as bytes, end id included, and the type of the ids.
 
-    Pieces of text are encoded once each and remembered, up to ``KEPT_PIECES``.
+    Byte-level BPE encodes pieces of a text by themselves, so each different piece is encoded once and remembered, up to
+    ``KEPT_PIECES``. In texts whose words are single blanks and line breaks apart, which is most, the pieces are the words, with
+    the blank before. New words are encoded many in a row: only a word's first id holds a blank, and only a line break's
+    own id a line break, so the row falls apart again. With other tokenizers whole texts are encoded.
     """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     tokenizer = Tokenizer.from_file(path)
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-    cut = regex.compile(PIECE_START).split
-    known: dict[str, bytes] = {}
     end = np.array([end_id], kind).tobytes()
 
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, kind).tobytes()
+
+    def encoded(texts: list[str]) -> list[bytes]:
+        return [packed(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    plan = json.loads(tokenizer.to_str())
+    split = plan["pre_tokenizer"] or {}
+    if plan["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return lambda texts: [x + end for x in encoded([(t or b"").decode("utf-8", "replace") for t in texts])], kind
+
+    names = tokenizer.get_vocab()
+    blank, line = (np.zeros(max(names.values()) + 1, bool) for _ in range(2))
+    for name, number in names.items():
+        blank[number], line[number] = name.startswith(BLANK), name == LINE
+    cut = regex.compile(PIECE_START).split
+    known: dict[str, bytes] = {}  # pieces as they are
+    after: dict[str, bytes] = {}  # words after a blank, without it
+    line_break = encoded(["\n"])[0]
+
+    def in_rows(words: list[str], head: str, between: str) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Words, some at a time, and the ids of their row."""
+        parts = [words[at:at + WORDS_IN_A_ROW] for at in range(0, len(words), WORDS_IN_A_ROW)]
+        rows = [head + between.join(p) for p in parts]
+        for part, found in zip(parts, tokenizer.encode_batch_fast(rows, add_special_tokens=False), strict=True):
+            yield part, np.array(found.ids, kind)
+
+    def learn_after(words: list[str]) -> None:
+        for part, ids in in_rows(words, " ", " "):
+            held, starts = ids.tobytes(), (np.flatnonzero(blank[ids]) * kind.itemsize).tolist()
+            after.update((w, held[a:b]) for w, a, b in zip(part, starts, [*starts[1:], len(held)], strict=True))
+
+    def learn_first(words: list[str]) -> None:
+        for part, ids in in_rows(words, "", "\n"):
+            held, ends = ids.tobytes(), (np.flatnonzero(line[ids]) * kind.itemsize).tolist()
+            starts = [0, *(e + kind.itemsize for e in ends)]
+            known.update((w, held[a:b]) for w, a, b in zip(part, starts, [*ends, len(held)], strict=True))
+
+    def plain(text: str) -> bool:
+        """Words with one blank or line break between, and no other white space."""
+        words = text.split()
+        return bool(words) and len(text) - sum(map(len, words)) == len(words) - 1 == text.count(" ") + text.count("\n")
+
     def encode(texts: list[bytes | None]) -> list[bytes]:
-        pieces = [cut(t.decode("utf-8", "replace")) if t else [] for t in texts]
-        if len(known) > KEPT_PIECES:
+        whole = [(t or b"").decode("utf-8", "replace") for t in texts]
+        if len(known) + len(after) > KEPT_PIECES:
             known.clear()
-        fresh = list({p for some in pieces for p in some if p not in known})
-        for piece, found in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, kind).tobytes()
-        return [b"".join(map(known.__getitem__, some)) + end for some in pieces]
+            after.clear()
+        lines = [[x.split(" ") for x in t.split("\n")] if plain(t) else None for t in whole]
+        pieces = [cut(t) if t and some is None else [] for t, some in zip(whole, lines, strict=True)]
+        odd = list({p for some in pieces for p in some}.difference(known))
+        known.update(zip(odd, encoded(odd), strict=True))
+        plain_lines = [words for some in lines if some for words in some]
+        learn_first(list({words[0] for words in plain_lines}.difference(known)))
+        learn_after(list(set().union(*(words[1:] for words in plain_lines)).difference(after)))
+        first, rest = known.__getitem__, after.__getitem__
+        return [
+            (line_break.join(first(words[0]) + b"".join(map(rest, words[1:])) for words in some) if some else b"".join(map(first, piece))) + end
+            for some, piece in zip(lines, pieces, strict=True)
+        ]
 
     return encode, kind
 

@@ -24,12 +24,31 @@ def tokenizer():
 def test_pieces_give_the_ids_of_whole_texts(tokenizer):
     rng = random.Random(11)
     texts = ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    words = [x for x in SIGNS if not x.isspace()]
+    for _ in range(2000):  # words one blank or line break apart
+        texts.append("".join(rng.choice(words) + rng.choice(words) + rng.choice([" ", " ", "\n"]) for _ in range(rng.randint(0, 12))) + rng.choice(words))
     encode, kind = tokenfile.encoder(PATH)
     found = encode([t.encode() for t in texts])
     for text, ids in zip(texts, found, strict=True):
         assert np.frombuffer(ids, kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], repr(text)
 
 
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["The  cat\nsat", "", "É x"]
+    encode, kind = tokenfile.encoder(path)
+    whole = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, kind).tolist() for x in encode([t.encode() for t in texts])] == [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_few_remembered_pieces_give_the_same(monkeypatch, tokenizer):
+    monkeypatch.setattr(tokenfile, "KEPT_PIECES", 3)
+    monkeypatch.setattr(tokenfile, "WORDS_IN_A_ROW", 2)
+    encode, kind = tokenfile.encoder(PATH)
+    for text in ("a b c d e f", "the cat\nsat on it", "a  b", "c d"):
+        assert np.frombuffer(encode([text.encode()])[0], kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_round_trip(spark, tokenizer, tmp_path):
     rng = random.Random(4)
     rows = [(n if n % 10 else None, " ".join(rng.choice(["the", "cat", "naïve", "zzz"]) for _ in range(rng.choice([0, 3, 900]))), n) for n in range(120)]

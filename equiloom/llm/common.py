@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+from types import ModuleType
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from equiloom.session import scratch as new_folder, stored
 
-__all__ = ["fold", "new_folder", "partitions", "stored", "table"]
+__all__ = ["fold", "new_folder", "partitions", "stored", "table", "worker_memory"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +23,9 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def worker_memory(key: str) -> dict:
+    """A dictionary for ``key`` that lives as long as the worker process, so a later task finds what an earlier one has put there."""
+    kept = sys.modules.setdefault("equiloom_worker_memory", ModuleType("equiloom_worker_memory"))
+    return kept.__dict__.setdefault(key, {})

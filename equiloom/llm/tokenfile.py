@@ -23,11 +23,11 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from equiloom.llm.common import new_folder, partitions, stored
+from equiloom.llm.common import new_folder, partitions, stored, worker_memory
 
 SEQUENCE = 2048
 ROWS_A_BATCH = 256
-KEPT_PIECES = 600_000
+KEPT_PIECES = 1_000_000
 WORDS_IN_A_ROW = 1000
 #: How byte-level vocabularies write a blank and a line break; fixed values.
 BLANK, LINE = "\u0120", "\u010a"
@@ -38,8 +38,8 @@ PIECE_START = r"(?<=\S)(?= \S)"
 def encoder(path: str, end_id: int = 0) -> tuple[Callable[[list[bytes | None]], list[bytes]], np.dtype]:
     """A function from texts to their ids as bytes, end id included, and the type of the ids.
 
-    Byte-level BPE encodes pieces of a text by themselves, so each different piece is encoded once and remembered, up to
-    ``KEPT_PIECES``. In texts whose words are single blanks and line breaks apart, which is most, the pieces are the words, with
+    Byte-level BPE encodes pieces of a text by themselves, so each different piece is encoded once and remembered by the
+    worker, up to ``KEPT_PIECES``. In texts whose words are single blanks and line breaks apart, which is most, the pieces are the words, with
     the blank before. New words are encoded many in a row: only a word's first id holds a blank, and only a line break's
     own id a line break, so the row falls apart again. With other tokenizers whole texts are encoded.
     """
@@ -66,8 +66,8 @@ def encoder(path: str, end_id: int = 0) -> tuple[Callable[[list[bytes | None]],
     for name, number in names.items():
         blank[number], line[number] = name.startswith(BLANK), name == LINE
     cut = regex.compile(PIECE_START).split
-    known: dict[str, bytes] = {}  # pieces as they are
-    after: dict[str, bytes] = {}  # words after a blank, without it
+    known: dict[str, bytes] = worker_memory(f"pieces of {path}")  # as they are
+    after: dict[str, bytes] = worker_memory(f"words of {path}")  # after a blank, without it
     line_break = encoded(["\n"])[0]
 
     def in_rows(words: list[str], head: str, between: str) -> Iterator[tuple[list[str], np.ndarray]]:

@@ -37,8 +37,9 @@ class Inputs:
         return self.table("supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(
             F.col("s_suppkey").alias("symbol"), F.col("s_name").alias("name"), sector.alias("sector"),
             F.col("n_name").alias("industry"), (F.col("s_acctbal") * 1e6).alias("market_cap"),
-            F.lit("USA").alias("country"), F.lit("Common Stock").alias("security_type"),
-            F.lit(False).alias("is_etf"),
+            F.when(F.col("s_suppkey") % 17 == 3, "CAN").otherwise("USA").alias("country"),
+            F.when(F.col("s_suppkey") % 19 == 4, "Preferred Stock").otherwise("Common Stock").alias("security_type"),
+            (F.col("s_suppkey") % 23 == 5).alias("is_etf"),
         )
 
     @cached_property

@@ -8,7 +8,8 @@ view("universe", """
 SELECT s_suppkey AS symbol, s_name AS name,
   CASE r_name WHEN 'AFRICA' THEN 'Industrials' WHEN 'AMERICA' THEN 'Technology' WHEN 'ASIA' THEN 'Energy'
     WHEN 'EUROPE' THEN 'Consumer Staples' ELSE 'Utilities' END AS sector,
-  n_name AS industry, s_acctbal * 1e6 AS market_cap, 'USA' AS country, 'Common Stock' AS security_type, false AS is_etf
+  n_name AS industry, s_acctbal * 1e6 AS market_cap, CASE WHEN s_suppkey % 17 = 3 THEN 'CAN' ELSE 'USA' END AS country,
+  CASE WHEN s_suppkey % 19 = 4 THEN 'Preferred Stock' ELSE 'Common Stock' END AS security_type, s_suppkey % 23 = 5 AS is_etf
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 view("raw_bars", """
 SELECT l_suppkey AS symbol, CAST(l_shipdate AS date) AS trade_date, avg(l_extendedprice / l_quantity) AS px,
@@ -58,6 +59,9 @@ SELECT c_custkey AS account_id, c_custkey AS client_id,
 FROM customer""")
 view("today", "SELECT max(CAST(l_shipdate AS date)) AS d FROM lineitem")
 view("elig", "SELECT * FROM universe WHERE market_cap >= 2e9 AND country = 'USA' AND security_type = 'Common Stock'")
+view("elig_firms", "SELECT * FROM universe WHERE market_cap >= 2e9 AND country = 'USA' AND NOT is_etf")
+view("elig_payers", "SELECT * FROM universe WHERE market_cap >= 2e9 AND security_type = 'Common Stock' AND NOT is_etf")
+view("elig_listed", "SELECT * FROM universe WHERE market_cap >= 2e9 AND country = 'USA'")
 view("last_price", "SELECT symbol, arg_max(close, trade_date) AS current_price FROM bars GROUP BY 1")
 view("overview", """
 SELECT u.symbol, market_cap / nullif(q.net_income * 4, 0) AS pe_ratio, market_cap * 20 / nullif(q.equity, 0) AS pb_ratio,
@@ -129,7 +133,7 @@ SELECT f.symbol, u.sector, f.fiscal_date AS calculation_date, net_income > 0 AS
   p_debt / p_assets AS prior_debt_ratio, total_assets / nullif(total_liabilities, 0) AS current_ratio,
   net_income / revenue * 100 AS current_margin, p_ni / p_rev * 100 AS prior_margin, revenue / total_assets AS current_turnover,
   p_rev / p_assets AS prior_turnover, p.current_price AS latest_price, p.current_price * shares AS price_market_cap
-FROM fq_lag f JOIN elig u ON f.symbol = u.symbol LEFT JOIN last_price p ON f.symbol = p.symbol WHERE rn = 1""")
+FROM fq_lag f JOIN elig_firms u ON f.symbol = u.symbol LEFT JOIN last_price p ON f.symbol = p.symbol WHERE rn = 1""")
 view("piotroski", """
 SELECT *, CASE WHEN fscore >= 7 THEN 'STRONG' WHEN fscore >= 4 THEN 'MODERATE' ELSE 'WEAK' END AS strength_category
 FROM (SELECT *, positive_net_income::int + positive_ocf::int + increasing_roa::int + quality_earnings::int + decreasing_leverage::int
@@ -189,7 +193,7 @@ SELECT h.symbol, latest_date, cash_flow_per_share, dividends_per_share, capex_pe
   CASE WHEN n5 < 3 THEN 'Insufficient Data' WHEN s5 > 2 THEN 'Advancing' WHEN s5 < -2 THEN 'Decreasing' ELSE 'Stable' END AS trend_5y,
   CASE WHEN n10 < 3 THEN 'Insufficient Data' WHEN s10 > 2 THEN 'Advancing' WHEN s10 < -2 THEN 'Decreasing' ELSE 'Stable' END AS trend_10y,
   CASE WHEN years >= 5 THEN a5 END AS avg_excess_cf_5y, CASE WHEN years >= 10 THEN a10 END AS avg_excess_cf_10y
-FROM ecf_hist h JOIN ecf_fit f ON h.symbol = f.symbol WHERE row_no = 1 AND h.symbol IN (SELECT symbol FROM elig)""")
+FROM ecf_hist h JOIN ecf_fit f ON h.symbol = f.symbol WHERE row_no = 1 AND h.symbol IN (SELECT symbol FROM elig_payers)""")
 view("div_change", """
 SELECT *, total_dividend - prev_dividend AS dividend_change, (total_dividend - prev_dividend) / nullif(prev_dividend, 0) * 100 AS growth_rate,
   CASE WHEN round(total_dividend - prev_dividend, 9) > 0 THEN 1 WHEN round(total_dividend - prev_dividend, 9) = 0 THEN 0 ELSE -1 END AS direction,
@@ -209,7 +213,7 @@ FROM streaks s JOIN (SELECT symbol, CASE WHEN count(*) >= 5 THEN avg(growth_rate
     max(total_dividend) FILTER (rn = 1) AS annual_dividend FROM div_change GROUP BY 1) g ON s.symbol = g.symbol
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fiscal_date DESC) AS rn FROM annual) a ON s.symbol = a.symbol AND a.rn = 1
 LEFT JOIN ecf e ON s.symbol = e.symbol
-WHERE s.total_years_paying >= 5 AND s.symbol IN (SELECT symbol FROM elig)""")
+WHERE s.total_years_paying >= 5 AND s.symbol IN (SELECT symbol FROM elig_payers)""")
 view("divq_score", """
 SELECT *, CASE WHEN p IS NULL THEN NULL WHEN p < 0 THEN 0 WHEN p <= 40 THEN 90 + (40 - p) / 4 WHEN p <= 60 THEN 130 - p WHEN p <= 80 THEN 130 - p
     WHEN p <= 100 THEN 80 - p * 0.5 ELSE greatest(0, 60 - p * 0.3) END AS sustainability_score
@@ -259,7 +263,7 @@ SELECT *, CASE WHEN pct >= 0.98 THEN 100 WHEN pct >= 0.95 THEN 80 WHEN pct >= 0.
     WHEN base_volatility IS NULL THEN 0 ELSE greatest(0, 100 - base_volatility * 200) END AS base_quality,
   least(100, up_days * 15) AS momentum_score, coalesce(50 + accumulation_ratio * 50, 50) AS accumulation,
   50 + CASE WHEN relative_strength IS NULL THEN 0 ELSE least(50, greatest(-50, relative_strength * 500)) END AS relative_strength_score
-FROM (SELECT *, close / nullif(high_52w, 0) AS pct FROM breakout_facts)""")
+FROM (SELECT *, close / nullif(high_52w, 0) AS pct FROM breakout_facts WHERE symbol IN (SELECT symbol FROM elig WHERE NOT is_etf))""")
 view("breakout", """
 SELECT *, CASE WHEN breakout_score <= 40 THEN 'Weak' WHEN breakout_score <= 60 THEN 'Moderate' WHEN breakout_score <= 80 THEN 'Strong' ELSE 'Very Strong' END AS breakout_strength
 FROM (SELECT symbol, round(proximity*0.25 + volume*0.25 + base_quality*0.15 + momentum_score*0.15 + accumulation*0.1 + relative_strength_score*0.1, 2) AS breakout_score,

@@ -12,7 +12,7 @@ SELECT *, vwap / nullif(lag(vwap) OVER (PARTITION BY sector ORDER BY trade_date)
 view("sector_quality", """
 SELECT u.sector, avg(fscore) AS avg_fscore, avg(a.z_score) AS avg_zscore, avg(m.composite_score) AS avg_quality_score, avg(r.sharpe_ratio) AS avg_sharpe,
   avg(i.quarter_change_pct) AS avg_inst_change
-FROM elig u LEFT JOIN (SELECT symbol, fscore FROM piotroski) p ON u.symbol = p.symbol LEFT JOIN altman a ON u.symbol = a.symbol LEFT JOIN (SELECT symbol, composite_score FROM master) m ON u.symbol = m.symbol
+FROM elig_listed u LEFT JOIN (SELECT symbol, fscore FROM piotroski) p ON u.symbol = p.symbol LEFT JOIN altman a ON u.symbol = a.symbol LEFT JOIN (SELECT symbol, composite_score FROM master) m ON u.symbol = m.symbol
 LEFT JOIN risk r ON u.symbol = r.symbol LEFT JOIN inst_last i ON u.symbol = i.symbol GROUP BY 1""")
 view("sector_ranked", """
 SELECT s.*, daily_return - avg(daily_return) OVER (PARTITION BY trade_date) AS excess, row_number() OVER (PARTITION BY sector ORDER BY trade_date DESC) AS k

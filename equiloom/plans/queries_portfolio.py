@@ -53,7 +53,7 @@ view("pscores", """
 SELECT u.symbol, u.sector, u.industry, e.excess_cash_flow_pct, round(coalesce(value_score, 0), 6) AS value_score, round(coalesce(growth_score, 0), 6) AS growth_score,
   round(coalesce(dividend_score, 0), 6) AS dividend_score, coalesce(valuation_percentile, 0) AS valuation_percentile, coalesce(market_alpha, 0) AS market_alpha,
   coalesce(fundamental_growth, 0) AS fundamental_growth, coalesce(payment_history_score, 0) AS payment_history_score
-FROM elig u JOIN ecf e ON u.symbol = e.symbol LEFT JOIN value_part v ON u.symbol = v.symbol LEFT JOIN growth_part g ON u.symbol = g.symbol LEFT JOIN dividend_part d ON u.symbol = d.symbol
+FROM (SELECT * FROM elig WHERE NOT is_etf) u JOIN ecf e ON u.symbol = e.symbol LEFT JOIN value_part v ON u.symbol = v.symbol LEFT JOIN growth_part g ON u.symbol = g.symbol LEFT JOIN dividend_part d ON u.symbol = d.symbol
 WHERE e.excess_cash_flow_pct IS NOT NULL""")
 add("g20_portfolio_value_score", "symbol valuation_percentile* excess_cf_yield* margin_of_safety* value_score*", lambda v: v.value_part, "SELECT * FROM value_part")
 add("g21_portfolio_growth_score", "symbol market_alpha* fundamental_growth* forward_growth_estimate* growth_score*", lambda v: v.growth_part, "SELECT * FROM growth_part")

@@ -148,7 +148,7 @@ add("s01_incremental_ingest", "symbol last_date bars", streamed, """
 SELECT l_suppkey AS symbol, CAST(max(l_shipdate) AS date) AS last_date, count(DISTINCT CAST(l_shipdate AS date)) AS bars FROM lineitem GROUP BY 1""")
 
 # Filters.
-add("f01_eligible_universe", "symbol sector industry market_cap$", lambda v: filters.eligible_universe(v.universe, exclude_etf=True), "SELECT * FROM elig")
+add("f01_eligible_universe", "symbol sector industry market_cap$", lambda v: filters.eligible_universe(v.universe, exclude_etf=True), "SELECT * FROM elig WHERE NOT is_etf")
 add("f02_common_stock_symbols", "symbol exchange", lambda v: filters.common_stock_symbols(pf.listing(v)), r"""
 SELECT * FROM listing WHERE exchange IN ('NYSE', 'NASDAQ', 'AMEX') AND assetType = 'Stock' AND status = 'Active' AND symbol NOT LIKE '%.PRA' AND symbol NOT LIKE '%.WS' AND symbol NOT LIKE '%-PB'
   AND NOT regexp_matches(symbol, '[0-9]{5}$')""")

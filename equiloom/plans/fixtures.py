@@ -57,7 +57,7 @@ class Inputs:
     def bars(self) -> DataFrame:
         """Early bars have the mean of the bars there are."""
         return (
-            trailing_means(self.raw_bars, {"_mean": ("px", MEAN_ROWS)}).withColumn("close", F.col("_mean") / 50)
+            trailing_means(self.raw_bars, {"_mean": ("px", MEAN_ROWS)}).withColumn("close", F.col("_mean") / 49.9371)  # no short decimals, so no ties when rounded
             .select(
                 "symbol", "trade_date", (F.col("close") * (1 - F.col("dn") / 2)).alias("open"),
                 (F.col("close") * (1 + F.col("up"))).alias("high"),

@@ -19,7 +19,7 @@ FROM lineitem GROUP BY 1, 2""")
 view("bars", """
 SELECT symbol, trade_date, close * (1 - dn / 2) AS open, close * (1 + up) AS high, close * (1 - dn) AS low, close, volume,
   dividend_amount
-FROM (SELECT *, avg(px) OVER w / 50 AS close
+FROM (SELECT *, avg(px) OVER w / 49.9371 AS close
       FROM raw_bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) b""")
 view("bench", "SELECT trade_date, avg(close) AS close FROM bars GROUP BY trade_date")
 view("fq", """

@@ -112,3 +112,32 @@ def test_held_out_texts_beat_equal_bytes(spark):
     held = [r for r in found if r["held_out"]]
     size = sum(len(texts[r["doc_id"]].encode()) + 1 for r in held)
     assert -sum(r["score"] for r in held) / size < 1.2  # log10 a byte; 2.41 if all were equally likely
+
+
+@pytest.mark.parametrize("sent", [ppm.SENT_GRAMS, 0])
+def test_every_context_counts_at_production_parameters(spark, monkeypatch, sent):
+    monkeypatch.setattr(ppm, "SENT_GRAMS", sent)
+    monkeypatch.setattr(ppm, "GROUP_BYTES", 20_000)
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.choice([*range(97, 117), 32], size))) for size in rng.integers(0, 900, 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = Brute([t.encode() for n, t in enumerate(texts) if n % 4], ppm.ORDER)
+    seen = Counter(c for c, n in model.counts.items() for _ in range(sum(n.values())) if len(c) == ppm.ORDER)
+    assert min(seen.values()) < ppm.SUPPORT * sum(seen.values())  # or the trie would hold every context
+    found = {r["doc_id"]: r["score"] for r in ppm.lm_scores(docs, F.col("doc_id") % 4 != 0).collect()}
+    assert len(found) == len(texts)
+    for n in range(0, len(texts), 3):
+        assert found[n] == pytest.approx(model.score(texts[n].encode()), rel=1e-5)
+
+
+def test_kept_contexts_grow_with_the_corpus(spark):
+    sizes = []
+    for rows in (50, 500):
+        docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("doc_id") < rows)
+        grams = ppm.counted(docs, ppm.ORDER).where("gram is not null").select("gram", "n")
+        seen = grams.select(F.shiftright("gram", 8)).distinct().count()
+        trie = ppm.trained_trie(grams, ppm.ORDER, ppm.SUPPORT)
+        kept = ppm.missing_probabilities(grams, trie, ppm.ORDER).select(F.shiftright("gram", 8)).distinct().count() + len(trie.contexts)
+        assert kept == seen
+        sizes.append(kept)
+    assert sizes[1] > 1.3 * sizes[0]

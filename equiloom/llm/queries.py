@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from equiloom.llm import chat, decontaminate, packing, ppm, secrets, simhash, tokenfile, toxicity, urlrules, voronoi
+from equiloom.llm import centroids, chat, decontaminate, packing, ppm, prefixtrie, quality, secrets, simhash, tokenfile, toxicity, urlrules, voronoi
 from equiloom.llm.common import fold, table
 
 #: Where the tokenizer's file is; None asks the installed package.
@@ -73,6 +73,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), name="judgement")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    removed = F.size("judgement.removed").cast("long").alias("n_removed_lines")
+    return found.select("doc_id", *(F.col(f"judgement.{n}").alias(n) for n in names), removed, F.sha2("judgement.cleaned", 256).alias("cleaned_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(*prefixtrie.rebuilt(prefixtrie.ordered_turns(table(spark, sf_dir, "conversations")), block=100, most=6))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_topk_search, op3_secrets, op4_url_filter, op5_packing, op6_lm_score, op7_chat_format, op8_decontamination, op9_token_files, op10_toxicity, pipeline)
+    for f in (op1_simhash, op2_topk_search, op3_secrets, op4_url_filter, op5_packing, op6_lm_score, op7_chat_format, op8_decontamination, op9_token_files, op10_toxicity, op11_quality_rules, op12_centroids, op13_prefix_trie, pipeline)
 }
 
 ORACLES: dict[str, str] = {}
@@ -169,3 +184,122 @@ hit_items AS (
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM texts LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)"""
+
+_SQL_MENU, _SQL_NOTICES = "|".join(quality.MENU), "|".join(quality.NOTICES)
+
+
+def _sql_list(signs) -> str:
+    return "(" + ", ".join("'" + s.replace("'", "''") + "'" for s in signs) + ")"
+
+
+def _sql_count(text: str, signs: str) -> str:
+    return f"(length({text}) - length(translate({text}, '{signs}', '')))"
+
+
+_SQL_SPACE = r"[\x20\x09-\x0D]"
+_SQL_REPEATS = r"""
+  SELECT row, count(*) AS n_repeat_words FROM (
+    SELECT DISTINCT row, unnest(range(i, i + 8)) AS word FROM (
+      SELECT row, i, count(*) OVER (PARTITION BY row, phrase) AS n FROM (
+        SELECT row, i, words[i:i + 7] AS phrase FROM (SELECT row, words, unnest(range(1, greatest(1, len(words) - 6))) AS i FROM texts)
+      )
+    ) WHERE n > 1
+  ) GROUP BY row"""
+ORACLES["op11_quality_rules"] = rf"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+repeats AS ({_SQL_REPEATS}),
+lines AS (
+  SELECT row, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, {_sql_count("line", "|<>»«›‹•·→")} AS bars, {_sql_count("line", "#*$%&|<>!?.~^=_")} AS marks,
+    regexp_replace(line, '[\x20\x09-\x0D"''”’»)\]}}”]+$', '') AS bare
+  FROM (SELECT row, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM texts)
+),
+ruled AS (
+  SELECT *, CASE
+    WHEN n = 0 THEN NULL
+    WHEN n <= 30 AND regexp_matches(line, '({_SQL_NOTICES})', 'i') THEN 'boilerplate'
+    WHEN bars >= 3 AND n <= 4 * (bars + 1) + bars OR n <= 30 AND regexp_matches(line, '^({_SQL_SPACE}*({_SQL_MENU})[,;/\x20\x09-\x0D]*)+$', 'i') THEN 'navigation'
+    WHEN n >= 4 AND marks > n THEN 'marks'
+    WHEN right(bare, 1) NOT IN {_sql_list(quality.ENDS)} THEN 'punctuation'
+  END AS rule FROM lines
+),
+judged AS (
+  SELECT row, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(rule) AS n_removed_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (rule IS NULL), '') AS cleaned
+  FROM ruled GROUP BY row
+),
+counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, {_sql_count("body", "#*$%&|<>")}::BIGINT AS n_symbols,
+    n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_removed_lines, cleaned
+  FROM texts JOIN judged USING (row) LEFT JOIN repeats USING (row)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * length(regexp_replace(cleaned, '{_SQL_SPACE}', '', 'g')) >= word_chars AS kept,
+  n_removed_lines, sha256(cleaned) AS cleaned_sha256
+FROM counted"""
+
+_SQL_NEAR = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def _sql_round(n: int) -> str:
+    return f"""assigned{n} AS MATERIALIZED (
+  SELECT row, vec_id, v, arg_min(number, struct_pack(d := {_SQL_NEAR}, number := number)) AS cluster, min({_SQL_NEAR}) AS distance
+  FROM vectors, centroids{n} GROUP BY row, vec_id, v
+),
+means{n} AS (
+  SELECT cluster AS number, list((total - ((total % n) + n) % n) // n ORDER BY i) AS c FROM (
+    SELECT cluster, i, sum(x)::BIGINT AS total, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM assigned{n}) GROUP BY cluster, i
+  ) GROUP BY cluster
+),
+centroids{n + 1} AS MATERIALIZED (SELECT number, coalesce(means{n}.c, centroids{n}.c) AS c FROM centroids{n} LEFT JOIN means{n} USING (number))"""
+
+
+ORACLES["op12_centroids"] = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+centroids0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1)::INTEGER AS number, v AS c FROM vectors QUALIFY number < 8
+),
+{",".join(chr(10) + _sql_round(n) for n in range(10))},
+chosen AS (
+  SELECT row, vec_id, arg_min(number, struct_pack(d := {_SQL_NEAR}, number := number)) AS cluster, min({_SQL_NEAR}) AS distance FROM vectors, centroids10 GROUP BY row, vec_id
+)
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM chosen JOIN centroids10 ON cluster = number"""
+
+ORACLES["op13_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 256), left(text, 256), digest) AS place FROM turns),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::UBIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda i: i::UBIGINT)), lambda a, i: xor(a >> 1, 3988292384::UBIGINT * (a & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+),
+joined AS (
+  SELECT c.conv_id, 0 AS part, p.place, p.digest, length(p.text) AS chars FROM convs c JOIN placed p ON p.conv_id = c.base AND p.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, p.place, p.digest, length(p.text) FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.place > c.h
+),
+rebuilt AS (SELECT conv_id, digest, chars, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM joined),
+prefixes AS (
+  SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS chars FROM convs
+  UNION ALL SELECT conv_id, depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth), chars FROM rebuilt
+),
+terminal AS (SELECT conv_id, arg_max(prefix, depth) AS last FROM prefixes GROUP BY conv_id),
+basic AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last = prefix) AS ends, CASE WHEN depth > 0 THEN left(prefix, 64 * (depth - 1)) END AS upper
+  FROM prefixes JOIN terminal USING (conv_id) GROUP BY depth, prefix
+),
+children AS (SELECT upper AS prefix, count(*) AS n_children FROM basic WHERE depth > 0 GROUP BY upper),
+pairs AS (SELECT DISTINCT a.prefix, b.prefix AS below FROM prefixes a JOIN prefixes b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (
+  SELECT pairs.prefix, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM pairs JOIN basic ON basic.prefix = below LEFT JOIN children ON children.prefix = below GROUP BY pairs.prefix
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM basic n JOIN sums USING (prefix) LEFT JOIN children USING (prefix) LEFT JOIN basic p ON p.prefix = n.upper"""

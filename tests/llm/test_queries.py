@@ -18,7 +18,7 @@ def test_all_are_registered():
     import __spark_entry__ as entry
 
     assert queries.QUERIES.keys() <= entry.queries().keys()
-    assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in queries.QUERIES)] == []
+    assert [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in queries.QUERIES)] == []
 
 
 def test_pipeline_stages(spark):

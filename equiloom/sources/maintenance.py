@@ -26,6 +26,26 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order_cols
     return pick_per_key(both, keys, F.struct("_new", *order_cols)).drop("_new")
 
 
+def merge_stamped(old: DataFrame, new: DataFrame, keys: Sequence[str], order_cols: Sequence[str], stamp: str, now: Column) -> DataFrame:
+    """An upsert that keeps the time of the last change: a row gets the stamp ``now`` if it is new or some value differs, else it keeps its own.
+
+    ``new`` has no stamp column. Values are compared themselves, nulls equal. One aggregate on the key: each task brings at most
+    one old and one new row of a key to the shuffle. An old row without a stamp counts as changed.
+    """
+    values = [c for c in new.columns if c not in keys]
+    both = old.select(*keys, *values, F.col(stamp).alias("_stamp"), F.lit(False).alias("_new")).unionByName(
+        new.select(*keys, *values, F.lit(None).cast(old.schema[stamp].dataType).alias("_stamp"), F.lit(True).alias("_new")))
+    row = F.struct(*values)
+    order = F.struct(*[F.col(c) for c in order_cols])
+    merged = both.groupBy(*keys).agg(
+        F.max_by(F.when(F.col("_new"), row), F.when(F.col("_new"), order)).alias("_after"),
+        F.max_by(F.when(~F.col("_new"), F.struct(row.alias("row"), F.col("_stamp").alias("stamp"))), F.when(~F.col("_new"), order)).alias("_before"),
+    )
+    untouched = F.col("_after").isNull() | F.col("_after").eqNullSafe(F.col("_before.row"))
+    stamped = F.when(untouched & F.col("_before.stamp").isNotNull(), F.col("_before.stamp")).otherwise(now)
+    return merged.select(*keys, F.coalesce("_after", "_before.row").alias("_row"), stamped.alias(stamp)).select(*keys, "_row.*", stamp)
+
+
 def dedupe_on_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     """Natural-key uniqueness with a stated survivor (``dropDuplicates`` keeps an arbitrary one)."""
     return pick_per_key(df, keys, F.struct(*order_cols))

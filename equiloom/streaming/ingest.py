@@ -2,19 +2,26 @@
 
 A run drains what has arrived. Its batches are only kept, and merged with the table once at the end, so the result
 depends on the rows alone, not on how files are cut into batches or in which order they come. The merge also
-removes repeats: a key has one row, and a row that is read twice changes nothing.
+removes repeats: a key has one row, and a row that is read twice changes nothing. It reads and writes only the months
+that have new rows.
+
+Feeds without a table of their own lose their repeats in the stream: ``deduplicated`` remembers keys as long as the watermark
+says that a repeat can still come.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from equiloom.operators.filters import valid_bars
 from equiloom.session import found, is_file, remove
 from equiloom.sources.maintenance import merge_latest
 
+#: Column of a merged table's folders.
+MONTH = "month__"
+
 
 def price_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
     """Rows of the files at ``path``, a table's folder or its only file."""
@@ -26,18 +33,25 @@ def price_stream(spark: SparkSession, path: str, schema: StructType, files_per_b
 
 
 class MergedTable:
-    """A keyed Parquet table in numbered versions, of which the newest is kept."""
+    """A keyed Parquet table in one folder a month, of which a merge writes those months anew that have new rows.
+
+    A merge first writes the months' whole new content aside and then puts it in place of the old, so it may be broken off and done again
+    at any point: what lies aside whole is put in place first, and the batches kept go only after that.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, keys: list[str]):
-        self.spark, self.root, self.schema, self.keys = spark, root, schema, keys
-        # A version counts once it is whole.
-        whole = [path.split("version=")[1].split("/")[0] for path in found(spark, f"{root}/version=*/_SUCCESS")]
-        self.newest = max(map(int, whole), default=-1)
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, keys: list[str], day: str = "trade_date"):
+        self.spark, self.root, self.schema, self.keys, self.day = spark, root, schema, keys, day
+        self.whole = StructType([*schema.fields, StructField(MONTH, StringType())])
+        if found(spark, f"{root}/aside/_SUCCESS"):
+            self._put_in_place()
+
+    def _read(self) -> DataFrame:
+        if not found(self.spark, f"{self.root}/table/{MONTH}=*"):
+            return self.spark.createDataFrame([], self.whole)
+        return self.spark.read.schema(self.whole).parquet(f"{self.root}/table")
 
     def rows(self) -> DataFrame:
-        if self.newest < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/version={self.newest}")
+        return self._read().select(*self.schema.names)
 
     def keep(self, batch: DataFrame, number: int) -> None:
         """A batch that is run again after a failure replaces itself."""
@@ -45,17 +59,25 @@ class MergedTable:
 
     def merge(self) -> DataFrame:
         """The table with all kept batches; of a key's rows the new replace the old, and of several new the largest counts."""
-        kept, old = f"{self.root}/kept", self.newest
+        kept = f"{self.root}/kept"
         if not found(self.spark, f"{kept}/batch=*/_SUCCESS"):
             return self.rows()
-        fresh = self.spark.read.schema(self.schema).parquet(kept).select(*self.schema.names)
-        merged = merge_latest(self.rows(), fresh, self.keys, [n for n in self.schema.names if n not in self.keys])
-        merged.write.mode("overwrite").parquet(f"{self.root}/version={old + 1}")
-        self.newest = old + 1
-        remove(self.spark, kept)
-        remove(self.spark, f"{self.root}/version={old}")
+        month = F.coalesce(F.date_format(self.day, "yyyy-MM"), F.lit("none"))
+        fresh = self.spark.read.schema(self.schema).parquet(kept).select(*self.schema.names, month.alias(MONTH))
+        # One value a month of the calendar.
+        touched = [row[MONTH] for row in fresh.select(MONTH).distinct().collect()]
+        old = self._read().where(F.col(MONTH).isin(touched))
+        merged = merge_latest(old, fresh, [*self.keys, MONTH], [n for n in self.schema.names if n not in self.keys])
+        merged.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(f"{self.root}/aside")
+        self._put_in_place()
         return self.rows()
 
+    def _put_in_place(self) -> None:
+        aside = self.spark.read.schema(self.whole).parquet(f"{self.root}/aside")
+        aside.hint("rebalance", MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(f"{self.root}/table")
+        remove(self.spark, f"{self.root}/kept")
+        remove(self.spark, f"{self.root}/aside")
+
 
 def run_ingest(stream: DataFrame, table: MergedTable, checkpoint: str) -> DataFrame:
     """Drains what is there, then merges; schedule it to keep the table up to date."""
@@ -68,3 +90,21 @@ def run_ingest(stream: DataFrame, table: MergedTable, checkpoint: str) -> DataFr
 
 def newest_day(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol").agg(F.max("trade_date").alias("last_date"), F.count("*").alias("bars"))
+
+
+def deduplicated(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
+    """The first arrival of each key; rows later than ``delay`` behind the newest are dropped, and with them the need to remember.
+
+    State holds the keys of the last two ``delay`` of event time, whatever the stream's length.
+    """
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def run_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Drains what is there into a Parquet folder, each row once, also over restarts; returns the ended query."""
+    query = (
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query

@@ -58,3 +58,8 @@ def newest_value(df: DataFrame, column: str) -> Column:
 def within(df: DataFrame, column: str, days: int, as_of: Column) -> DataFrame:
     """Rows at most ``days`` calendar days before ``as_of``."""
     return df.where((F.col(column) >= F.date_sub(as_of, days)) & (F.col(column) <= as_of))
+
+
+def quarters_only(statements: DataFrame) -> DataFrame:
+    """Quarterly rows of a statement table, which holds annual ones of the same dates too; a table without period types is quarterly."""
+    return statements.where(F.col("period_type") == "quarterly") if "period_type" in statements.columns else statements

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from equiloom.functions.expressions import as_int, ratio
-from equiloom.functions.frames import top_per_group
+from equiloom.functions.frames import quarters_only, top_per_group
 
 
 def win_loss(returns: DataFrame, minimum: int = 60) -> DataFrame:
@@ -31,10 +31,10 @@ FLOWS = ("revenue", "gross_profit", "operating_income", "net_income", "operating
 STOCKS = ("shares", "total_assets", "total_liabilities", "equity", "total_debt", "cash")
 
 
-def annual_fundamentals(quarters: DataFrame) -> DataFrame:
-    """Fiscal years from quarters: flows add up, balances are the year's last."""
+def annual_fundamentals(statements: DataFrame) -> DataFrame:
+    """Fiscal years from quarters: flows add up, balances are the year's last. Annual rows among them don't count."""
     last = [F.max_by(c, "fiscal_date").alias(c) for c in STOCKS]
-    return quarters.groupBy("symbol", F.year("fiscal_date").alias("fiscal_year")).agg(
+    return quarters_only(statements).groupBy("symbol", F.year("fiscal_date").alias("fiscal_year")).agg(
         F.max("fiscal_date").alias("fiscal_date"), F.count("*").alias("quarters"),
         *[F.sum(c).alias(c) for c in FLOWS], *last,
     )

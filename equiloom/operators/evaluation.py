@@ -6,6 +6,7 @@ scores known by then, and its weighted daily return runs from the bar after the
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -37,9 +38,16 @@ def rebalance_calendar(days: DataFrame, frequency: str = "quarterly") -> DataFra
 
 
 def as_of_entry(dates: DataFrame, days: DataFrame) -> DataFrame:
-    later = days.select("trade_date").distinct()
-    return dates.join(later, F.col("trade_date") >= F.col("rebalance_date")).groupBy("rebalance_date").agg(
-        F.min("trade_date").alias("entry_day"))
+    """The first trading day from each date on, in one backward pass over dates and days; dates after the last day have none and go.
+
+    Both are bounded by the calendar, and so is the one window.
+    """
+    marks = dates.select(F.col("rebalance_date").alias("_d"), F.lit(None).cast("date").alias("_day")).unionByName(
+        days.select(F.col("trade_date").alias("_d"), F.col("trade_date").alias("_day")).distinct())
+    # A day stands before the dates it is the entry of.
+    back = Window.partitionBy(F.lit(1)).orderBy(F.desc("_d"), F.col("_day").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = marks.withColumns({"entry_day": F.last("_day", ignorenulls=True).over(back)}).where(F.col("_day").isNull())
+    return filled.where(F.col("entry_day").isNotNull()).select(F.col("_d").alias("rebalance_date"), "entry_day")
 
 
 def scores_at(calendar: DataFrame, scores: DataFrame, columns: list[str]) -> DataFrame:
@@ -94,13 +102,12 @@ def strategy_returns(picks: DataFrame, bars: DataFrame, calendar: DataFrame, day
                      cost_bps: float = 20.0) -> DataFrame:
     """Daily weighted return per strategy, less turnover cost on the first day of a period.
 
-    The picks are ``n`` rows per rebalance date and strategy — bounded by parameters — so
-    they are broadcast and cut the price table to the held symbols before any shuffle.
+    The picks are ``n`` rows per rebalance date and strategy; whether they are broadcast to the price table is left to their size.
     """
     held = picks.select("strategy", "rebalance_date", "symbol", "weight").join(
         F.broadcast(calendar.select("rebalance_date", "period_no")), "rebalance_date").drop("rebalance_date")
     moved = held_returns(bars, calendar, days)
-    daily = moved.join(F.broadcast(held), ["symbol", "period_no"]).groupBy("strategy", "period_no", "trade_date").agg(
+    daily = moved.join(held, ["symbol", "period_no"]).groupBy("strategy", "period_no", "trade_date").agg(
         F.sum(F.col("weight") * F.col("daily_return")).alias("gross_return"))
     first = daily.groupBy("strategy", "period_no").agg(F.min("trade_date").alias("trade_date"))
     charges = first.join(turnover(picks, calendar), ["strategy", "period_no"]).select(
@@ -193,16 +200,26 @@ def parameter_grid_scores(signals: DataFrame, strategy: str) -> DataFrame:
     return rows.withColumns(grid_columns(strategy, F.col("combo"))).withColumn("score", grid_score(strategy))
 
 
-def grid_daily_returns(scored: DataFrame, bars: DataFrame, calendar: DataFrame, days: DataFrame, strategy: str) -> DataFrame:
+def grid_picks(scored: DataFrame, strategy: str) -> DataFrame:
+    """The best symbols of every parameter combination at every rebalance date, enough for the largest portfolio; the smaller ones are its first."""
+    order = [F.round("score", 8).desc(), F.asc("symbol")]
+    best = top_per_group(scored.where(F.col("score") > 0), ["rebalance_date", "combo"], order, max(PORTFOLIO_GRID[strategy][0]), "pick_no")
+    return checkpointed(best.select("rebalance_date", "combo", "symbol", "pick_no"))
+
+
+def picked_returns(picks: list[DataFrame], bars: DataFrame, calendar: DataFrame, days: DataFrame) -> DataFrame:
+    """Daily returns of the symbols that some combination of some strategy holds."""
+    symbols = reduce(DataFrame.unionByName, [p.select("symbol") for p in picks]).distinct()
+    return held_returns(bars.join(symbols, "symbol", "left_semi"), calendar, days)
+
+
+def grid_daily_returns(picks: DataFrame, moved: DataFrame, calendar: DataFrame, strategy: str) -> DataFrame:
     """Daily return of every parameter combination over the whole history.
 
-    ``calendar`` is monthly; a slower strategy keeps each pick for several months. Picks of
-    the largest portfolio serve the smaller ones too, and a rebalance date depends on no
+    ``calendar`` is monthly, and so are the periods of ``moved``; a slower strategy keeps each pick for several months. A rebalance date depends on no
     window, so every day is computed once per combination and frequency.
     """
     sizes, frequencies = PORTFOLIO_GRID[strategy]
-    order = [F.round("score", 8).desc(), F.asc("symbol")]
-    picks = checkpointed(top_per_group(scored.where(F.col("score") > 0), ["rebalance_date", "combo"], order, max(sizes), "pick_no").select("rebalance_date", "combo", "symbol", "pick_no"))
     counts = picks.groupBy("rebalance_date", "combo").agg(F.count("*").alias("_picked"))
     numbered = picks.join(counts, ["rebalance_date", "combo"]).join(
         F.broadcast(calendar.select("rebalance_date", "period_no")), "rebalance_date")
@@ -212,9 +229,7 @@ def grid_daily_returns(scored: DataFrame, bars: DataFrame, calendar: DataFrame,
     held = held.select(
         "combo", "symbol", "pick_no", "_picked", F.col("_s.f").alias("rebalance_freq"),
         F.explode(F.sequence("period_no", F.col("period_no") + F.col("_s.m") - 1)).alias("period_no"))
-    # Only symbols that some combination holds have to be priced.
-    placed = held_returns(bars.join(picks.select("symbol").distinct(), "symbol", "left_semi"), calendar, days)
-    joined = held.join(placed, ["symbol", "period_no"])
+    joined = held.join(moved, ["symbol", "period_no"])
 
     def portfolio(n: int) -> Column:
         gained = F.sum(F.when(F.col("pick_no") <= n, F.col("daily_return")).otherwise(0.0))
@@ -235,28 +250,47 @@ def walk_windows(days: DataFrame, train_months: int = 12, test_months: int = 3,
         "train_start", "train_end", F.col("train_end").alias("test_start"), "test_end")
 
 
-def _window_sharpe(returns: DataFrame, windows: DataFrame, days: DataFrame, start: str, end: str, keys: list[str],
-                   prefix: str) -> DataFrame:
+def window_pieces(windows: DataFrame) -> DataFrame:
+    """The stretches between any two neighbouring starts or ends of the windows; each window is some of them in a row."""
+    ends = windows.select(F.explode(F.array("train_start", "train_end", "test_start", "test_end")).alias("period_start")).distinct()
+    order = Window.partitionBy(F.lit(1)).orderBy("period_start")  # a few rows a year
+    return ends.withColumn("period_end", F.lead("period_start").over(order)).where(F.col("period_end").isNotNull())
+
+
+def return_moments(returns: DataFrame, windows: DataFrame, days: DataFrame, keys: list[str]) -> DataFrame:
+    """Days, growth, mean and squared deviation of the returns of each key in each piece: one aggregate over all days, for all windows."""
     r = F.col("daily_return")
-    spans = windows.select("train_start", F.col(start).alias("period_start"), F.col(end).alias("period_end"))
-    inside = in_period(returns, spans, days)
-    facts = inside.groupBy("train_start", *keys).agg(
-        compounded(r).alias("_total"), F.count("*").alias("_days"), (F.stddev_pop(r) * F.sqrt(F.lit(252.0))).alias("_vol"))
-    annual = F.pow(1 + F.col("_total"), F.lit(252.0) / F.col("_days")) - 1
-    sharpe = F.coalesce(ratio(annual - RISK_FREE, F.when(F.round("_vol", 12) > 0, F.col("_vol"))), F.lit(0.0))
-    return facts.select("train_start", *keys, F.col("_total").alias(f"{prefix}_return"), F.round(sharpe, 6).alias(f"{prefix}_sharpe"))
+    inside = in_period(returns, window_pieces(windows), days)
+    return inside.groupBy(*keys, F.col("period_start").alias("piece")).agg(
+        F.count(r).alias("n"), F.product(1 + r).alias("growth"), F.avg(r).alias("mean"), (F.var_pop(r) * F.count(r)).alias("squares")).where("n > 0")
+
+
+def _window_sharpe(moments: DataFrame, windows: DataFrame, start: str, end: str, keys: list[str], prefix: str) -> DataFrame:
+    """Return and Sharpe ratio of each key in each window, from the moments of the window's pieces."""
+    c = F.col
+    pieces = window_pieces(windows).agg(F.array_sort(F.collect_set("period_start"))).scalar()
+    spans = windows.select("train_start", start, end, pieces.alias("_p")).select(
+        "train_start", F.explode(F.filter("_p", lambda p: (p >= c(start)) & (p < c(end)))).alias("piece"))
+    parts = moments.join(F.broadcast(spans), "piece").groupBy("train_start", *keys).agg(
+        (F.product("growth") - 1).alias("_total"), F.sum("n").alias("_days"), (F.sum(c("n") * c("mean")) / F.sum("n")).alias("_mean"),
+        F.collect_list(F.struct("n", "mean", "squares")).alias("_parts"))
+    squares = F.aggregate("_parts", F.lit(0.0), lambda total, p: total + p["squares"] + p["n"] * (p["mean"] - c("_mean")) * (p["mean"] - c("_mean")))
+    facts = parts.withColumn("_vol", F.sqrt(squares / c("_days")) * F.sqrt(F.lit(252.0)))
+    annual = F.pow(1 + c("_total"), F.lit(252.0) / c("_days")) - 1
+    sharpe = F.coalesce(ratio(annual - RISK_FREE, F.when(F.round("_vol", 12) > 0, c("_vol"))), F.lit(0.0))
+    return facts.select("train_start", *keys, c("_total").alias(f"{prefix}_return"), F.round(sharpe, 6).alias(f"{prefix}_sharpe"))
 
 
 def walk_forward(returns: DataFrame, windows: DataFrame, days: DataFrame, strategy: str) -> DataFrame:
     """Best training parameters per window and how they did on the following test window."""
     keys = ["combo", "num_stocks", "rebalance_freq"]
-    # Combinations x trading days: fixed by the grid and the calendar, read once per side.
-    returns = checkpointed(returns)
-    trained = _window_sharpe(returns, windows, days, "train_start", "train_end", keys, "train")
+    # Combinations x pieces: fixed by the grid and the calendar.
+    moments = checkpointed(return_moments(returns, windows, days, keys))
+    trained = _window_sharpe(moments, windows, "train_start", "train_end", keys, "train")
     best = F.max_by(F.struct(*keys, "train_return", "train_sharpe"),
                     F.struct("train_sharpe", -F.col("combo"), -F.col("num_stocks"), F.col("rebalance_freq") == min(PORTFOLIO_GRID[strategy][1])))
     chosen = trained.groupBy("train_start").agg(best.alias("_b")).select("train_start", "_b.*")
-    tested = _window_sharpe(returns, windows, days, "test_start", "test_end", keys, "test")
+    tested = _window_sharpe(moments, windows, "test_start", "test_end", keys, "test")
     rows = windows.join(chosen, "train_start").join(tested, ["train_start", *keys], "left")
     rows = rows.withColumn("test_sharpe", F.coalesce("test_sharpe", F.lit(0.0))).withColumns(grid_columns(strategy, F.col("combo")))
     gap = F.col("train_sharpe") - F.col("test_sharpe")
@@ -265,12 +299,12 @@ def walk_forward(returns: DataFrame, windows: DataFrame, days: DataFrame, strate
 
 def parameters_json(best: DataFrame, strategy: str) -> DataFrame:
     fields = [*SCORE_GRID[strategy], "num_stocks", "rebalance_freq"]
-    return best.select("train_start", F.to_json(F.struct(*fields)).alias("best_params"))
+    return best.select(F.lit(strategy).alias("strategy"), "train_start", F.to_json(F.struct(*fields)).alias("best_params"))
 
 
 def parameters_from_json(rows: DataFrame, strategy: str) -> DataFrame:
     shape = ", ".join([f"{n} double" for n in SCORE_GRID[strategy]] + ["num_stocks int", "rebalance_freq string"])
-    return rows.select("train_start", F.from_json("best_params", shape).alias("p")).select("train_start", "p.*")
+    return rows.where(F.col("strategy") == strategy).select("strategy", "train_start", F.from_json("best_params", shape).alias("p")).select("strategy", "train_start", "p.*")
 
 
 def parameter_stability(best: DataFrame, strategy: str) -> tuple[DataFrame, DataFrame]:

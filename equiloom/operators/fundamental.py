@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from equiloom.functions.expressions import as_int, clamp, holds, ladder, ratio
-from equiloom.functions.frames import by_symbol, latest_by, top_per_group
+from equiloom.functions.frames import by_symbol, latest_by, quarters_only, top_per_group
 from equiloom.functions.ranking import numbered, with_percentile
 from equiloom.operators.aggregates import annual_fundamentals, yearly_dividends
 from equiloom.operators.filters import eligible_universe
@@ -86,7 +86,7 @@ def altman(quarters: DataFrame, universe: DataFrame) -> DataFrame:
     """Z for manufacturers, Z' for the rest, from the newest quarter with assets."""
     c = F.col
     listed = eligible_universe(universe).select("symbol", "sector", "market_cap")
-    rows = latest_by(quarters.where(c("total_assets") > 0), ["symbol"], "fiscal_date").join(listed, "symbol")
+    rows = latest_by(quarters_only(quarters).where(c("total_assets") > 0), ["symbol"], "fiscal_date").join(listed, "symbol")
     assets, owed = c("total_assets"), c("total_liabilities")
 
     def per_asset(value: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,25 +32,51 @@ def star_join(base: DataFrame, tables: Sequence[DataFrame], key: str = "symbol")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
-               values: Sequence[str]) -> DataFrame:
+               values: Sequence[str], bucket: Callable[[Column], Column] | None = None, order: Sequence[str] = ()) -> DataFrame:
     """For each left row, the right values at the latest time not after its own.
 
-    Only the distinct (key, day) pairs of the left side enter the window, so its partitions
-    are bounded by the calendar however many left rows a key has; the values then come
-    back by an equi-join, which adaptive execution can split when a pair is hot.
+    Only the distinct (key, time) pairs of the left side enter the window; the values then come back by an equi-join,
+    which adaptive execution can split when a pair is hot. That bounds a window by the calendar where the right side has one row
+    per key and day. Where it has events, give ``bucket``, a function of time that never falls (a day, an hour): the right side shrinks
+    to one row per key and moment (the largest ``order``, then values), windows hold one bucket of a key, and what was last
+    known before a bucket comes from a table of one row per key and bucket.
     """
     wanted = left.select(key, F.col(left_time).alias("_t")).distinct()
     facts = F.struct(*values)
-    marks = wanted.select(key, "_t", F.lit(1).alias("_asks"), F.lit(None).alias("_v")).unionByName(
-        right.select(key, F.col(right_time).alias("_t"), F.lit(0).alias("_asks"), facts.alias("_v"))
-    )
-    seen = Window.partitionBy(key).orderBy("_t", "_asks").rowsBetween(Window.unboundedPreceding, 0)
-    filled = marks.withColumn("_v", F.last("_v", ignorenulls=True).over(seen)).where("_asks = 1")
+    if bucket is None:
+        marks = _marks(wanted, right.select(key, F.col(right_time).alias("_t"), facts.alias("_v")), key)
+        seen = Window.partitionBy(key).orderBy("_t", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+        filled = marks.withColumn("_v", F.last("_v", ignorenulls=True).over(seen)).where("_asks = 1")
+    else:
+        filled = _filled_by_bucket(wanted, right, key, right_time, facts, bucket, order)
     answers = filled.select(F.col(key).alias("_k"), "_t", "_v.*")
     matched = (left[key] == answers["_k"]) & (left[left_time] == answers["_t"])
     return left.join(answers, matched, "left").select(left["*"], *values)
 
 
+def _marks(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Moments asked for and moments known, in one table; on the same moment what is known comes first."""
+    none = F.lit(None).cast(known.schema["_v"].dataType)
+    return wanted.select(key, "_t", F.lit(1).alias("_asks"), none.alias("_v")).unionByName(known.select(key, "_t", F.lit(0).alias("_asks"), "_v"))
+
+
+def _filled_by_bucket(wanted: DataFrame, right: DataFrame, key: str, time: str, facts: Column, bucket: Callable[[Column], Column], order: Sequence[str]) -> DataFrame:
+    known = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(key, F.col(time).alias("_t")).agg(F.max_by(facts, F.struct(*order, facts)).alias("_v"))
+    marks = bucketed(_marks(wanted, known, key), bucket)
+    inside = Window.partitionBy(key, "_bucket").orderBy("_t", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    filled = marks.withColumn("_v", F.last("_v", ignorenulls=True).over(inside))
+    # Same keys as the window's: no further shuffle.
+    ends = filled.groupBy(key, "_bucket").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", F.lit(1) - F.col("_asks")))).alias("_last"))
+    over = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "_bucket", F.last("_last", ignorenulls=True).over(over).alias("_before"))
+    asked = filled.where("_asks = 1").join(carried, [key, "_bucket"], "left")
+    return asked.select(key, "_t", F.coalesce("_v", "_before").alias("_v"))
+
+
+def bucketed(marks: DataFrame, bucket: Callable[[Column], Column]) -> DataFrame:
+    return marks.withColumn("_bucket", bucket(F.col("_t")))
+
+
 def latest_not_after(right: DataFrame, key: str, time: str, value: str, moment: Column, name: str) -> DataFrame:
     """One value per key at the latest time not after a single moment: a plain aggregate."""
     return right.where(F.col(time) <= moment).groupBy(key).agg(F.max_by(value, time).alias(name))
@@ -65,12 +91,11 @@ def nth_later(column: str, time: str, n: int, days: int, window) -> Column:
 def day_periods(days: DataFrame, periods: DataFrame, open_start: bool = False) -> DataFrame:
     """Which periods each trading day lies in: [start, end), or (start, end] when open.
 
-    Both inputs are bounded by the calendar, so the condition join is small at any scale.
+    Periods become their days and meet the calendar on the day; both are bounded by the calendar.
     """
-    day = F.col("trade_date")
-    after = day > F.col("period_start") if open_start else day >= F.col("period_start")
-    before = day <= F.col("period_end") if open_start else day < F.col("period_end")
-    return days.select("trade_date").distinct().join(F.broadcast(periods), after & before)
+    first, last = (F.date_add("period_start", 1), F.col("period_end")) if open_start else (F.col("period_start"), F.date_sub("period_end", 1))
+    inside = periods.where(first <= last).withColumn("trade_date", F.explode(F.sequence(first, last)))
+    return days.select("trade_date").distinct().join(inside, "trade_date")
 
 
 def in_period(facts: DataFrame, periods: DataFrame, days: DataFrame, open_start: bool = False) -> DataFrame:
@@ -78,6 +103,22 @@ def in_period(facts: DataFrame, periods: DataFrame, days: DataFrame, open_start:
     return facts.join(F.broadcast(day_periods(days, periods, open_start)), "trade_date")
 
 
+def interval_join(facts: DataFrame, periods: DataFrame, time: str, start: str, end: str, seconds: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Each fact with the periods [start, end) its moment lies in, all of them where they overlap; ``keys`` must be equal, too.
+
+    Time is cut into ranges of ``seconds``. A fact has one, a period those it touches, and both meet on the range and the keys; only
+    then are the ends compared. Choose ranges of about a period's length: shorter ones copy periods, longer ones compare in vain. Facts and periods
+    without a moment, and empty periods, meet nothing.
+    """
+    def place(moment: Column) -> Column:
+        return F.floor(F.unix_micros(moment.cast("timestamp")) / (seconds * 1_000_000))
+
+    last = F.timestamp_micros(F.unix_micros(F.col(end).cast("timestamp")) - 1)
+    touched = periods.where(F.col(start) < F.col(end)).withColumn("_range", F.explode(F.sequence(place(F.col(start)), place(last))))
+    met = facts.withColumn("_range", place(F.col(time))).join(touched, [*keys, "_range"])
+    return met.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_range")
+
+
 TYPES = ("VALUE", "GROWTH", "DIVIDEND")
 
 

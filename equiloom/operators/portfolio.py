@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from equiloom.functions.expressions import change, clamp, ratio
+from equiloom.functions.expressions import change, clamp, holds, ratio
 from equiloom.functions.frames import top_per_group
 from equiloom.functions.ranking import tied_rank
 from equiloom.operators.aggregates import annual_fundamentals
@@ -161,36 +161,35 @@ def select_portfolio(scores: DataFrame, portfolios: tuple[str, ...] = PORTFOLIOS
     return capped_selection(rows, "selection_score", n, group="portfolio_type")
 
 
-def rebalance(old: DataFrame, new: DataFrame, scores: DataFrame, score: str) -> DataFrame:
-    """What enters, leaves and stays, with the average score on both sides.
+def rebalance(old: DataFrame, new: DataFrame, scores: DataFrame) -> DataFrame:
+    """For each portfolio type what enters, leaves and stays, with the average score on both sides.
 
-    Both symbol sets are portfolios of a fixed size, so the arrays are bounded.
+    The score of a type is the column named after it. A portfolio has a fixed size, so the arrays are bounded.
     """
-    before = old.agg(F.array_sort(F.collect_set("symbol")).alias("_s")).scalar()
-    after = new.agg(F.array_sort(F.collect_set("symbol")).alias("_s")).scalar()
-    marked = scores.select("symbol", F.col(score).alias("_score")).join(
-        F.broadcast(old.select("symbol").distinct().withColumn("_old", F.lit(True))), "symbol", "left").join(
-        F.broadcast(new.select("symbol").distinct().withColumn("_new", F.lit(True))), "symbol", "left")
-    averages = marked.agg(
-        F.coalesce(F.avg(F.when(F.col("_old"), F.col("_score"))), F.lit(0.0)).alias("avg_score_before"),
-        F.avg(F.when(F.col("_new"), F.col("_score"))).alias("avg_score_after"),
-    )
-    sides = averages.withColumns({"_before": before, "_after": after})
-    return sides.select(
-        F.array_except("_after", "_before").alias("stocks_added"), F.array_except("_before", "_after").alias("stocks_removed"),
-        F.array_intersect("_before", "_after").alias("stocks_retained"), "avg_score_before", "avg_score_after",
+    key = ["portfolio_type", "symbol"]
+    before, after = (df.select(*key).distinct().withColumn(mark, F.lit(True)) for df, mark in ((old, "_old"), (new, "_new")))
+    held = before.join(after, key, "full")
+    score = F.coalesce(*(F.when(F.col("portfolio_type") == p, F.col(f"{p.lower()}_score")) for p in PORTFOLIOS))
+    rated = held.join(scores.select("symbol", *(f"{p.lower()}_score" for p in PORTFOLIOS)), "symbol", "left").withColumn("_score", score)
+    was, now = holds(F.col("_old")), holds(F.col("_new"))
+
+    def symbols(of: Column) -> Column:
+        return F.array_sort(F.collect_set(F.when(of, F.col("symbol"))))
+
+    return rated.groupBy("portfolio_type").agg(
+        symbols(now & ~was).alias("stocks_added"), symbols(was & ~now).alias("stocks_removed"), symbols(was & now).alias("stocks_retained"),
+        F.coalesce(F.avg(F.when(was, F.col("_score"))), F.lit(0.0)).alias("avg_score_before"), F.avg(F.when(now, F.col("_score"))).alias("avg_score_after"),
     )
 
 
 def update_holdings(old: DataFrame, new: DataFrame, prices: DataFrame, as_of: Column) -> DataFrame:
-    """Closes every active holding of the portfolio and opens the new ones at the latest price."""
+    """Closes every active holding of the portfolios and opens the new ones at the latest price."""
     c = F.col
     closed = old.select(
         "portfolio_type", "symbol", "selection_date", "selection_score", "selection_rank", "entry_price",
         F.lit(10.0).alias("weight"), F.lit(False).alias("is_active"), as_of.alias("exit_date"), F.lit("Rebalance").alias("exit_reason"),
     )
-    # The picks are a portfolio of fixed size, so the price table is filtered by a broadcast.
-    quoted = prices.join(F.broadcast(new.select("symbol")), "symbol", "left_semi").groupBy("symbol").agg(
+    quoted = prices.join(new.select("symbol"), "symbol", "left_semi").groupBy("symbol").agg(
         F.max_by("close", "trade_date").alias("entry_price"))
     opened = new.join(quoted, "symbol", "left").select(
         "portfolio_type", "symbol", as_of.alias("selection_date"), "selection_score", c("selection_rank"), "entry_price",

@@ -67,6 +67,33 @@ def best_sectors(scores: DataFrame, minimum: int = 5) -> DataFrame:
     return means.where(F.col("stocks") >= minimum).orderBy(F.round("avg_score", 6).desc(), "sector").limit(5)
 
 
+def distressed_sectors(bankruptcy: DataFrame) -> DataFrame:
+    counted = bankruptcy.where(F.col("risk_category") == "DISTRESS").groupBy("sector").agg(F.count("*").alias("stocks"))
+    return counted.orderBy(F.desc("stocks"), "sector").limit(5)
+
+
+def safest(bankruptcy: DataFrame) -> DataFrame:
+    return top(bankruptcy.where(F.col("risk_category") == "SAFE"), "z_score", 10)
+
+
+def all_positive(scores: DataFrame) -> DataFrame:
+    """Stocks whose strength, safety and insider signals are all at their best."""
+    best = (F.col("fscore") >= 8) & (F.col("bankruptcy_risk") == "SAFE") & (F.col("insider_score") >= 70)
+    return top(scores.where(best), "composite_score", 5)
+
+
+def breakout_candidates(technical: DataFrame) -> DataFrame:
+    return top(technical.where(F.round("composite_score", 9) > 70), "composite_score", 15)
+
+
+def likely_manipulators(quality: DataFrame) -> DataFrame:
+    return top(quality.where(F.col("manipulation_risk") == "HIGH"), "m_score", 10, False)
+
+
+def cleanest(quality: DataFrame) -> DataFrame:
+    return top(quality, "m_score", 10, False)
+
+
 def accumulation_leaders(ownership: DataFrame, n: int = 20) -> DataFrame:
     return top(ownership.where(F.col("smart_money_signal").isin("STRONG_BUY", "BUY")), "momentum_score", n)
 

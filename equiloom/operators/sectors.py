@@ -74,20 +74,20 @@ def sector_momentum(daily: DataFrame, quality: DataFrame | None = None) -> DataF
         "avg_quality_score", F.coalesce("avg_quality_score", F.lit(50.0)))
 
 
+def sector_averages(universe: DataFrame, averages: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``{name: (table, column)}`` averaged over the listed symbols of each sector; tables have one row per symbol."""
+    listed = eligible_universe(universe, security_type=None).where(F.col("sector").isNotNull()).select("symbol", "sector")
+    tables = [table.select("symbol", F.col(column).alias(name)) for name, (table, column) in averages.items()]
+    return star_join(listed, tables).groupBy("sector").agg(*(F.avg(name).alias(name) for name in averages))
+
+
 def sector_quality(universe: DataFrame, strength: DataFrame, bankruptcy: DataFrame, master: DataFrame, risk: DataFrame,
                    ownership: DataFrame) -> DataFrame:
-    """Sector averages over the score tables, each with one row per symbol."""
-    listed = eligible_universe(universe, security_type=None).where(F.col("sector").isNotNull()).select("symbol", "sector")
-    tables = [
-        strength.select("symbol", "fscore"), bankruptcy.select("symbol", "z_score"),
-        master.select("symbol", "composite_score"), risk.select("symbol", "sharpe_ratio"),
-        ownership.select("symbol", "quarter_change_pct"),
-    ]
-    return star_join(listed, tables).groupBy("sector").agg(
-        F.avg("fscore").alias("avg_fscore"), F.avg("z_score").alias("avg_zscore"),
-        F.avg("composite_score").alias("avg_quality_score"), F.avg("sharpe_ratio").alias("avg_sharpe"),
-        F.avg("quarter_change_pct").alias("avg_inst_change"),
-    )
+    """Sector averages over the score tables."""
+    return sector_averages(universe, {
+        "avg_fscore": (strength, "fscore"), "avg_zscore": (bankruptcy, "z_score"), "avg_quality_score": (master, "composite_score"),
+        "avg_sharpe": (risk, "sharpe_ratio"), "avg_inst_change": (ownership, "quarter_change_pct"),
+    })
 
 
 def _of_sector(sector: str, value: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from equiloom.functions.expressions import as_int, change, ratio
-from equiloom.functions.frames import by_symbol, running, top_per_group, trailing, trailing_means
+from equiloom.functions.frames import by_symbol, quarters_only, running, top_per_group, trailing, trailing_means
 
 YEAR_ROWS = 252
 
@@ -53,7 +53,7 @@ def forward_changes(bars: DataFrame, horizons: dict[str, int]) -> DataFrame:
 
 def year_ago(quarters: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     order = by_symbol("fiscal_date")
-    return quarters.withColumns({f"prior_{c}": F.lag(c, 4).over(order) for c in columns})
+    return quarters_only(quarters).withColumns({f"prior_{c}": F.lag(c, 4).over(order) for c in columns})
 
 
 def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
@@ -78,8 +78,27 @@ def drawdowns(bars: DataFrame) -> DataFrame:
     return numbered.withColumn("drawdown", change(F.col("close"), peak)).drop("_row")
 
 
-def max_drawdown(bars: DataFrame) -> DataFrame:
-    return drawdowns(bars).groupBy("symbol").agg(F.min("drawdown").alias("max_drawdown"))
+def max_drawdown(bars: DataFrame, segment: Column | None = None) -> DataFrame:
+    """Worst fall from the running peak per symbol, the peak starting at the second bar.
+
+    A symbol's series is read in segments (years, or any column that never falls with time) that are summed up as highest, lowest and
+    worst fall, and the summaries are put together in order: a very long series spans tasks, and one task orders its few summaries.
+    The very first bar is told from others only then, so each segment is summed up with and without its first.
+    """
+    c = F.col
+    rows = bars.select("symbol", "trade_date", "close", (F.year("trade_date") if segment is None else segment).alias("_part"))
+    inside = Window.partitionBy("symbol", "_part").orderBy("trade_date")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_rest", F.when(F.row_number().over(inside) > 1, c("close")))
+    rows = rows.withColumns({f"_fall_{n}": change(c(n), F.max(n).over(upto)) for n in ("close", "_rest")})
+    parts = rows.groupBy("symbol", "_part").agg(F.count("*").alias("_bars"), *(
+        f.alias(f"{name}_{n}") for n in ("close", "_rest") for name, f in (("_high", F.max(n)), ("_low", F.min(n)), ("_fall", F.min(f"_fall_{n}")))))
+    order = Window.partitionBy("symbol").orderBy("_part")
+    first = F.row_number().over(order) == 1
+    parts = parts.withColumns({n: F.when(first, c(f"{n}__rest")).otherwise(c(f"{n}_close")) for n in ("_high", "_low", "_fall")})
+    before = F.max("_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    worst = parts.withColumn("_worst", F.least("_fall", change(c("_low"), before)))
+    return worst.groupBy("symbol").agg(F.min("_worst").alias("max_drawdown"), F.sum("_bars").alias("_bars")).where("_bars > 1").drop("_bars")
 
 
 def dividend_changes(yearly: DataFrame) -> DataFrame:
@@ -135,15 +154,22 @@ def newest_rows(df: DataFrame, k: int, order: str = "trade_date") -> DataFrame:
     return top_per_group(df, ["symbol"], [F.desc(order)], k)
 
 
-def sequences(rows: DataFrame, features: tuple[str, ...], target: str, length: int = 60) -> DataFrame:
+def sequences(rows: DataFrame, features: tuple[str, ...], target: str, length: int = 60, chunk: int = 240) -> DataFrame:
     """The ``length`` earlier feature rows of each row as one array, with the row's target.
 
-    Output is ``length`` times its input, so it is meant to be written out, not cached.
+    Rows are gathered in chunks of ``chunk`` with the ``length`` rows before them, and each sequence is a slice of its chunk: a row
+    travels and is held once or twice, not ``length`` times. The output is ``length`` times its input, so it is meant to be written out.
     """
-    frame = by_symbol().rowsBetween(-length, -1)
-    window = F.collect_list(F.struct("trade_date", *features)).over(frame)
-    return rows.select("symbol", "trade_date", window.alias("sequence"), F.col(target).alias("target")).where(
-        F.size("sequence") == length
+    number = F.row_number().over(by_symbol()) - 1
+    entry = F.struct(F.col("_n"), F.struct("trade_date", *features).alias("f"), F.col(target).alias("t"))
+    placed = rows.select("symbol", "trade_date", *features, *([target] if target not in features else []), number.alias("_n"))
+    meant = F.sequence(F.floor(F.col("_n") / chunk), F.floor((F.col("_n") + length) / chunk))
+    chunks = placed.select("symbol", F.explode(meant).alias("_chunk"), entry.alias("_e")).groupBy("symbol", "_chunk").agg(F.sort_array(F.collect_list("_e")).alias("_all"))
+    whole = chunks.where(F.size("_all") > length).select("symbol", F.col("_all.f").alias("_f"), F.col("_all.t").alias("_t"))
+    at = whole.select("symbol", "_f", "_t", F.explode(F.sequence(F.lit(length), F.size("_f") - 1)).alias("_i"))
+    return at.select(
+        "symbol", F.col("_f")[F.col("_i")]["trade_date"].alias("trade_date"), F.slice("_f", F.col("_i") - length + 1, length).alias("sequence"),
+        F.col("_t")[F.col("_i")].alias("target"),
     )
 
 

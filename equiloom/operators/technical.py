@@ -265,39 +265,58 @@ def kelly(bars: DataFrame, universe: DataFrame, as_of: Column, scores: DataFrame
 MONTH, QUARTER, HALF, YEAR = 21, 63, 126, 252
 
 
-def forward_returns(bars: DataFrame) -> DataFrame:
-    """Returns over the next 21 to 252 bars, and the next month's and quarter's risk.
+def _worst_of(first: Column, then: Column) -> Column:
+    """Highest, lowest and worst fall of two stretches, one after the other; a stretch that is null adds nothing."""
+    return F.struct(
+        F.greatest(first["high"], then["high"]).alias("high"), F.least(first["low"], then["low"]).alias("low"),
+        F.least(first["fall"], then["fall"], change(then["low"], first["high"])).alias("fall"),
+    )
+
 
-    The drawdown needs a running peak inside each forward frame; the frame is at most 63
-    closes, so it is folded in an array expression.
+def forward_falls(rows: DataFrame, spans: dict[str, int], order) -> DataFrame:
+    """Worst fall from a running peak over this row and the next ``n``, for each ``{name: n}``.
+
+    Stretches of 1, 2, 4, ... rows are put together from two of half their length, and any other length from those, so a row
+    reads a few rows ahead and holds no list. All steps share the order's one sort.
     """
+    close, longest = F.col("close"), max(spans.values()) + 1
+    rows = rows.withColumn("_s1", F.struct(close.alias("high"), close.alias("low"), F.lit(0.0).alias("fall")))
+    size, made = 1, ["_s1"]
+    while 2 * size <= longest:
+        rows = rows.withColumn(f"_s{2 * size}", _worst_of(F.col(f"_s{size}"), F.lead(f"_s{size}", size).over(order)))
+        size *= 2
+        made.append(f"_s{size}")
+    for name, n in spans.items():
+        parts = [1 << bit for bit in range(size.bit_length()) if (n + 1) >> bit & 1][::-1]
+        whole, reached = F.col(f"_s{parts[0]}"), parts[0]
+        for part in parts[1:]:
+            rows = rows.withColumn(name, _worst_of(whole, F.lead(f"_s{part}", reached).over(order)))
+            whole, reached = F.col(name), reached + part
+        rows = rows.withColumn(name, whole["fall"])
+    return rows.drop(*made)
+
+
+def forward_returns(bars: DataFrame) -> DataFrame:
+    """Returns over the next 21 to 252 bars, and the next month's and quarter's risk."""
     c, order = F.col, by_symbol()
     horizons = {"return_1m": MONTH, "return_3m": QUARTER, "return_6m": HALF, "return_12m": YEAR}
     rows = daily_returns(bars.select("symbol", "trade_date", "close")).withColumns(
         {name: change(F.lead("close", n).over(order), c("close")) for name, n in horizons.items()}
     )
-
-    def fall(closes: Column, start: Column) -> Column:
-        state = F.struct(start.alias("peak"), F.lit(0.0).alias("low"))
-
-        def step(acc: Column, x: Column) -> Column:
-            peak = F.greatest(acc["peak"], x)
-            return F.struct(peak.alias("peak"), F.least(acc["low"], x / peak - 1).alias("low"))
-
-        return F.aggregate(closes, state, step, lambda acc: acc["low"])
-
-    for label, n in (("1m", MONTH), ("3m", QUARTER)):
+    spans = {"1m": MONTH, "3m": QUARTER}
+    rows = forward_falls(rows, {f"_fall_{label}": n for label, n in spans.items()}, order)
+    figures = {}
+    for label, n in spans.items():
         frame = order.rowsBetween(1, n)
-        spread = F.stddev_samp("daily_return").over(frame)
-        mean = F.avg("daily_return").over(frame)
-        closes = F.collect_list("close").over(frame)
-        full = F.col(f"return_{label}").isNotNull()
-        rows = rows.withColumns({"_spread": spread, "_mean": mean, "_closes": closes}).withColumns({
-            f"volatility_{label}": F.when(full, c("_spread") * F.sqrt(F.lit(252.0))),
-            f"sharpe_{label}": F.when(
-                full, ratio(c("_mean") - DAILY_RISK_FREE, c("_spread")) * F.sqrt(F.lit(252.0))),
-            f"max_drawdown_{label}": F.when(full, fall(c("_closes"), c("close"))),
-        }).drop("_spread", "_mean", "_closes")
+        figures |= {f"_spread_{label}": F.stddev_samp("daily_return").over(frame), f"_mean_{label}": F.avg("daily_return").over(frame)}
+    rows = rows.withColumns(figures)
+    for label in spans:
+        full, spread = F.col(f"return_{label}").isNotNull(), c(f"_spread_{label}")
+        rows = rows.withColumns({
+            f"volatility_{label}": F.when(full, spread * F.sqrt(F.lit(252.0))),
+            f"sharpe_{label}": F.when(full, ratio(c(f"_mean_{label}") - DAILY_RISK_FREE, spread) * F.sqrt(F.lit(252.0))),
+            f"max_drawdown_{label}": F.when(full, c(f"_fall_{label}")),
+        }).drop(f"_spread_{label}", f"_mean_{label}", f"_fall_{label}")
     return rows.drop("daily_return")
 
 

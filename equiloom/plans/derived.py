@@ -41,23 +41,23 @@ class Derived(Inputs):
 
     @cached_property
     def piotroski(self) -> DataFrame:
-        return fundamental.piotroski(self.fundamentals_q, self.universe)
+        return fundamental.piotroski(self.fundamentals, self.universe)
 
     @cached_property
     def altman(self) -> DataFrame:
-        return fundamental.altman(self.fundamentals_q, self.universe)
+        return fundamental.altman(self.fundamentals, self.universe)
 
     @cached_property
     def beneish(self) -> DataFrame:
-        return fundamental.beneish(self.fundamentals_q, self.universe)
+        return fundamental.beneish(self.fundamentals, self.universe)
 
     @cached_property
     def excess(self) -> DataFrame:
-        return fundamental.excess_cash_flow(self.fundamentals_q, self.dividends, self.universe)
+        return fundamental.excess_cash_flow(self.fundamentals, self.dividends, self.universe)
 
     @cached_property
     def dividend_quality(self) -> DataFrame:
-        return fundamental.dividend_sustainability(self.dividends, self.fundamentals_q, self.universe, self.stored_excess)
+        return fundamental.dividend_sustainability(self.dividends, self.fundamentals, self.universe, self.stored_excess)
 
     @cached_property
     def breakout(self) -> DataFrame:
@@ -128,22 +128,28 @@ class Derived(Inputs):
 
     @cached_property
     def sector_quality(self) -> DataFrame:
-        """Read from the stored master table, which carries every symbol's latest scores."""
-        scores = self.stored_master.withColumnRenamed("institutional_change", "quarter_change_pct")
-        return sectors.sector_quality(self.universe, scores, scores, scores, scores, scores)
+        """Preferred stocks count too, so each score comes from its own table; only the composite is of common stocks."""
+        return sectors.sector_quality(self.universe, self.piotroski, self.altman, self.master, self.risk, self.ownership)
 
     @cached_property
     def sector_momentum(self) -> DataFrame:
         """One row per sector; stored, since rotation reads it three times."""
-        return checkpointed(sectors.sector_momentum(self.sector_daily, self.sector_quality))
+        quality = sectors.sector_averages(self.universe, {"avg_quality_score": (self.master, "composite_score")})
+        return checkpointed(sectors.sector_momentum(self.sector_daily, quality))
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return evaluation.rebalance_calendar(self.days, "quarterly")
+        return checkpointed(evaluation.rebalance_calendar(self.days, "quarterly"))
 
     @cached_property
     def months(self) -> DataFrame:
-        return evaluation.rebalance_calendar(self.days, "monthly")
+        return checkpointed(evaluation.rebalance_calendar(self.days, "monthly"))
+
+    @cached_property
+    def month_scores(self) -> DataFrame:
+        """Scores known at each month's rebalance, read by every strategy's search."""
+        columns = [c for c in self.stored_scores.columns if c not in ("symbol", "signal_date")]
+        return stored(evaluation.scores_at(self.months, self.stored_scores, columns), "month-scores")
 
     @cached_property
     def scores_at_rebalance(self) -> DataFrame:

@@ -101,6 +101,12 @@ class Inputs:
             (F.sum(tax * 3).over(so_far) * 1e4).alias("total_debt"), (F.sum(disc).over(so_far) * 1e4).alias("cash"),
         )
 
+    @cached_property
+    def fundamentals(self) -> DataFrame:
+        """The quarters with an annual row beside each fourth one, as statement tables hold them."""
+        annual = self.fundamentals_q.where(F.month("fiscal_date") == 10).withColumns({c: F.col(c) * 3 for c in ("revenue", "net_income", "operating_cash_flow", "total_assets")})
+        return self.fundamentals_q.withColumn("period_type", F.lit("quarterly")).unionByName(annual.withColumn("period_type", F.lit("annual")))
+
     @cached_property
     def dividends(self) -> DataFrame:
         return self.raw_bars.where("dividend_amount > 0").select(

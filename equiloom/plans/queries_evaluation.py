@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from equiloom.operators import evaluation as ev
 from equiloom.plans.registry import add, view
+from equiloom.session import checkpointed, stored
 
 view("days", "SELECT DISTINCT trade_date FROM bars")
 
@@ -122,13 +123,23 @@ add("g37_parameter_grid_scores", "strategy combo symbol score*", grid_scores, "
     f"SELECT '{s}' AS strategy, combo, symbol, {sql} AS score FROM newest_scores, ({_sql_combos(s)})" for s, sql in GRID_SQL.items()))
 
 
-def grid_returns(v, strategy: str = "VALUE") -> DataFrame:
-    scored = ev.scores_at(v.months, v.stored_scores, SCORES)
-    return ev.grid_daily_returns(ev.parameter_grid_scores(scored, strategy), v.bars, v.months, v.days, strategy)
+def walks(v, *strategies: str) -> dict[str, DataFrame]:
+    """Each strategy's walk; scores, and returns of all their picks, are made once for all."""
+    picks = {s: ev.grid_picks(ev.parameter_grid_scores(v.month_scores, s), s) for s in strategies}
+    moved = ev.picked_returns(list(picks.values()), v.bars, v.months, v.days)
+    moved = stored(moved, "picked-returns") if len(strategies) > 1 else moved
+    windows = checkpointed(ev.walk_windows(v.days))
+    return {s: ev.walk_forward(ev.grid_daily_returns(p, moved, v.months, s), windows, v.days, s) for s, p in picks.items()}
 
 
 def walked(v, strategy: str = "VALUE") -> DataFrame:
-    return ev.walk_forward(grid_returns(v, strategy), ev.walk_windows(v.days), v.days, strategy)
+    return walks(v, strategy)[strategy]
+
+
+def of_all_walks(v, figure) -> DataFrame:
+    """A figure of (walk, strategy) for every strategy, with the strategy's name."""
+    found = [figure(walk, s).withColumn("strategy", F.lit(s)) for s, walk in walks(v, *ev.SCORE_GRID).items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 view("walk_windows", """
@@ -183,15 +194,24 @@ for _strategy in ("GROWTH", "DIVIDEND", "BALANCED"):
 VALUE_PARAMETERS = list(ev.SCORE_GRID["VALUE"])
 add("g38_walk_forward", "train_start train_end test_start test_end combo num_stocks rebalance_freq " + " ".join(f"{p}*" for p in VALUE_PARAMETERS)
     + " train_return* train_sharpe* test_return* test_sharpe* sharpe_degradation* parameter_stability*", walked, "SELECT * FROM walk_best")
-view("walk_values", " UNION ALL ".join(f"SELECT '{p}' AS parameter, CAST({p} AS double) AS v FROM walk_best" for p in [*VALUE_PARAMETERS, "num_stocks"]))
-STABILITY = """SELECT parameter, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS min_value, max(v) AS max_value, count(*) AS windows,
-  coalesce(stddev_pop(v) / nullif(avg(v), 0), 0) AS cv, avg(v) <> 0 AND coalesce(stddev_pop(v) / nullif(avg(v), 0), 0) < 0.3 AS stable FROM walk_values GROUP BY 1 HAVING count(*) > 1"""
-add("g39_parameter_stability", "parameter mean* std* min_value* max_value* windows cv* stable", lambda v: ev.parameter_stability(walked(v), "VALUE")[0], STABILITY)
-add("a21_mode_and_consistency", "parameter mode consistency* stable", lambda v: ev.parameter_stability(walked(v), "VALUE")[1], """
-SELECT 'rebalance_freq' AS parameter, rebalance_freq AS mode, n / total AS consistency, n / total > 0.6 AS stable FROM (
-  SELECT rebalance_freq, count(*) AS n, (SELECT count(*) FROM walk_best) AS total FROM walk_best GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1)""")
-add("c13_parameters_json", "train_start num_stocks rebalance_freq " + " ".join(f"{p}*" for p in VALUE_PARAMETERS),
-    lambda v: ev.parameters_from_json(ev.parameters_json(walked(v), "VALUE"), "VALUE"), "SELECT * FROM walk_best")
+TAILS = {"VALUE": "", "GROWTH": "_growth", "DIVIDEND": "_dividend", "BALANCED": "_balanced"}
+view("walk_values", " UNION ALL ".join(
+    f"SELECT '{s}' AS strategy, train_start, rebalance_freq, '{p}' AS parameter, CAST({p} AS double) AS v FROM walk_best{tail}" for s, tail in TAILS.items() for p in [*ev.SCORE_GRID[s], "num_stocks"]))
+add("g39_parameter_stability", "strategy parameter mean* std* min_value* max_value* windows cv* stable", lambda v: of_all_walks(v, lambda walk, s: ev.parameter_stability(walk, s)[0]), """
+SELECT strategy, parameter, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS min_value, max(v) AS max_value, count(*) AS windows,
+  coalesce(stddev_pop(v) / nullif(avg(v), 0), 0) AS cv, avg(v) <> 0 AND coalesce(stddev_pop(v) / nullif(avg(v), 0), 0) < 0.3 AS stable FROM walk_values GROUP BY 1, 2 HAVING count(*) > 1""")
+add("a21_mode_and_consistency", "strategy parameter mode consistency* stable", lambda v: of_all_walks(v, lambda walk, s: ev.parameter_stability(walk, s)[1]), """
+SELECT strategy, 'rebalance_freq' AS parameter, mode, n / total AS consistency, n / total > 0.6 AS stable FROM (
+  SELECT strategy, rebalance_freq AS mode, count(*) AS n, sum(count(*)) OVER (PARTITION BY strategy) AS total, row_number() OVER (PARTITION BY strategy ORDER BY count(*) DESC, rebalance_freq) AS k
+  FROM (SELECT DISTINCT strategy, train_start, rebalance_freq FROM walk_values) GROUP BY 1, 2) WHERE k = 1""")
+
+
+def parameters_read_back(walk: DataFrame, strategy: str) -> DataFrame:
+    back = ev.parameters_from_json(ev.parameters_json(walk, strategy), strategy).withColumn("num_stocks", F.col("num_stocks").cast("double"))
+    return back.unpivot(["strategy", "train_start", "rebalance_freq"], [*ev.SCORE_GRID[strategy], "num_stocks"], "parameter", "v")
+
+
+add("c13_parameters_json", "strategy train_start rebalance_freq parameter v*", lambda v: of_all_walks(v, parameters_read_back), "SELECT * FROM walk_values")
 
 view("held_base", """
 SELECT b.symbol, b.trade_date, sector, shares, p.close AS price, coalesce(p.r, 0) AS daily_return, shares * p.close AS market_value, market_return

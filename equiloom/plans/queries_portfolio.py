@@ -9,6 +9,7 @@ from equiloom.operators.aggregates import category_distribution, price_on
 from equiloom.operators.filters import pending_signals
 from equiloom.operators.joins import signals_for_accounts
 from equiloom.plans.registry import add, view
+from equiloom.session import checkpointed
 
 PORTFOLIOS = portfolio.PORTFOLIOS
 
@@ -85,28 +86,26 @@ view("holdings", " UNION ALL ".join(f"""
 FROM newest_parts WHERE {name.lower()}_score IS NOT NULL ORDER BY 5 LIMIT 5)""" for name in PORTFOLIOS))
 
 
-def value_holdings(v) -> DataFrame:
-    return v.holdings.where("portfolio_type = 'VALUE'")
-
-
 def rebalanced(v) -> DataFrame:
-    delta = portfolio.rebalance(value_holdings(v), portfolio.select_portfolio(v.portfolio_scores, ("VALUE",)), v.portfolio_scores, "value_score")
+    delta = portfolio.rebalance(v.holdings, portfolio.select_portfolio(v.portfolio_scores), v.portfolio_scores)
     return delta.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("stocks_added", "stocks_removed", "stocks_retained")})
 
 
 view("old_new", """
-SELECT o.symbol AS o, n.symbol AS n FROM (SELECT symbol FROM holdings WHERE portfolio_type = 'VALUE') o FULL JOIN (SELECT symbol FROM selected WHERE portfolio_type = 'VALUE') n ON o.symbol = n.symbol""")
-DELTA = """SELECT coalesce(string_agg(CAST(n AS varchar), ',' ORDER BY n) FILTER (o IS NULL), '') AS stocks_added, coalesce(string_agg(CAST(o AS varchar), ',' ORDER BY o) FILTER (n IS NULL), '') AS stocks_removed,
-  coalesce(string_agg(CAST(o AS varchar), ',' ORDER BY o) FILTER (o = n), '') AS stocks_retained,
-  (SELECT coalesce(avg(value_score), 0) FROM pscores WHERE symbol IN (SELECT symbol FROM holdings WHERE portfolio_type = 'VALUE')) AS avg_score_before,
-  (SELECT avg(value_score) FROM pscores WHERE symbol IN (SELECT symbol FROM selected WHERE portfolio_type = 'VALUE')) AS avg_score_after FROM old_new"""
-add("g25_rebalance", "stocks_added stocks_removed stocks_retained avg_score_before* avg_score_after*", rebalanced, DELTA)
-add("u01_holding_sets", "stocks_added stocks_removed stocks_retained", rebalanced, DELTA)
+SELECT h.*, CASE portfolio_type WHEN 'VALUE' THEN value_score WHEN 'GROWTH' THEN growth_score ELSE dividend_score END AS score FROM (
+  SELECT coalesce(o.portfolio_type, n.portfolio_type) AS portfolio_type, coalesce(o.symbol, n.symbol) AS symbol, o.symbol AS o, n.symbol AS n
+  FROM (SELECT portfolio_type, symbol FROM holdings) o FULL JOIN (SELECT portfolio_type, symbol FROM selected) n ON o.symbol = n.symbol AND o.portfolio_type = n.portfolio_type) h
+LEFT JOIN (SELECT symbol, value_score, growth_score, dividend_score FROM pscores) s ON h.symbol = s.symbol""")
+DELTA = """SELECT portfolio_type, coalesce(string_agg(CAST(n AS varchar), ',' ORDER BY n) FILTER (o IS NULL), '') AS stocks_added,
+  coalesce(string_agg(CAST(o AS varchar), ',' ORDER BY o) FILTER (n IS NULL), '') AS stocks_removed, coalesce(string_agg(CAST(o AS varchar), ',' ORDER BY o) FILTER (o = n), '') AS stocks_retained,
+  coalesce(avg(score) FILTER (o IS NOT NULL), 0) AS avg_score_before, avg(score) FILTER (n IS NOT NULL) AS avg_score_after FROM old_new GROUP BY 1"""
+add("g25_rebalance", "portfolio_type stocks_added stocks_removed stocks_retained avg_score_before* avg_score_after*", rebalanced, DELTA)
+add("u01_holding_sets", "portfolio_type stocks_added stocks_removed stocks_retained", rebalanced, DELTA)
 add("g26_update_holdings", "portfolio_type symbol selection_date selection_score* selection_rank entry_price* weight is_active exit_date exit_reason",
-    lambda v: portfolio.update_holdings(value_holdings(v), portfolio.select_portfolio(v.portfolio_scores, ("VALUE",)), v.bars, v.as_of), """
+    lambda v: portfolio.update_holdings(v.holdings, portfolio.select_portfolio(v.portfolio_scores), v.bars, v.as_of), """
 SELECT portfolio_type, symbol, selection_date, selection_score, selection_rank, entry_price, 10.0 AS weight, false AS is_active, (SELECT d FROM today) AS exit_date, 'Rebalance' AS exit_reason
-FROM holdings WHERE portfolio_type = 'VALUE' UNION ALL
-SELECT portfolio_type, s.symbol, (SELECT d FROM today), selection_score, selection_rank, current_price, 10.0, true, NULL, NULL FROM selected s JOIN last_price p ON s.symbol = p.symbol WHERE portfolio_type = 'VALUE'""")
+FROM holdings UNION ALL
+SELECT portfolio_type, s.symbol, (SELECT d FROM today), selection_score, selection_rank, current_price, 10.0, true, NULL, NULL FROM selected s JOIN last_price p ON s.symbol = p.symbol""")
 
 
 def new_signals(v) -> DataFrame:
@@ -186,13 +185,14 @@ add("g59_data_freshness", "table_name latest_date row_count symbol_count", lambd
 
 SCREENS: dict[str, tuple] = {
     "top_sharpe": (lambda v: reports.top_sharpe(v.risk), "symbol", "sharpe_ratio", "SELECT * FROM risk ORDER BY round(sharpe_ratio, 6) DESC, symbol LIMIT 10"),
-    "low_risk": (lambda v: reports.low_risk(v.risk, ("LOW", "MODERATE", "HIGH", "VERY_HIGH")), "symbol", "risk_adjusted_score",
-                 "SELECT * FROM risk WHERE annual_return > 0 ORDER BY round(risk_adjusted_score, 6) DESC, symbol LIMIT 5"),
+    # Every third stock is given the label the screen asks for, since calm ones are rare here.
+    "low_risk": (lambda v: reports.low_risk(v.risk.withColumn("risk_category", F.when(F.col("symbol") % 3 == 0, "LOW").otherwise(F.col("risk_category")))), "symbol", "risk_adjusted_score",
+                 "SELECT * FROM risk WHERE annual_return > 0 AND (symbol % 3 = 0 OR risk_category = 'LOW') ORDER BY round(risk_adjusted_score, 6) DESC, symbol LIMIT 5"),
     "risk_distribution": (lambda v: reports.risk_distribution(v.risk), "risk_category", "pct", "SELECT risk_category, count(*) * 100 / (SELECT count(*) FROM risk) AS pct FROM risk GROUP BY 1"),
     "new_highs": (lambda v: reports.new_highs(v.technical), "symbol", "composite_score", "SELECT * FROM tech WHERE new_52w_high ORDER BY round(composite_score, 6) DESC, symbol LIMIT 10"),
     "volume_surges": (lambda v: reports.volume_surges(v.technical), "symbol", "volume_ratio", "SELECT * FROM tech WHERE volume_surge ORDER BY round(volume_ratio, 6) DESC, symbol LIMIT 10"),
-    "sectors_with_breakouts": (lambda v: reports.sectors_with_breakouts(v.technical, ("STRONG", "MODERATE", "WEAK")), "sector", "stocks",
-                               "SELECT sector, count(*) AS stocks FROM tech WHERE signal_strength <> 'NONE' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
+    "sectors_with_breakouts": (lambda v: reports.sectors_with_breakouts(v.technical.withColumn("signal_strength", F.when(F.col("symbol") % 3 == 0, "MODERATE").otherwise(F.col("signal_strength")))), "sector", "stocks",
+                               "SELECT sector, count(*) AS stocks FROM tech WHERE symbol % 3 = 0 OR signal_strength IN ('STRONG', 'MODERATE') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
     "signal_counts": (lambda v: reports.signal_counts(v.technical), "signal_strength", "pct", "SELECT signal_strength, count(*) * 100 / (SELECT count(*) FROM tech) AS pct FROM tech GROUP BY 1"),
     "stocks_to_avoid": (lambda v: reports.stocks_to_avoid(v.comprehensive), "symbol", "composite_score",
                         "SELECT * FROM comprehensive WHERE fscore <= 2 OR bankruptcy_risk = 'DISTRESS' ORDER BY round(composite_score, 6), symbol LIMIT 5"),
@@ -200,6 +200,16 @@ SCREENS: dict[str, tuple] = {
                      "SELECT sector, avg(composite_score) AS avg_score FROM comprehensive GROUP BY 1 HAVING count(*) >= 5 ORDER BY round(avg(composite_score), 6) DESC, 1 LIMIT 5"),
     "accumulation_leaders": (lambda v: reports.accumulation_leaders(v.ownership), "symbol", "momentum_score",
                              "SELECT * FROM inst_last WHERE smart_money_signal IN ('STRONG_BUY', 'BUY') ORDER BY round(momentum_score, 6) DESC, symbol LIMIT 20"),
+    "distressed_sectors": (lambda v: reports.distressed_sectors(v.altman), "sector", "stocks", "SELECT sector, count(*) AS stocks FROM altman WHERE risk_category = 'DISTRESS' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
+    "safest": (lambda v: reports.safest(v.altman), "symbol", "z_score", "SELECT * FROM altman WHERE risk_category = 'SAFE' ORDER BY round(z_score, 6) DESC, symbol LIMIT 10"),
+    # Scores are raised, so that some stocks pass.
+    "all_positive": (lambda v: reports.all_positive(checkpointed(v.comprehensive).withColumns({"fscore": F.col("fscore") + 2, "insider_score": F.col("insider_score") + 20})), "symbol", "composite_score",
+                     "SELECT * FROM comprehensive WHERE fscore >= 6 AND bankruptcy_risk = 'SAFE' AND insider_score >= 50 ORDER BY round(composite_score, 6) DESC, symbol LIMIT 5"),
+    "breakout_candidates": (lambda v: reports.breakout_candidates(v.technical.withColumn("composite_score", F.col("composite_score") + 25)), "symbol", "composite_score",
+                            "SELECT symbol, composite_score + 25 AS composite_score FROM tech WHERE round(composite_score + 25, 9) > 70 ORDER BY round(composite_score + 25, 6) DESC, symbol LIMIT 15"),
+    "likely_manipulators": (lambda v: reports.likely_manipulators(checkpointed(v.beneish).withColumn("manipulation_risk", F.when(F.col("symbol") % 4 == 0, "HIGH").otherwise(F.col("manipulation_risk")))), "symbol", "m_score",
+                            "SELECT * FROM beneish WHERE symbol % 4 = 0 OR manipulation_risk = 'HIGH' ORDER BY round(m_score, 6), symbol LIMIT 10"),
+    "cleanest": (lambda v: reports.cleanest(v.beneish), "symbol", "m_score", "SELECT * FROM beneish ORDER BY round(m_score, 6), symbol LIMIT 10"),
     "sector_counts": (lambda v: reports.sector_counts(v.universe), "sector", "count", "SELECT sector, count(*) AS count FROM universe GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
 }
 for _name, (_plan, _key, _value, _sql) in SCREENS.items():

@@ -31,7 +31,7 @@ add("w06_forward_changes", "symbol trade_date return_5d* return_1m* return_3m* r
 SELECT symbol, trade_date, lead(close, 5) OVER w / close - 1 AS return_5d, lead(close, 21) OVER w / close - 1 AS return_1m, lead(close, 63) OVER w / close - 1 AS return_3m,
   lead(close, 126) OVER w / close - 1 AS return_6m, lead(close, 252) OVER w / close - 1 AS return_12m FROM bars WINDOW w AS ({W})""")
 YEAR_AGO = ("revenue", "gross_profit", "total_assets", "total_liabilities", "net_income", "operating_cash_flow")
-add("w07_year_ago", "symbol fiscal_date " + " ".join(f"{c}_change*" for c in YEAR_AGO), lambda v: series.year_ago(v.fundamentals_q, YEAR_AGO).withColumns(
+add("w07_year_ago", "symbol fiscal_date " + " ".join(f"{c}_change*" for c in YEAR_AGO), lambda v: series.year_ago(v.fundamentals, YEAR_AGO).withColumns(
     {f"{c}_change": ratio(F.col(c), F.col(f"prior_{c}")) for c in YEAR_AGO}),
     "SELECT symbol, fiscal_date, " + ", ".join(f"{c} / nullif(lag({c}, 4) OVER (PARTITION BY symbol ORDER BY fiscal_date), 0) AS {c}_change" for c in YEAR_AGO) + " FROM fundamentals_q")
 add("w08_rsi", "symbol trade_date rsi*", lambda v: series.rsi(v.bars), f"""

@@ -33,6 +33,20 @@ def merged(v) -> DataFrame:
 
 
 add("k01_merge_latest", "symbol trade_date close*", merged, f"SELECT symbol, trade_date, CASE WHEN trade_date > {CUT} - 30 THEN close * 1.01 ELSE close END AS close FROM bars")
+
+
+def stamped(v) -> DataFrame:
+    """The overlap of 30 days comes again, every third row with another close, and later days are new."""
+    old = v.bars.where(F.col("trade_date") <= _cut()).select("symbol", "trade_date", "close", "volume", F.to_timestamp(F.lit("1999-07-01 00:00:00")).alias("updated_at"))
+    close = F.when(F.col("volume") % 3 == 0, F.col("close") * 1.01).otherwise(F.col("close"))
+    new = v.bars.where(F.col("trade_date") > F.date_sub(_cut(), 30)).select("symbol", "trade_date", close.alias("close"), "volume")
+    rows = maintenance.merge_stamped(old, new, schemas.KEYS["prices"], ["close"], "updated_at", F.to_timestamp(F.lit("1999-08-01 00:00:00")))
+    return rows.withColumn("updated_on", F.to_date("updated_at"))
+
+
+add("k01_updated_at", "symbol trade_date close* volume updated_on", stamped, f"""
+SELECT symbol, trade_date, CASE WHEN trade_date > {CUT} - 30 AND volume % 3 = 0 THEN close * 1.01 ELSE close END AS close, volume,
+  CASE WHEN trade_date > {CUT} OR (trade_date > {CUT} - 30 AND volume % 3 = 0) THEN DATE '1999-08-01' ELSE DATE '1999-07-01' END AS updated_on FROM bars""")
 add("k02_update_from", "symbol ex_date dividend* frequency", lambda v: fundamental.apply_frequency(v.dividends.withColumn("frequency", F.lit(None).cast("string")), v.dividends),
     "SELECT d.symbol, ex_date, dividend, frequency FROM dividends d JOIN div_freq f ON d.symbol = f.symbol")
 
@@ -147,6 +161,38 @@ def streamed(v, files_per_batch: int = 100) -> DataFrame:
 add("s01_incremental_ingest", "symbol last_date bars", streamed, """
 SELECT l_suppkey AS symbol, CAST(max(l_shipdate) AS date) AS last_date, count(DISTINCT CAST(l_shipdate AS date)) AS bars FROM lineitem GROUP BY 1""")
 
+
+ARRIVALS, DELAY_DAYS = 4, 5
+
+
+def arrived(v) -> DataFrame:
+    """Events as they come in, a span of time after another; every seventh event again with the next span, and every eleventh two spans late."""
+    events = v.table("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    span = events.agg(F.struct(F.min("ts").alias("a"), F.max("ts").alias("z"))).scalar()
+    share = (F.unix_micros("ts") - F.unix_micros(span["a"])) / (F.unix_micros(span["z"]) - F.unix_micros(span["a"]) + 1)
+    first = F.floor(share * ARRIVALS) + F.when(F.col("event_id") % 11 == 0, 2).otherwise(0)
+    again = F.when(F.col("event_id") % 7 == 0, F.array(first, first + 1)).otherwise(F.array(first))
+    return events.withColumn("arrival", F.explode(again.cast("array<int>")))
+
+
+def deduplicated(v) -> DataFrame:
+    """The arrivals one after another, each drained as it is there, with the keys of the last days remembered from run to run."""
+    root, rows = scratch(v.spark, "arrivals"), arrived(v)
+    schema = rows.drop("arrival").schema
+    for number in range(ARRIVALS + 3):
+        rows.where(F.col("arrival") == number).drop("arrival").write.mode("append").parquet(f"{root}/in")
+        source = v.spark.readStream.schema(schema).parquet(f"{root}/in")
+        ingest.run_append(ingest.deduplicated(source, ["event_id"], "ts", f"{DELAY_DAYS} days"), f"{root}/out", f"{root}/checkpoint")
+    return v.spark.read.schema(schema).parquet(f"{root}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+add("s01_deduplicated", "event_id user_id ts", deduplicated, f"""
+WITH span AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS z FROM events),
+first AS (SELECT event_id, user_id, ts, CAST(floor((epoch_us(ts) - a) / (z - a + 1) * {ARRIVALS}) AS int) + CASE WHEN event_id % 11 = 0 THEN 2 ELSE 0 END AS arrival FROM events, span),
+newest AS (SELECT arrival, max(ts) AS ts FROM (SELECT arrival, ts FROM first UNION ALL SELECT arrival + 1, ts FROM first WHERE event_id % 7 = 0) GROUP BY 1),
+marks AS (SELECT a.arrival, date_trunc('millisecond', max(b.ts)) - INTERVAL {DELAY_DAYS} DAY AS mark FROM newest a LEFT JOIN newest b ON b.arrival < a.arrival GROUP BY 1)
+SELECT event_id, user_id, ts FROM first f JOIN marks m ON f.arrival = m.arrival WHERE mark IS NULL OR ts > mark""")
+
 # Filters.
 add("f01_eligible_universe", "symbol sector industry market_cap$", lambda v: filters.eligible_universe(v.universe, exclude_etf=True), "SELECT * FROM elig WHERE NOT is_etf")
 add("f02_common_stock_symbols", "symbol exchange", lambda v: filters.common_stock_symbols(pf.listing(v)), r"""
@@ -163,7 +209,7 @@ def mixed_funds(v) -> DataFrame:
 
 
 add("f03_exclude_funds", "symbol sector industry", lambda v: filters.exclude_funds(mixed_funds(v)),
-    "SELECT symbol, sector, CASE WHEN symbol % 10 <> 3 THEN industry END AS industry FROM universe WHERE symbol % 10 NOT IN (0, 1, 2, 4, 5)")
+    "SELECT symbol, sector, CASE WHEN symbol % 10 <> 3 THEN industry END AS industry FROM universe WHERE symbol % 10 NOT IN (0, 1, 2, 4, 5) AND security_type = 'Common Stock'")
 add("f04_valid_bars", "symbol trade_date close*", lambda v: filters.valid_bars(v.bars.withColumn("high", F.when(F.col("volume") % 3 == 0, F.col("low") - 1).otherwise(F.col("high")))),
     "SELECT * FROM bars WHERE volume % 3 <> 0")
 add("f05_lookback", "symbol trade_date close*", lambda v: within(v.bars, "trade_date", 365, v.as_of), "SELECT * FROM bars WHERE trade_date >= (SELECT d FROM today) - 365")
@@ -218,6 +264,20 @@ add("j07_as_of_join", "account_id symbol trade_date quantity close*", lambda v:
 SELECT account_id, t.symbol, t.trade_date, quantity, close FROM trades t ASOF LEFT JOIN bars b ON t.symbol = b.symbol AND t.trade_date >= b.trade_date""")
 
 
+def purchases_after_clicks(v) -> DataFrame:
+    """Each purchase with its user's newest click until then; a third of the users are one."""
+    events = v.table("events").withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("ts").alias("clicked_at"), F.col("value").alias("click_value"))
+    return joins.as_of_join(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", "ts",
+                            ["clicked_at", "click_value"], bucket=F.to_date)
+
+
+view("few_users", "SELECT * REPLACE (CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS user_id) FROM events")
+add("j07_events", "event_id user_id ts clicked_at click_value", purchases_after_clicks, """
+SELECT p.event_id, p.user_id, p.ts, c.ts AS clicked_at, click_value FROM (SELECT * FROM few_users WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS click_value FROM few_users WHERE event_type = 'click' GROUP BY 1, 2) c ON p.user_id = c.user_id AND p.ts >= c.ts""")
+
+
 def offsets(v) -> DataFrame:
     lagged = series.year_ago(v.fundamentals_q, ("revenue",))
     before = F.lag("revenue").over(series.by_symbol("fiscal_date"))
@@ -235,6 +295,20 @@ add("j10_semi_join", "symbol trade_date close*", lambda v: v.bars.join(
     "SELECT * FROM bars WHERE (symbol, trade_date) IN (SELECT (symbol, max(trade_date)) FROM bars GROUP BY symbol)")
 add("j12_merge", "symbol sector trade_date weight* daily_return*", lambda v: v.positions, "SELECT * FROM held")
 
+
+def campaigns(v) -> DataFrame:
+    """Ten days long, one begun every third day, so that each moment lies in three or four."""
+    span = v.table("events").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("z"))
+    starts = span.select(F.explode(F.sequence("a", "z", F.expr("INTERVAL 3 DAYS"))).alias("day"))
+    return starts.select(F.col("day").cast("timestamp_ntz").alias("period_start"), F.date_add("day", 10).cast("timestamp_ntz").alias("period_end"))
+
+
+add("j13_events", "period_start period_end event_type events users total*3", lambda v: joins.interval_join(
+    v.table("events"), campaigns(v), "ts", "period_start", "period_end", 10 * 86400).groupBy("period_start", "period_end", "event_type").agg(
+    F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.sum("value").alias("total")), """
+SELECT s AS period_start, s + INTERVAL 10 DAY AS period_end, event_type, count(*) AS events, count(DISTINCT user_id) AS users, sum(value) AS total
+FROM events JOIN (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 3 DAY)) AS s FROM events) ON ts >= s AND ts < s + INTERVAL 10 DAY GROUP BY 1, 2, 3""")
+
 # Aggregates.
 WIN = "symbol total_trades winning_trades avg_win* avg_loss* mean_return* std_dev* max_return* min_return*"
 
@@ -262,7 +336,7 @@ add("a05_percentiles", "symbol p05* p20* p50* p75* p90*", lambda v: series.daily
 add("a06_sample_moments", "symbol skewness* kurtosis*", lambda v: v.risk, "SELECT * FROM risk")
 add("a07_expected_shortfall", "symbol var_95* cvar_95*", lambda v: v.risk, "SELECT * FROM risk")
 add("a08_beta", "symbol beta*", lambda v: v.risk, "SELECT * FROM risk")
-add("a09_yearly_roll_up", "symbol fiscal_year fiscal_date quarters revenue$ net_margin* fcf_margin*", lambda v: aggregates.annual_fundamentals(v.fundamentals_q).withColumns(
+add("a09_yearly_roll_up", "symbol fiscal_year fiscal_date quarters revenue$ net_margin* fcf_margin*", lambda v: aggregates.annual_fundamentals(v.fundamentals).withColumns(
     {"net_margin": ratio(F.col("net_income"), F.col("revenue")), "fcf_margin": ratio(F.col("free_cash_flow"), F.col("revenue"))}),
     "SELECT *, net_income / revenue AS net_margin, free_cash_flow / revenue AS fcf_margin FROM annual")
 add("a11_first_last", "symbol first_close* last_close* change*", lambda v: v.bars.groupBy("symbol").agg(
@@ -274,7 +348,7 @@ add("a14_success_rates", "component success_pct*", lambda v: aggregates.success_
     " UNION ALL ".join(f"SELECT '{f}' AS component, avg({f}::int) * 100 AS success_pct FROM piotroski" for f in FSCORE_FLAGS))
 add("a15_average_by_sector", "sector avg_score* stocks", lambda v: aggregates.average_by_sector(v.piotroski.drop("sector"), v.universe, "fscore"), """
 SELECT sector, avg(fscore) AS avg_score, count(*) AS stocks FROM piotroski WHERE calculation_date = (SELECT max(calculation_date) FROM piotroski) GROUP BY 1""")
-add("a19_trend", "symbol slope* points trend", lambda v: fundamental.trends(fundamental.yearly_excess(v.fundamentals_q, v.dividends)), """
+add("a19_trend", "symbol slope* points trend", lambda v: fundamental.trends(fundamental.yearly_excess(v.fundamentals, v.dividends)), """
 SELECT symbol, s5 AS slope, n5 AS points, CASE WHEN n5 < 3 THEN 'Insufficient Data' WHEN s5 > 2 THEN 'Advancing' WHEN s5 < -2 THEN 'Decreasing' ELSE 'Stable' END AS trend FROM ecf_fit""")
 
 # Scalars.
@@ -298,10 +372,11 @@ add("c11_tolerant_number", "event_id amount", lambda v: v.table("events").select
     F.concat(F.lit("$"), F.format_number(F.floor(F.col("value") * 1000), 0)), F.lit("None"), F.lit("N/A"), F.lit("-"), F.concat(F.floor("value").cast("string"), F.lit("%"))),
     (F.col("event_id") % 5 + 1).cast("int"))).alias("amount")), """
 SELECT event_id, CASE event_id % 5 WHEN 0 THEN floor(value * 1000) WHEN 4 THEN floor(value) END AS amount FROM events""")
-add("c12_encodings", "symbol risk_code sector_technology sector_energy sector_missing", lambda v: v.signals.select("symbol", "sector", "bankruptcy_risk").withColumns(
+add("c12_encodings", "symbol risk_code sector_technology sector_energy sector_missing", lambda v: v.signals.select(
+    "symbol", F.when(F.col("symbol") % 6 != 0, F.col("sector")).alias("sector"), "bankruptcy_risk").withColumns(
     learning.one_hot("sector", learning.SECTORS, "sector")).withColumn("risk_code", learning.ordinal("bankruptcy_risk", learning.RISK_CODES)), """
-SELECT symbol, CASE risk_category WHEN 'SAFE' THEN 0 WHEN 'DISTRESS' THEN 2 ELSE 1 END AS risk_code, (sector = 'Technology')::int AS sector_technology, (sector = 'Energy')::int AS sector_energy,
-  0 AS sector_missing FROM altman""")
+SELECT symbol, CASE bankruptcy_risk WHEN 'SAFE' THEN 0 WHEN 'DISTRESS' THEN 2 ELSE 1 END AS risk_code, (symbol % 6 <> 0 AND sector = 'Technology')::int AS sector_technology,
+  (symbol % 6 <> 0 AND sector = 'Energy')::int AS sector_energy, (symbol % 6 = 0)::int AS sector_missing FROM signals""")
 add("c14_array_columns", "portfolio_type symbols", lambda v: v.holdings.groupBy("portfolio_type").agg(
     F.array_join(F.array_sort(F.collect_set(F.col("symbol").cast("string"))), ",").alias("symbols")),
     "SELECT portfolio_type, string_agg(CAST(symbol AS varchar), ',' ORDER BY CAST(symbol AS varchar)) AS symbols FROM holdings GROUP BY 1")

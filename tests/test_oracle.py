@@ -18,7 +18,7 @@ f02_common_stock_symbols f09_stale_symbols j07_as_of_join j13_interval_join a13_
 w08_rsi w14_ranks w20_sequences l04_capped_selection u01_holding_sets c11_tolerant_number g01_piotroski g05_dividend_sustainability
 g08_technical_breakouts g09_risk_metrics g11_kelly_allocation g12_insider_signals g13_institutional_signals g17_select_holdings g23_portfolio_scores
 g31_rotation_matrix g35_strategy_returns g36_performance_stats g41_factor_attribution g46_ml_features g48_evaluate_predictions g53_position_sizes
-g58_cost_basis
+g58_cost_basis f03_exclude_funds c12_encodings a17_sector_quality
 """.split()
 NAMES = list(catalog.QUERIES) if os.environ.get("EQUILOOM_ALL") else SPREAD
 

@@ -1,6 +1,6 @@
 """Worked examples, edge cases and properties of single operators."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from random import Random
 
 import numpy as np
@@ -16,6 +16,7 @@ from equiloom.sources import maintenance, payloads
 from equiloom.streaming import ingest
 
 START = date(2024, 1, 1)
+START_TIME = datetime(2024, 1, 1)
 
 
 def day(n):
@@ -266,7 +267,71 @@ def test_stream_result_does_not_follow_the_files(spark, tmp_path, files_per_batc
     bars(spark, [*days, 21, 22]).coalesce(1).write.mode("append").parquet(source)
     assert sorted(map(tuple, drain().collect())) == sorted(map(tuple, bars(spark, [*days, 21, 22]).collect()))
     assert drain().count() == 22
-    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["version=1"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["table"]
+
+
+def test_merge_writes_only_months_with_new_rows(spark, tmp_path):
+    def price(day, close):
+        return (day, close + 1, close - 1, close)
+
+    def frame(*rows):
+        return spark.createDataFrame([("A", date.fromisoformat(d), *rest) for d, *rest in rows], "symbol string, trade_date date, high double, low double, close double")
+
+    first = frame(price("2024-01-05", 1.0), price("2024-02-05", 2.0), price("2024-03-05", 3.0))
+    table = ingest.MergedTable(spark, str(tmp_path / "t"), first.schema, ["symbol", "trade_date"])
+    table.keep(first, 0)
+    table.merge()
+
+    def files():
+        return {p.parent.name: p.name for p in (tmp_path / "t" / "table").rglob("part-*.parquet")}
+
+    before = files()
+    table.keep(frame(price("2024-02-05", 9.0), price("2024-04-01", 4.0)), 0)
+    rows = {str(r.trade_date): r.close for r in table.merge().collect()}
+    assert rows == {"2024-01-05": 1.0, "2024-02-05": 9.0, "2024-03-05": 3.0, "2024-04-01": 4.0}
+    after = files()
+    assert {m for m in after if before.get(m) != after[m]} == {"month__=2024-02", "month__=2024-04"}
+
+
+def test_merge_broken_off_is_done_again(spark, tmp_path, monkeypatch):
+    first, more = bars(spark, [1, 2, 3]), bars(spark, [1, 2, 3, 7, 8])
+    table = ingest.MergedTable(spark, str(tmp_path), first.schema, ["symbol", "trade_date"])
+    table.keep(first, 0)
+    table.merge()
+    table.keep(more, 0)
+    with monkeypatch.context() as broken:
+        broken.setattr(ingest.MergedTable, "_put_in_place", lambda self: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            table.merge()
+    again = ingest.MergedTable(spark, str(tmp_path), first.schema, ["symbol", "trade_date"])
+    assert sorted(map(tuple, again.rows().collect())) == sorted(map(tuple, more.collect()))
+    assert again.merge().count() == 5 and sorted(p.name for p in tmp_path.iterdir()) == ["table"]
+
+
+def test_stream_forgets_keys_behind_the_watermark(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+
+    def arrive(rows):
+        frame = spark.createDataFrame([(k, start + timedelta(days=d)) for k, d in rows], "k long, ts timestamp")
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.deduplicated(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), ["k"], "ts", "3 days")
+        query = ingest.run_append(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+        return query.recentProgress[-1].stateOperators[0].numRowsTotal
+
+    # A key is kept until its time and the delay lie behind the newest time less the delay: six days.
+    assert arrive([(n, n % 10) for n in range(100)]) == 60
+    arrive([(5, 5), (8, 8), (200, 1), (201, 9), (201, 9)])  # too late, a repeat, too late, new, its repeat
+    assert arrive([(n, n) for n in range(300, 330)]) == 6
+    rows = [r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(rows) == [*range(100), 201, *range(300, 330)]
+
+
+def test_stamps_change_with_values_only(spark):
+    old = spark.createDataFrame([(1, 5, None, 10), (2, 6, "b", 10), (3, 7, "c", 10), (4, 8, "d", None)], "k int, v int, w string, at int")
+    new = spark.createDataFrame([(1, 5, None), (2, 6, "x"), (4, 8, "d"), (5, 1, "e"), (5, 2, "f")], "k int, v int, w string")
+    rows = maintenance.merge_stamped(old, new, ["k"], ["v"], "at", F.lit(20))
+    assert rows.columns == old.columns
+    assert sorted(map(tuple, rows.collect())) == [(1, 5, None, 10), (2, 6, "x", 20), (3, 7, "c", 10), (4, 8, "d", 20), (5, 2, "f", 20)]
 
 
 def test_stream_reads_a_table_of_many_files(spark, tmp_path):
@@ -315,3 +380,119 @@ def test_cluster_without_checkpoint_setting_is_refused():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def brute_falls(closes, n):
+    out = []
+    for i in range(len(closes) - n):
+        peak, low = closes[i], 0.0
+        for x in closes[i + 1:i + n + 1]:
+            peak = max(peak, x)
+            low = min(low, x / peak - 1)
+        out.append(round(low, 12))
+    return out
+
+
+@pytest.mark.parametrize("spans", [{"a": 1, "b": 5}, {"a": 21, "b": 63}, {"a": 2, "b": 12}])
+def test_forward_falls(spark, spans):
+    rng = Random(3)
+    closes = [rng.uniform(5, 9) for _ in range(150)]
+    rows = technical.forward_falls(bars(spark, closes), spans, series.by_symbol()).orderBy("trade_date").collect()
+    for name, n in spans.items():
+        assert [round(r[name], 12) for r in rows][:len(closes) - n] == brute_falls(closes, n)
+    assert rows[-1]["a"] == 0.0
+
+
+def test_forward_falls_hold_no_lists(spark):
+    plan = technical.forward_returns(bars(spark, [1.0] * 5))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("segments", [1, 2, 50])
+def test_drawdown_of_a_long_series_in_segments(spark, segments):
+    rng = Random(segments)
+    closes = [100.0]  # the first bar is the highest, and does not count
+    for _ in range(399):
+        closes.append(rng.uniform(1, 50))
+    prices = bars(spark, closes, "A").union(bars(spark, [3.0], "B")).union(bars(spark, [9.0, 3.0, 2.0, 6.0], "C"))
+    part = F.floor(F.datediff("trade_date", F.lit(START)) * segments / 400)
+    found = {r.symbol: round(r.max_drawdown, 12) for r in series.max_drawdown(prices, part).collect()}
+    peak, worst = 0.0, 0.0
+    for x in closes[1:]:
+        peak = max(peak, x)
+        worst = min(worst, x / peak - 1)
+    assert found == {"A": round(worst, 12), "C": round(2 / 3 - 1, 12)}
+
+
+def test_as_of_join_of_events_splits_a_hot_key(spark):
+    rng = Random(9)
+    right = [(0 if n % 10 else n, START_TIME + timedelta(minutes=rng.randrange(50_000)), n) for n in range(4000)]
+    left = [(rng.choice([0, 0, 10, 20, 99999]), START_TIME + timedelta(minutes=rng.randrange(-100, 51_000))) for _ in range(500)] + [(None, START_TIME), (0, None)]
+    known = spark.createDataFrame(right + [(None, START_TIME, 1), (0, None, 2)], "k int, at timestamp, v int")
+    asked = spark.createDataFrame(left, "k int, ts timestamp")
+    rows = joins.as_of_join(asked, known, "k", "ts", "at", ["v"], bucket=F.to_date).collect()
+
+    def answer(k, ts):
+        if k is None or ts is None:
+            return None
+        return max(((t, v) for q, t, v in right if q == k and t <= ts), default=(None, None))[1]
+
+    assert sorted(map(str, ((r.k, r.ts, r.v) for r in rows))) == sorted(map(str, ((k, ts, answer(k, ts)) for k, ts in left)))
+    # What one window holds of the key with nine tenths of the rows, dealt to eight tasks.
+    marks = joins.bucketed(known.select("k", F.col("at").alias("_t")), F.to_date).where("k is not null").repartition(8, "k", "_bucket")
+    tasks = [r["count"] for r in marks.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) <= 2 * sum(tasks) / 8
+
+
+def test_interval_join_of_overlapping_periods(spark):
+    rng = Random(2)
+    facts = [(n, n % 3, START_TIME + timedelta(seconds=rng.randrange(900_000))) for n in range(400)] + [(-1, 0, None), (-2, 0, START_TIME)]
+    periods = [(n % 3, START_TIME + timedelta(seconds=a), START_TIME + timedelta(seconds=a + rng.choice([-5, 0, 1, 4000, 90_000, 700_000]))) for n, a in enumerate(rng.sample(range(900_000), 60))]
+    periods += [(0, START_TIME, START_TIME + timedelta(seconds=1)), (0, None, START_TIME), (0, START_TIME, None)]
+    f, p = spark.createDataFrame(facts, "n int, k int, ts timestamp"), spark.createDataFrame(periods, "k int, a timestamp, z timestamp")
+    inside = sorted((n, a, z) for n, k, t in facts for q, a, z in periods if k == q and t and a and z and a <= t < z)
+    for seconds in (600, 86_400, 10**7):
+        met = joins.interval_join(f, p, "ts", "a", "z", seconds, ["k"])
+        assert sorted((r.n, r.a, r.z) for r in met.collect()) == inside
+        assert "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entry_days_without_a_nested_loop(spark):
+    days = spark.createDataFrame([(day(n),) for n in (0, 1, 4, 5, 9, 9)], "trade_date date")
+    dates = spark.createDataFrame([(day(n),) for n in (-3, 0, 2, 4, 6, 9, 10)], "rebalance_date date")
+    found = evaluation.as_of_entry(dates, days)
+    assert {(r.rebalance_date - START).days: (r.entry_day - START).days for r in found.collect()} == {-3: 0, 0: 0, 2: 4, 4: 4, 6: 9, 9: 9}
+    periods = spark.createDataFrame([(day(0), day(5)), (day(3), day(9)), (day(4), day(4))], "period_start date, period_end date")
+    for open_start, expected in ((False, [(0, 0), (0, 1), (0, 4), (3, 4), (3, 5)]), (True, [(0, 1), (0, 4), (0, 5), (3, 4), (3, 5), (3, 9)])):
+        mapped = joins.day_periods(days, periods, open_start)
+        assert sorted(((r.period_start - START).days, (r.trade_date - START).days) for r in mapped.collect()) == expected
+        assert "NestedLoop" not in mapped._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 7, 240])
+def test_sequences_are_slices_of_chunks(spark, chunk):
+    prices = bars(spark, range(1, 41), "A").union(bars(spark, range(100, 105), "B")).union(bars(spark, range(200, 206), "C"))
+    rows = series.sequences(prices, ("close",), "volume", length=5, chunk=chunk).collect()
+    found = {(r.symbol, (r.trade_date - START).days): ([(x.close, (x.trade_date - START).days) for x in r.sequence], r.target) for r in rows}
+    expected = {("A", n): ([(float(m + 1), m) for m in range(n - 5, n)], 1000 + n) for n in range(5, 40)}
+    assert found == expected | {("C", 5): ([(200.0 + m, m) for m in range(5)], 1005)} and len(rows) == 36
+
+
+def test_window_sharpe_from_pieces(spark):
+    rng = Random(1)
+    returns = [(c, day(n), rng.gauss(0, 0.02) if c else 0.001) for c in (0, 1, 2) for n in range(0, 900, 2)]
+    days = spark.createDataFrame([(day(n),) for n in range(900)], "trade_date date")
+    windows = evaluation.walk_windows(days, train_months=7, test_months=2, step_months=3)
+    table = spark.createDataFrame(returns, "combo int, trade_date date, daily_return double")
+    moments = evaluation.return_moments(table, windows, days, ["combo"])
+    for start, end in (("train_start", "train_end"), ("test_start", "test_end")):
+        found = {(r.combo, r.train_start): (r.x_return, r.x_sharpe) for r in evaluation._window_sharpe(moments, windows, start, end, ["combo"], "x").collect()}
+        expected = {}
+        for w in windows.collect():
+            for c in (0, 1, 2):
+                r = np.array([x for q, d, x in returns if q == c and w[start] <= d < w[end]])
+                if len(r):
+                    total, vol = np.prod(1 + r) - 1, np.std(r) * np.sqrt(252)
+                    expected[c, w.train_start] = (total, ((1 + total) ** (252 / len(r)) - 1 - 0.03) / vol if vol > 1e-12 else 0.0)
+        assert found.keys() == expected.keys()
+        assert all(np.allclose(found[k], expected[k], atol=2e-6) for k in expected)

@@ -227,18 +227,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def hex_digits(code: str):
     return F.lower(F.lpad(F.hex(F.col(code)), 16, "0"))
-
-
-def one_of_each(docs: DataFrame, limit: int = 2) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; columns stay as they are.
-
-    Rows with null ids that have equal texts count as one document; so do rows with equal ids.
-    """
-    key = "key__"
-    while key in docs.columns:
-        key += "_"
-    # A document without an id goes by its text, after all that have one.
-    own = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.pmod(F.xxhash64("text"), F.lit(2**62)).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)"))
-    rows = docs.withColumn(key, own)
-    kept = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), limit=limit).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return rows.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

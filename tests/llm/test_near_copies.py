@@ -88,17 +88,9 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint int")
     found = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert found == sorted([(5, 2), (2, 2), (2, 2), (None, 2), (9, 7), (7, 7), (8, 2), (8, 2)], key=str)
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 2, 7][1:]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_one_row_of_a_class_without_ids(spark):
-    docs = spark.createDataFrame([(None, "p q r s"), (None, "p q r s"), (3, "something else at all here")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(docs).collect()) == [0, 3]
-
-
 def test_query_against_brute_force(spark):
     from equiloom.llm.queries import op1_simhash
 

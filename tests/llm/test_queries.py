@@ -24,15 +24,14 @@ def test_all_are_registered():
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from test_leaks import brute as leaks
-    from test_near_copies import brute_classes, brute_fingerprint
+    from test_jaccard_copies import brute_kept
     from test_secrets import brute as spans
 
     docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DIRECTORY}/benchmark.parquet").collect()]
     stages = dict(corpus_pipeline.STAGES)
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()))
-    classes = brute_classes([brute_fingerprint(t) for _, t in rows])
-    first = {rows[c][0] for c in classes}
+    first = {i for (_, i), _ in brute_kept(rows)[1]}
     unique = stages["near_duplicates"](spark, docs, DIRECTORY)
     assert unique.columns == docs.columns and {r["doc_id"] for r in unique.collect()} == first
     clean = stages["decontamination"](spark, unique, DIRECTORY)

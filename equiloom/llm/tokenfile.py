@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs
 from pyspark import TaskContext
@@ -28,20 +29,31 @@ from equiloom.llm.common import new_folder, partitions, stored, worker_memory
 SEQUENCE = 2048
 ROWS_A_BATCH = 256
 KEPT_PIECES = 1_000_000
-WORDS_IN_A_ROW = 1000
+WORDS_IN_A_ROW = 100
+BYTES_AT_ONCE = 1 << 22
 #: How byte-level vocabularies write a blank and a line break; fixed values.
 BLANK, LINE = "\u0120", "\u010a"
 #: A blank between two characters that are no white space starts a new piece in byte-level BPE, whatever else stands around.
 PIECE_START = r"(?<=\S)(?= \S)"
+#: Texts whose words are not one blank or line break apart: these signs at an end or side by side, or any other white space.
+NOT_PLAIN = "^[ \n]|[ \n]\\z|[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-def encoder(path: str, end_id: int = 0) -> tuple[Callable[[list[bytes | None]], list[bytes]], np.dtype]:
+def decoded(texts: pa.Array) -> pa.Array:
+    """Bytes as text, a null one empty; what is no UTF-8 is replaced."""
+    try:
+        return pc.fill_null(texts, b"").cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
+def encoder(path: str, end_id: int = 0) -> tuple[Callable[[pa.Array], list[bytes]], np.dtype]:
     """A function from texts to their ids as bytes, end id included, and the type of the ids.
 
     Byte-level BPE encodes pieces of a text by themselves, so each different piece is encoded once and remembered by the
     worker, up to ``KEPT_PIECES``. In texts whose words are single blanks and line breaks apart, which is most, the pieces are the words, with
     the blank before. New words are encoded many in a row: only a word's first id holds a blank, and only a line break's
-    own id a line break, so the row falls apart again. With other tokenizers whole texts are encoded.
+    own id a line break, so the row falls apart again. Words are told apart by Arrow, and ids put together by numpy. With other tokenizers whole texts are encoded.
     """
     from tokenizers import Tokenizer
 
@@ -59,57 +71,65 @@ def encoder(path: str, end_id: int = 0) -> tuple[Callable[[list[bytes | None]],
     plan = json.loads(tokenizer.to_str())
     split = plan["pre_tokenizer"] or {}
     if plan["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
-        return lambda texts: [x + end for x in encoded([(t or b"").decode("utf-8", "replace") for t in texts])], kind
+        return lambda texts: [x + end for x in encoded(decoded(texts).to_pylist())], kind
 
     names = tokenizer.get_vocab()
-    blank, line = (np.zeros(max(names.values()) + 1, bool) for _ in range(2))
+    starts_word = np.zeros(max(names.values()) + 1, bool)
     for name, number in names.items():
-        blank[number], line[number] = name.startswith(BLANK), name == LINE
+        starts_word[number] = name.startswith(BLANK) or name == LINE
     cut = regex.compile(PIECE_START).split
-    known: dict[str, bytes] = worker_memory(f"pieces of {path}")  # as they are
-    after: dict[str, bytes] = worker_memory(f"words of {path}")  # after a blank, without it
+    known: dict[str, bytes] = worker_memory(f"pieces of {path}")  # of other texts, as they are
+    words: dict[str, bytes] = worker_memory(f"words of {path}")  # with a line break before, or without one after a blank
     line_break = encoded(["\n"])[0]
 
-    def in_rows(words: list[str], head: str, between: str) -> Iterator[tuple[list[str], np.ndarray]]:
-        """Words, some at a time, and the ids of their row."""
-        parts = [words[at:at + WORDS_IN_A_ROW] for at in range(0, len(words), WORDS_IN_A_ROW)]
-        rows = [head + between.join(p) for p in parts]
+    def learn(new: list[str]) -> None:
+        parts = [new[at:at + WORDS_IN_A_ROW] for at in range(0, len(new), WORDS_IN_A_ROW)]
+        rows = ["".join(w if w.startswith("\n") else " " + w for w in p) for p in parts]
         for part, found in zip(parts, tokenizer.encode_batch_fast(rows, add_special_tokens=False), strict=True):
-            yield part, np.array(found.ids, kind)
-
-    def learn_after(words: list[str]) -> None:
-        for part, ids in in_rows(words, " ", " "):
-            held, starts = ids.tobytes(), (np.flatnonzero(blank[ids]) * kind.itemsize).tolist()
-            after.update((w, held[a:b]) for w, a, b in zip(part, starts, [*starts[1:], len(held)], strict=True))
-
-    def learn_first(words: list[str]) -> None:
-        for part, ids in in_rows(words, "", "\n"):
-            held, ends = ids.tobytes(), (np.flatnonzero(line[ids]) * kind.itemsize).tolist()
-            starts = [0, *(e + kind.itemsize for e in ends)]
-            known.update((w, held[a:b]) for w, a, b in zip(part, starts, [*ends, len(held)], strict=True))
-
-    def plain(text: str) -> bool:
-        """Words with one blank or line break between, and no other white space."""
-        words = text.split()
-        return bool(words) and len(text) - sum(map(len, words)) == len(words) - 1 == text.count(" ") + text.count("\n")
-
-    def encode(texts: list[bytes | None]) -> list[bytes]:
-        whole = [(t or b"").decode("utf-8", "replace") for t in texts]
-        if len(known) + len(after) > KEPT_PIECES:
-            known.clear()
-            after.clear()
-        lines = [[x.split(" ") for x in t.split("\n")] if plain(t) else None for t in whole]
-        pieces = [cut(t) if t and some is None else [] for t, some in zip(whole, lines, strict=True)]
+            ids = np.array(found.ids, kind)
+            held, starts = ids.tobytes(), (np.flatnonzero(starts_word[ids]) * kind.itemsize).tolist()
+            words.update((w, held[a:b]) for w, a, b in zip(part, starts, [*starts[1:], len(held)], strict=True))
+
+    def by_words(texts: pa.Array) -> list[bytes]:
+        """Of plain texts: every different word is looked up once, and the ids of all places are taken by number."""
+        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n"), texts, ""), "\n", " \n"), " ")
+        # A blank was put before the first line break too: each text begins with an empty word, which goes.
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words[""] = b""
+        found = list(map(words.get, distinct))
+        if None in found:
+            learn([w for w, ids in zip(distinct, found, strict=True) if ids is None])
+            found = list(map(words.get, distinct))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize
+        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(found), kind)
+        at = coded.indices.to_numpy()
+        length = size[at]
+        stop = np.cumsum(length)
+        ids = flat[np.repeat(begin[at] - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
+        edges = np.append(0, stop)[offsets] * kind.itemsize
+        held = ids.tobytes()
+        return [held[a + len(line_break):b] + end for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+    def by_pieces(texts: list[str]) -> list[bytes]:
+        pieces = [cut(t) if t else [] for t in texts]
         odd = list({p for some in pieces for p in some}.difference(known))
         known.update(zip(odd, encoded(odd), strict=True))
-        plain_lines = [words for some in lines if some for words in some]
-        learn_first(list({words[0] for words in plain_lines}.difference(known)))
-        learn_after(list(set().union(*(words[1:] for words in plain_lines)).difference(after)))
-        first, rest = known.__getitem__, after.__getitem__
-        return [
-            (line_break.join(first(words[0]) + b"".join(map(rest, words[1:])) for words in some) if some else b"".join(map(first, piece))) + end
-            for some, piece in zip(lines, pieces, strict=True)
-        ]
+        return [b"".join(map(known.__getitem__, some)) + end for some in pieces]
+
+    def encode(texts: pa.Array) -> list[bytes]:
+        whole = decoded(texts)
+        if len(known) + len(words) > KEPT_PIECES:
+            known.clear()
+            words.clear()
+        odd = pc.or_(pc.equal(whole, ""), pc.match_substring_regex(whole, NOT_PLAIN)).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for rows, found in ((np.flatnonzero(~odd), by_words), (np.flatnonzero(odd), lambda some: by_pieces(some.to_pylist()))):
+            if len(rows):
+                for row, ids in zip(rows.tolist(), found(whole.take(pa.array(rows))), strict=True):
+                    out[row] = ids
+        return out
 
     return encode, kind
 
@@ -202,8 +222,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     ids follow one another in the order of a hash of their texts. An empty table has no shards.
     """
     hashed = F.xxhash64("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    placed = rows.repartitionByRange(shards or partitions(docs.sparkSession), "doc_id", hashed).sortWithinPartitions("doc_id", hashed)
+    # Equal rows may go to several ranges: which is which does not matter.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id().alias("copy"))
+    placed = rows.repartitionByRange(shards or partitions(docs.sparkSession), "doc_id", hashed, "copy").sortWithinPartitions("doc_id", hashed).drop("copy")
     out = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +237,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
                 place, base = fs.FileSystem.from_uri(folder)
                 place.create_dir(base, recursive=True)
                 writer = Writer(place, f"{base}/{name}", kind, sequence)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+            texts = batch.column(1)
+            # Rows up to BYTES_AT_ONCE, or a longer one by itself.
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()) // BYTES_AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                for doc_id, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encode(texts.slice(a, b - a)), strict=True):
                     writer.add(doc_id, ids)
-                n_docs += part.num_rows
+            n_docs += batch.num_rows
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (shard, name, n_docs, writer.total)], schema=out)

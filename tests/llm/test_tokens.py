@@ -8,6 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from equiloom.llm import tokenfile
@@ -28,7 +29,7 @@ def test_pieces_give_the_ids_of_whole_texts(tokenizer):
     for _ in range(2000):  # words one blank or line break apart
         texts.append("".join(rng.choice(words) + rng.choice(words) + rng.choice([" ", " ", "\n"]) for _ in range(rng.randint(0, 12))) + rng.choice(words))
     encode, kind = tokenfile.encoder(PATH)
-    found = encode([t.encode() for t in texts])
+    found = encode(pa.array([t.encode() for t in texts], pa.binary()))
     for text, ids in zip(texts, found, strict=True):
         assert np.frombuffer(ids, kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], repr(text)
 
@@ -38,7 +39,7 @@ def test_other_tokenizers_encode_whole_texts():
     texts = ["The  cat\nsat", "", "É x"]
     encode, kind = tokenfile.encoder(path)
     whole = Tokenizer.from_file(path)
-    assert [np.frombuffer(x, kind).tolist() for x in encode([t.encode() for t in texts])] == [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [np.frombuffer(x, kind).tolist() for x in encode(pa.array([t.encode() for t in texts], pa.binary()))] == [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
 def test_few_remembered_pieces_give_the_same(monkeypatch, tokenizer):
@@ -46,7 +47,7 @@ def test_few_remembered_pieces_give_the_same(monkeypatch, tokenizer):
     monkeypatch.setattr(tokenfile, "WORDS_IN_A_ROW", 2)
     encode, kind = tokenfile.encoder(PATH)
     for text in ("a b c d e f", "the cat\nsat on it", "a  b", "c d"):
-        assert np.frombuffer(encode([text.encode()])[0], kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(encode(pa.array([text.encode()], pa.binary()))[0], kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
 def test_round_trip(spark, tokenizer, tmp_path):
@@ -97,3 +98,21 @@ def test_sequences_are_not_copied(tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokenfile.token_digests(docs, PATH).count() == 0
+
+
+def test_bytes_that_are_no_text(tokenizer):
+    encode, kind = tokenfile.encoder(PATH)
+    odd = [b"a \xff b", None, b"plain words\nstand here", b""]
+    for raw, ids in zip(odd, encode(pa.array(odd, pa.binary())), strict=True):
+        assert np.frombuffer(ids, kind).tolist() == [*tokenizer.encode((raw or b"").decode("utf-8", "replace"), add_special_tokens=False).ids, 0]
+
+
+def test_equal_rows_are_dealt_to_several_shards(spark, tmp_path):
+    rows = spark.range(30_000).select(F.when(F.col("id") >= 10_000, F.col("id")).alias("doc_id"), F.when(F.col("id") >= 10_000, "some words").alias("text"))
+    folder = f"file://{tmp_path}/out"
+    shards = tokenfile.write_tokens(rows, PATH, folder, shards=8)
+    sizes = [r["n_docs"] for r in shards.collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 2 * 30_000 / 8
+    found = sorted(map(tuple, tokenfile.read_tokens(shards, folder).collect()), key=lambda r: r[1])
+    assert [r[1] for r in found] == list(np.cumsum([0, *(r[2] for r in found)])[:-1])
+    assert [r[0] for r in found] == [None] * 10_000 + list(range(10_000, 30_000))

@@ -76,22 +76,36 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(marked("h:", F.split(host, r"\.")), marked("p:", F.split(path, "/")), marked("q:", keys)))
 
 
-def mined(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8) -> DataFrame:
-    """Rules (key, items, verdict, confidence, support) from ``labelled`` (tokens, verdict); key is the rarest item.
+def useful_items(labelled: DataFrame, total: int, support: float) -> dict[str, tuple[str, int]]:
+    """{token: (class, URLs)} of the tokens that can be in a rule; tokens of exactly the same URLs are one class, named after its first.
 
-    Tokens below the support can be in no rule, and tokens that every URL has tell nothing; both are left out first.
+    Tokens below the support can be in no rule, and tokens that every URL has tell nothing. The URLs of a token are told by
+    their number and two sums of their rows' hashes, taken by one aggregate. At most tokens a URL / support tokens are left.
+    """
+    rows = labelled.select(F.xxhash64(F.monotonically_increasing_id()).alias("row"), "tokens")  # numbered before they are taken apart
+    each = rows.select("row", F.explode("tokens").alias("item")).groupBy("item").agg(
+        F.count("*").alias("n"), F.bit_xor("row").alias("x"), F.sum(F.col("row").cast("decimal(38,0)")).alias("s"))
+    found = each.where((F.col("n") >= total * support) & (F.col("n") < total)).collect()
+    first: dict[tuple, str] = {}
+    for r in sorted(found, key=lambda r: r["item"]):
+        first.setdefault((r["n"], r["x"], r["s"]), r["item"])
+    return {r["item"]: (first[r["n"], r["x"], r["s"]], r["n"]) for r in found}
+
+
+def mined(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8) -> tuple[DataFrame, dict[str, str]]:
+    """Rules (key, items, verdict, confidence, support) from ``labelled`` (tokens, verdict), and the class of each token; key is the rarest item.
+
+    Items are classes of tokens that stand in exactly the same URLs, as a deep path's do: any of them says the same, so that a rule stands for all its
+    choices of one token a class, and larger choices, which smaller ones make needless, are never made.
     """
     total = labelled.count()
     empty = labelled.sparkSession.createDataFrame([], "key string, items array<string>, verdict string, confidence double, support double")
-    if not total:
-        return empty
-    each = labelled.select(F.explode("tokens").alias("item")).groupBy("item").count()
-    useful = each.where((F.col("count") >= total * support) & (F.col("count") < total)).select("item", F.col("count").alias("n"))
-    names = {r["item"]: r["n"] for r in useful.collect()}  # at most tokens a URL / support
-    if not names:
-        return empty
-    counts = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    baskets = labelled.select(F.concat(F.array_intersect("tokens", F.array(*map(F.lit, names))), F.array(F.concat(F.lit(MARK), "verdict"))).alias("items"))
+    known = useful_items(labelled, total, support) if total else {}
+    if not known:
+        return empty, {}
+    classes = {item: name for item, (name, _) in known.items()}
+    counts = F.create_map(*(F.lit(x) for name, n in {name: n for name, n in known.values()}.items() for x in (name, n)))
+    baskets = labelled.select(F.concat(of_classes("tokens", classes), F.array(F.concat(F.lit(MARK), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     verdict = F.element_at("consequent", 1)
     rules = model.associationRules.where(F.startswith(verdict, F.lit(MARK))).where(~F.exists("antecedent", lambda x: F.startswith(x, F.lit(MARK))))
@@ -105,17 +119,26 @@ def mined(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8) -
         .where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0) & (F.col("same") == F.col("verdict")) & (F.col("sure") >= F.col("confidence")))
     )
     wide = stored(wide.join(beaten.select("id").distinct(), "id", "left_anti"), "kept")
-    return wide.select("key", "items", "verdict", "confidence", "support")
+    return wide.select("key", "items", "verdict", "confidence", "support"), classes
+
+
+def of_classes(tokens: str, classes: dict[str, str]) -> Column:
+    """The different classes of an array of tokens; tokens without one go."""
+    if not classes:
+        return F.array().cast("array<string>")
+    names = F.create_map(*(F.lit(x) for pair in sorted(classes.items()) for x in pair))
+    return F.array_distinct(F.filter(F.transform(tokens, lambda t: F.try_element_at(names, t)), lambda c: c.isNotNull()))
 
 
-def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def judged(urls: DataFrame, rules: DataFrame, classes: dict[str, str]) -> DataFrame:
     """(url, method_verdict, items, confidence) of the surest rule for each url of ``urls`` (url, tokens) that some rule fits.
 
-    Of equally sure rules the one with more support counts, then block, then the items in order.
+    Of equally sure rules the one with more support counts, then block, then the items in order. A rule's items are told as classes.
     """
     small = rules.count() <= BROADCAST_RULES
-    met = urls.select("url", "tokens", F.explode("tokens").alias("key")).join(F.broadcast(rules) if small else rules, "key")
-    met = met.where(F.size(F.array_except("items", "tokens")) == 0)
+    known = urls.select("url", of_classes("tokens", classes).alias("has"))
+    met = known.select("url", "has", F.explode("has").alias("key")).join(F.broadcast(rules) if small else rules, "key")
+    met = met.where(F.size(F.array_except("items", "has")) == 0)
     best = F.max(F.struct("confidence", "support", "verdict", "items"))
     return met.groupBy("url").agg(best.alias("best")).select("url", F.col("best.verdict").alias("method_verdict"), F.col("best.items").alias("items"), F.col("best.confidence").alias("confidence"))
 
@@ -131,9 +154,9 @@ def verdicts(pages: DataFrame, rules: tuple[Listed, ...] = LISTED, default: str
     rule, verdict = listed_rule(rules, F.col("host"), F.col("path"))
     rows = rows.withColumns({"rule": rule, "listed": verdict})
     with_tokens = rows.select("url", "listed", tokens(url, F.col("host"), F.col("path")).alias("tokens"))
-    found = mined(with_tokens.where("listed is not null").select("tokens", F.col("listed").alias("verdict")), support, confidence)
+    found, classes = mined(with_tokens.where("listed is not null").select("tokens", F.col("listed").alias("verdict")), support, confidence)
     open_urls = with_tokens.where("listed is null and url is not null").groupBy("url").agg(F.first("tokens").alias("tokens"))
-    by_method = judged(open_urls, found)
+    by_method = judged(open_urls, found, classes)
     return rows.join(by_method, "url", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("listed", "method_verdict", F.lit(default)).alias("verdict"),
         F.when(F.col("listed").isNull(), F.col("items")).alias("method_items"), F.when(F.col("listed").isNull(), F.col("confidence")).alias("method_confidence"),

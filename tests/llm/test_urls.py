@@ -1,6 +1,8 @@
 """Listed rules and mined rules against plain Python."""
 
-from itertools import combinations
+import time
+from itertools import combinations, product
+from random import Random
 from urllib.parse import urlsplit
 
 from equiloom.llm import urlrules
@@ -62,10 +64,42 @@ def brute_rules(baskets, support, confidence):
     return {(s, v): c for (s, v), c in out.items() if not any(set(t) < set(s) and w == v and d >= c for (t, w), d in out.items())}
 
 
+def chosen(rules, classes):
+    """Rules over classes as rules over tokens, one token a class."""
+    of = {}
+    for token, name in classes.items():
+        of.setdefault(name, []).append(token)
+    return {(tuple(sorted(some)), r["verdict"]): round(r["confidence"], 9) for r in rules.collect() for some in product(*(of[i] for i in r["items"]))}
+
+
+def test_tokens_of_the_same_urls_are_one_class(spark):
+    rng = Random(4)
+    for _ in range(3):
+        baskets = []
+        for _ in range(30):
+            some = rng.sample(["a", "b", "c", "d"], rng.randrange(5))
+            more = [t for i in some if i in "ab" for t in {"a": ["a2"], "b": ["b2", "b3"]}[i]]
+            baskets.append((["z", *some, *more], rng.choice(["block", "allow", "block"])))
+        found, classes = urlrules.mined(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.1, 0.55)
+        assert {classes[t] for t in ("b", "b2", "b3") if t in classes} <= {"b"} and {classes[t] for t in ("a", "a2") if t in classes} <= {"a"}
+        assert chosen(found, classes) == {k: round(c, 9) for k, c in brute_rules(baskets, 0.1, 0.55).items()}
+
+
+def test_a_deep_path_is_mined_in_no_time(spark):
+    deep = "/".join(f"s{i}" for i in range(30))
+    pages = [(n, f"http://www.example.org/es/{deep}/{n}" if n % 2 else f"http://www.example.org/fr/{n}") for n in range(400)]
+    pages += [(1000, "http://other.net/x/s3"), (1001, "http://other.net/x"), (1002, "http://other.net/fr/s3")]
+    start = time.time()
+    found = {r["page_id"]: r for r in urlrules.verdicts(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert time.time() - start < 60
+    assert [found[n]["verdict"] for n in (1000, 1001)] == ["block", "allow"] and found[1000]["method_confidence"] == 1.0
+
+
 def test_mined_rules(spark):
     baskets = [(["a", "b", "z"], "block")] * 4 + [(["a", "z"], "allow")] * 3 + [(["b", "c", "z"], "block")] * 2 + [(["b", "z"], "allow")] + [(["d", "z"], "allow")] * 2
-    found = urlrules.mined(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.15, 0.6).collect()
-    assert {(tuple(r["items"]), r["verdict"]): round(r["confidence"], 9) for r in found} == {k: round(c, 9) for k, c in brute_rules(baskets, 0.15, 0.6).items()}
+    found, classes = urlrules.mined(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.15, 0.6)
+    assert chosen(found, classes) == {k: round(c, 9) for k, c in brute_rules(baskets, 0.15, 0.6).items()}
+    found = found.collect()
     counts = {i: sum(i in b for b, _ in baskets) for i in "abcd"}
     assert all(counts[r["key"]] == min(counts[i] for i in r["items"]) for r in found)
 

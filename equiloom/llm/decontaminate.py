@@ -13,8 +13,12 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
+from equiloom.functions.ranking import numbered
+from equiloom.llm.common import stored
+
 #: Windows of one automaton; with windows of 10 words this is some 300 MB at most in a worker.
 WINDOWS_AT_ONCE = 250_000
 NOT_WORD = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -81,60 +85,71 @@ def windows_of(benchmark: DataFrame, words: int = 10, item_id: str = "item_id",
     return rows.mapInArrow(cut, "window string, item_id string").distinct()
 
 
-def automata(benchmark: DataFrame, words: int = 10, at_once: int = WINDOWS_AT_ONCE, **columns: str) -> Iterator[tuple[dict[str, list[int]], list[str]]]:
-    """Blocks of windows with the numbers of their items, and the item ids by number. A block has at most ``at_once`` windows."""
-    rows = windows_of(benchmark, words, **columns)
-    grouped = rows.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    block: dict[str, list[str]] = {}
-    size = 0
+def in_blocks(benchmark: DataFrame, words: int = 10, at_once: int = WINDOWS_AT_ONCE, **columns: str) -> tuple[DataFrame, int]:
+    """(window, item_id, block), stored, and the number of blocks. A block has at most ``at_once`` of them; a window many items share may lie in several."""
+    order = [F.col("window"), F.col("item_id")]
+    rows = numbered(windows_of(benchmark, words, **columns), order, "number").withColumn("block", F.floor((F.col("number") - 1) / at_once).cast("int"))
+    placed = stored(rows.drop("number"), "windows")
+    return placed, (placed.agg(F.max("block")).first()[0] or 0) + 1
+
+
+HITS = "n_words long, hit_words array<long>, items array<string>, spans array<struct<start: long, end: long>>"
+
+
+def hits_of(sent: Broadcast, text: str) -> Column:
+    """The words and items of one block's windows in a text; ``sent`` holds the block's (window, item_id)."""
 
-    def numbered() -> tuple[dict[str, list[int]], list[str]]:
-        names = sorted({i for items in block.values() for i in items})
-        number = {name: n for n, name in enumerate(names)}
-        return {w: [number[i] for i in items] for w, items in block.items()}, names
+    @F.pandas_udf(HITS)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names = sorted({item for _, item in sent.value})
+        number, windows = {name: n for n, name in enumerate(names)}, {}
+        for window, item in sent.value:
+            windows.setdefault(window, []).append(number[item])
+        tree = automaton(windows) if windows else None
+        for texts in batches:
+            rows = []
+            for body in texts:
+                count, hit, items = scan(tree, body)
+                spans = [{"start": a, "end": b} for a, b in offsets(body, hit)] if len(hit) else []
+                rows.append((count, hit.tolist(), sorted(names[i] for i in items), spans))
+            yield pd.DataFrame(rows, columns=["n_words", "hit_words", "items", "spans"])
 
-    for row in grouped.toLocalIterator():
-        if block and size + len(row["items"]) > at_once:
-            yield numbered()
-            block, size = {}, 0
-        block[row["window"]] = row["items"]
-        size += len(row["items"])
-    yield numbered()
+    return find(F.col(text).cast("binary"))
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, words: int = 10, text: str = "text", name: str = "hits", at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
     """Adds a struct: n_words, hit_words (word numbers inside any occurrence of a window), items (ids as text, sorted), spans (start, end in characters).
 
     A null or wordless text has no words and no hits. Items without an id or without words take no part; an item
-    that comes twice is one item. An empty benchmark hits nothing.
+    that comes twice is one item. An empty benchmark hits nothing. A benchmark of several blocks of windows is scanned for block by block: driver
+    and tasks hold one, and what each finds is written down and united by row.
     """
     spark = docs.sparkSession
-    kind = "n_words long, hit_words array<long>, items array<string>, spans array<struct<start: long, end: long>>"
-
-    def found_in(block: tuple[dict[str, list[int]], list[str]]) -> Column:
-        sent = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf(kind)
-        def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            windows, names = sent.value
-            tree = automaton(windows) if windows else None
-            for texts in batches:
-                rows = []
-                for body in texts:
-                    count, hit, items = scan(tree, body)
-                    spans = [{"start": a, "end": b} for a, b in offsets(body, hit)] if len(hit) else []
-                    rows.append((count, hit.tolist(), sorted(names[i] for i in items), spans))
-                yield pd.DataFrame(rows, columns=["n_words", "hit_words", "items", "spans"])
-
-        return find(F.col(text).cast("binary"))
-
-    parts = [found_in(block) for block in automata(benchmark, words, at_once)]
-    if len(parts) == 1:
-        return docs.withColumn(name, parts[0])
-    each = [f"{name}__{i}" for i in range(len(parts))]
-    out = docs.withColumns(dict(zip(each, parts, strict=True)))
-    united = {f: F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(c)[f] for c in each))))) for f in ("hit_words", "items", "spans")}
-    return out.withColumn(name, F.struct(F.col(each[0])["n_words"].alias("n_words"), *(v.alias(k) for k, v in united.items()))).drop(*each)
+    placed, count = in_blocks(benchmark, words, at_once)
+
+    def sent(block: int) -> Broadcast:
+        return spark.sparkContext.broadcast([(r["window"], r["item_id"]) for r in placed.where(F.col("block") == block).toLocalIterator()])
+
+    if count == 1:
+        return docs.withColumn(name, hits_of(sent(0), text))
+    row = f"{name}__row"
+    while row in docs.columns:
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "scanned")
+    found = None
+    for block in range(count):
+        held = sent(block)
+        hits = rows.select(row, hits_of(held, text).alias("hits")).select(row, "hits.*")
+        hits = stored(hits if found is None else hits.where(F.size("hit_words") > 0), "hits")  # the first counts every row's words
+        held.destroy()
+        found = hits if found is None else found.unionByName(hits)
+
+    def united(field: str) -> Column:
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(field)))).alias(field)
+
+    # At most one row a block and document.
+    whole = found.groupBy(row).agg(F.max("n_words").alias("n_words"), united("hit_words"), united("items"), united("spans"))
+    return rows.drop(name).join(whole.select(row, F.struct("n_words", "hit_words", "items", "spans").alias(name)), row).select(*(c for c in docs.columns if c != name), name)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:

@@ -52,6 +52,30 @@ def test_hits(spark):
         assert len(covered) == len(row["hits"]["hit_words"])
 
 
+def test_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    items = spark.createDataFrame([(n, "shared words stand in every item") for n in range(7)] + [(90, ITEM)], "item_id long, text string")
+    placed, count = decontaminate.in_blocks(items, at_once=3)
+    sizes = [r["count"] for r in placed.groupBy("block").count().collect()]
+    assert len(sizes) == count > 2 and max(sizes) == 3
+    live, most = set(), []
+    made, real = [], decontaminate.hits_of
+
+    def watched(sent, text):
+        live.add(sent)
+        most.append(len(sent.value))
+        assert len(live) == 1  # the one before has gone
+        made.append(sent)
+        gone = sent.destroy
+        sent.destroy = lambda *a: (live.discard(sent), gone(*a))
+        return real(sent, text)
+
+    monkeypatch.setattr(decontaminate, "hits_of", watched)
+    docs = spark.createDataFrame([(1, "x shared words stand in every item y"), (2, ITEM + " z"), (2, ITEM + " z"), (3, None)], "doc_id long, text string")
+    rows = decontaminate.with_hits(docs, items, at_once=3).collect()
+    assert len(made) == count and max(most) <= 3
+    assert sorted((r["doc_id"], tuple(r["hits"]["items"])) for r in rows) == [(1, tuple("0123456")), (2, ("90",)), (2, ("90",)), (3, ())]
+
+
 def test_columns_stay(spark):
     docs = spark.createDataFrame([(i, t, 0, "h") for i, t in DOCS], "doc_id long, text string, hits__ int, hits string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")

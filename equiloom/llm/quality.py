@@ -46,16 +46,21 @@ def _words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 
 
+def measured(line: Column) -> Column:
+    """What the rules ask of a line, each counted once."""
+    end = F.substring(F.rtrim(line, F.lit(SPACE + CLOSING)), -1, 1)
+    return F.struct(line.alias("line"), _words(line).alias("words"), _count(line, SEPARATORS).alias("separators"), _count(line, MARKS).alias("marks"), end.alias("end"))
+
+
 def broken_rule(line: Column) -> Column:
-    """Name of the first rule a line breaks; null for a line that stays, blank ones included."""
-    words, separators = _words(line), _count(line, SEPARATORS)
-    notice = (words <= SHORT) & line.rlike("(?i)(?:" + "|".join(NOTICES) + ")")
-    menu = line.rlike(r"(?i)^(?:[\x20\x09-\x0D]*(?:" + "|".join(MENU) + r")[,;/\x20\x09-\x0D]*)+$")
+    """Name of the first rule a measured line breaks; null for a line that stays, blank ones included."""
+    words, separators = line["words"], line["separators"]
+    notice = (words <= SHORT) & line["line"].rlike("(?i)(?:" + "|".join(NOTICES) + ")")
+    menu = (words <= SHORT) & line["line"].rlike(r"(?i)^(?:[\x20\x09-\x0D]*(?:" + "|".join(MENU) + r")[,;/\x20\x09-\x0D]*)+$")
     bar = (separators >= 3) & (words <= ITEM_WORDS * (separators + 1) + separators)
-    end = F.substring(F.rtrim(line, F.lit(SPACE + CLOSING)), -1, 1)
     return (
-        F.when(words == 0, F.lit(None)).when(notice, "boilerplate").when(bar | ((words <= SHORT) & menu), "navigation")
-        .when((words >= FEW) & (_count(line, MARKS) > words), "marks").when(~end.isin(*ENDS), "punctuation")
+        F.when(words == 0, F.lit(None)).when(notice, "boilerplate").when(bar | menu, "navigation")
+        .when((words >= FEW) & (line["marks"] > words), "marks").when(~line["end"].isin(*ENDS), "punctuation")
     )
 
 
@@ -93,7 +98,7 @@ def judged(docs: DataFrame, text: str = "text", least: float = 0.5, name: str =
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n")
-    verdicts = F.transform(lines, lambda line, at: F.struct((at + 1).alias("number"), line.alias("line"), broken_rule(line).alias("rule")))
+    verdicts = F.transform(F.transform(lines, measured), lambda x, at: F.struct((at + 1).alias("number"), x["line"].alias("line"), broken_rule(x).alias("rule")))
     worded = F.filter(lines, lambda line: F.length(F.translate(line, SPACE, "")) > 0)
     n_repeat = _repeats(whole.cast("binary"))
     names = []

@@ -28,9 +28,9 @@ def _literal(numbers: list[int]) -> Column:
 
 
 def squared_distance(vector: Column, centroid: list[int]) -> Column:
-    """Of an array of longs to a literal one."""
-    steps = F.zip_with(vector, _literal(centroid), lambda x, c: (x - c) * (x - c))
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
+    """Of an array of longs to a literal one: the sum of (x - c)^2 as x (x - 2c), with that of c^2 to start from."""
+    steps = F.zip_with(vector, _literal([2 * c for c in centroid]), lambda x, double: x * (x - double))
+    return F.aggregate(steps, F.lit(sum(c * c for c in centroid)).cast("long"), lambda total, step: total + step)
 
 
 def nearest(vector: Column, centroids: list[list[int]]) -> Column:

@@ -21,13 +21,9 @@ def of_symbols(facts: DataFrame, listed: DataFrame, key: str = "symbol") -> Data
 
 
 def star_join(base: DataFrame, tables: Sequence[DataFrame], key: str = "symbol") -> DataFrame:
-    """Left joins of one-row-per-key tables.
-
-    Each table comes out of an aggregate by ``key`` and is already partitioned by it, so a
-    merge join needs no further shuffle and waits for no broadcast.
-    """
+    """Left joins of one-row-per-key tables; how each meets the base is left to its size and partitioning."""
     for table in tables:
-        base = base.join(table.hint("merge"), key, "left")
+        base = base.join(table, key, "left")
     return base
 
 

@@ -12,6 +12,16 @@ from equiloom.session import checkpointed, stored
 
 view("days", "SELECT DISTINCT trade_date FROM bars")
 
+#: Fixed values, stated here again so that the SQL does not follow the operators.
+SQL_SCORES = {"VALUE": "value_score", "GROWTH": "growth_score", "DIVIDEND": "dividend_score", "BALANCED": "composite_score"}
+SQL_GRID = {
+    "VALUE": {"pe_weight": [0.2, 0.3, 0.4], "pb_weight": [0.1, 0.2, 0.3], "cash_flow_weight": [0.2, 0.3, 0.4], "fscore_threshold": [5.0, 6.0, 7.0]},
+    "GROWTH": {"revenue_growth_weight": [0.2, 0.3, 0.4], "earnings_growth_weight": [0.2, 0.3, 0.4], "momentum_weight": [0.1, 0.2, 0.3], "quality_threshold": [60.0, 70.0, 80.0]},
+    "DIVIDEND": {"yield_weight": [0.3, 0.4, 0.5], "growth_weight": [0.2, 0.3, 0.4], "payout_ratio_max": [0.5, 0.6, 0.7], "min_years": [5.0, 10.0, 15.0]},
+    "BALANCED": {"value_weight": [0.25, 0.33, 0.4], "growth_weight": [0.25, 0.33, 0.4], "quality_weight": [0.2, 0.34, 0.4], "momentum_weight": [0.0, 0.1, 0.2]},
+}
+SQL_FACTORS = ("value_factor", "growth_factor", "momentum_factor", "quality_factor")
+
 
 def _calendar(name: str, step: str) -> None:
     view(f"{name}_dates", f"SELECT CAST(unnest(generate_series(min(trade_date)::timestamp, max(trade_date)::timestamp, INTERVAL {step})) AS date) AS rebalance_date FROM days")
@@ -37,7 +47,7 @@ _scored("month_scores", "months")
 view("picks", "SELECT * FROM (" + " UNION ALL ".join(f"""
 SELECT '{name}' AS strategy, rebalance_date, symbol, {column} AS score, 0.1 AS weight,
   row_number() OVER (PARTITION BY rebalance_date ORDER BY {column} DESC, symbol) AS pick_no FROM quarter_scores WHERE {column} IS NOT NULL"""
-     for name, column in ev.STRATEGY_SCORES.items()) + ") WHERE pick_no <= 10")
+     for name, column in SQL_SCORES.items()) + ") WHERE pick_no <= 10")
 
 
 def _returns(picks: str, moves: str, gross: str, daily: str) -> None:
@@ -91,9 +101,9 @@ view("newest_scores", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 def _sql_combos(strategy: str) -> str:
     """The parameter grid as a SELECT: nested lists, the last parameter varying fastest."""
-    grid = ev.SCORE_GRID[strategy]
+    grid = SQL_GRID[strategy]
     names = list(grid)
-    froms = ", ".join(f"(SELECT unnest({[float(x) for x in values]}) AS {name}, unnest(range({len(values)})) AS {name}_i)" for name, values in grid.items())
+    froms = ", ".join(f"(SELECT unnest({values}) AS {name}, unnest(range({len(values)})) AS {name}_i)" for name, values in grid.items())
     number = names[0] + "_i"
     for name in names[1:]:
         number = f"({number}) * {len(grid[name])} + {name}_i"
@@ -190,13 +200,13 @@ _walk("VALUE", "")
 WALK = "train_start train_end test_start test_end combo num_stocks rebalance_freq {} train_return* train_sharpe* test_return* test_sharpe* sharpe_degradation* parameter_stability*"
 for _strategy in ("GROWTH", "DIVIDEND", "BALANCED"):
     _walk(_strategy, f"_{_strategy.lower()}")
-    add(f"g38_walk_forward_{_strategy.lower()}", WALK.format(" ".join(f"{p}*" for p in ev.SCORE_GRID[_strategy])), lambda v, s=_strategy: walked(v, s), f"SELECT * FROM walk_best_{_strategy.lower()}")
-VALUE_PARAMETERS = list(ev.SCORE_GRID["VALUE"])
+    add(f"g38_walk_forward_{_strategy.lower()}", WALK.format(" ".join(f"{p}*" for p in SQL_GRID[_strategy])), lambda v, s=_strategy: walked(v, s), f"SELECT * FROM walk_best_{_strategy.lower()}")
+VALUE_PARAMETERS = list(SQL_GRID["VALUE"])
 add("g38_walk_forward", "train_start train_end test_start test_end combo num_stocks rebalance_freq " + " ".join(f"{p}*" for p in VALUE_PARAMETERS)
     + " train_return* train_sharpe* test_return* test_sharpe* sharpe_degradation* parameter_stability*", walked, "SELECT * FROM walk_best")
 TAILS = {"VALUE": "", "GROWTH": "_growth", "DIVIDEND": "_dividend", "BALANCED": "_balanced"}
 view("walk_values", " UNION ALL ".join(
-    f"SELECT '{s}' AS strategy, train_start, rebalance_freq, '{p}' AS parameter, CAST({p} AS double) AS v FROM walk_best{tail}" for s, tail in TAILS.items() for p in [*ev.SCORE_GRID[s], "num_stocks"]))
+    f"SELECT '{s}' AS strategy, train_start, rebalance_freq, '{p}' AS parameter, CAST({p} AS double) AS v FROM walk_best{tail}" for s, tail in TAILS.items() for p in [*SQL_GRID[s], "num_stocks"]))
 add("g39_parameter_stability", "strategy parameter mean* std* min_value* max_value* windows cv* stable", lambda v: of_all_walks(v, lambda walk, s: ev.parameter_stability(walk, s)[0]), """
 SELECT strategy, parameter, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS min_value, max(v) AS max_value, count(*) AS windows,
   coalesce(stddev_pop(v) / nullif(avg(v), 0), 0) AS cv, avg(v) <> 0 AND coalesce(stddev_pop(v) / nullif(avg(v), 0), 0) < 0.3 AS stable FROM walk_values GROUP BY 1, 2 HAVING count(*) > 1""")
@@ -234,7 +244,7 @@ FROM held h LEFT JOIN newest_scores s ON h.symbol = s.symbol""")
 add("g41_factor_attribution", "factor exposure* factor_return* contribution*", lambda v: ev.factor_attribution(v.factor_positions),
     "SELECT *, exposure * factor_return AS contribution FROM (" + " UNION ALL ".join(f"""
 SELECT '{f}' AS factor, avg({f}) AS exposure, coalesce(avg(daily_return) FILTER ({f} > (SELECT median({f}) FROM factor_rows)), 0)
-  - coalesce(avg(daily_return) FILTER ({f} <= (SELECT median({f}) FROM factor_rows)), 0) AS factor_return FROM factor_rows""" for f in ev.FACTORS) + ")")
+  - coalesce(avg(daily_return) FILTER ({f} <= (SELECT median({f}) FROM factor_rows)), 0) AS factor_return FROM factor_rows""" for f in SQL_FACTORS) + ")")
 add("g42_risk_attribution", "level name volatility* weight* risk_contribution*", lambda v: ev.risk_attribution(v.positions), """
 SELECT *, coalesce(volatility * weight, 0) AS risk_contribution FROM (
   SELECT 'position' AS level, CAST(symbol AS varchar) AS name, stddev_samp(daily_return) * sqrt(252) AS volatility, avg(weight) AS weight FROM held GROUP BY symbol UNION ALL

@@ -11,12 +11,15 @@ from equiloom.operators.joins import signals_for_accounts
 from equiloom.plans.registry import add, view
 from equiloom.session import checkpointed
 
-PORTFOLIOS = portfolio.PORTFOLIOS
+#: Fixed values, stated here again so that the SQL does not follow the operators.
+PORTFOLIOS = ("VALUE", "GROWTH", "DIVIDEND")
+SQL_KELLY = {"VALUE": ("value_score", 70), "GROWTH": ("growth_score", 70), "DIVIDEND": ("dividend_score", 70), "BALANCED": ("composite_score", 60)}
+SQL_EXCESS = {"VALUE": 20, "GROWTH": 40, "DIVIDEND": 30}
 
 
 view("kelly_ranked", " UNION ALL ".join(f"""
 SELECT '{name}' AS portfolio_type, symbol, final_position_pct, row_number() OVER (ORDER BY final_position_pct DESC, symbol) AS position_rank
-FROM kelly WHERE {column} >= {least}""" for name, (column, least) in portfolio.KELLY_MINIMUM.items()))
+FROM kelly WHERE {column} >= {least}""" for name, (column, least) in SQL_KELLY.items()))
 add("g11_kelly_allocation", "portfolio_type symbol kelly_position_pct* normalized_position_pct* dollar_allocation* total_positions cash_reserve_pct* position_rank",
     lambda v: portfolio.kelly_allocation(v.kelly), """
 SELECT *, normalized_position_pct / 100 * 100000 AS dollar_allocation FROM (SELECT portfolio_type, symbol, final_position_pct AS kelly_position_pct, position_rank,
@@ -67,7 +70,7 @@ _selected = " UNION ALL ".join(f"""(
 SELECT '{name}' AS portfolio_type, symbol, sector, industry, {name.lower()}_score AS selection_score, row_number() OVER (ORDER BY {name.lower()}_score DESC, symbol) AS selection_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY sector ORDER BY {name.lower()}_score DESC, symbol) AS in_sector FROM (
     SELECT *, row_number() OVER (PARTITION BY industry ORDER BY {name.lower()}_score DESC, symbol) AS in_industry FROM pscores
-    WHERE excess_cash_flow_pct >= {portfolio.MIN_EXCESS_PCT[name]} {"AND dividend_score >= 60" if name == "DIVIDEND" else ""}) WHERE in_industry <= 2) WHERE in_sector <= 3
+    WHERE excess_cash_flow_pct >= {SQL_EXCESS[name]} {"AND dividend_score >= 60" if name == "DIVIDEND" else ""}) WHERE in_industry <= 2) WHERE in_sector <= 3
 ORDER BY 6 LIMIT 10)""" for name in PORTFOLIOS)
 view("selected", _selected)
 SELECTED = "portfolio_type symbol sector industry selection_score* selection_rank"

@@ -86,7 +86,7 @@ SELECT n.symbol, trade_date, return_1m, return_3m, return_6m, return_12m,
   CASE WHEN return_1m IS NOT NULL THEN d1 END AS max_drawdown_1m, CASE WHEN return_3m IS NOT NULL THEN s3 * sqrt(252) END AS volatility_3m,
   CASE WHEN return_3m IS NOT NULL THEN (a3 - 0.03 / 252) / nullif(s3, 0) * sqrt(252) END AS sharpe_3m, CASE WHEN return_3m IS NOT NULL THEN d3 END AS max_drawdown_3m
 FROM n JOIN spread s ON n.symbol = s.symbol AND n.i = s.i JOIN falls f ON n.symbol = f.symbol AND n.i = f.i""")
-MONTHS = technical.OUTPERFORMANCE_MONTHS
+MONTHS = (1, 3, 6, 12, 36)  # fixed values
 _now = "arg_max(close, trade_date)"
 
 

@@ -98,9 +98,9 @@ SELECT symbol, fiscal_date, 'quarterly' AS period_type, revenue, (operating_inco
   CASE WHEN debt > 0 AND equity > 0 THEN debt / equity END AS debt_to_equity, gross_profit / revenue * 100 AS gross_margin, operating_income / revenue * 100 AS operating_margin,
   net_income / revenue * 100 AS net_margin, CASE WHEN b AND equity > 0 THEN net_income * 4 / equity * 100 END AS return_on_equity, CASE WHEN b THEN net_income * 4 / total_assets * 100 END AS return_on_assets
 FROM statement_base""")
-add("k08_parse_overview", "symbol sector industry text_length market_cap$ pe_ratio* price_to_book* dividend_yield* profit_margin* quarterly_earnings_growth* shares_outstanding high_52w* latest_quarter",
-    lambda v: payloads.parse_overview(pf.overview_payloads(v)).withColumn("text_length", F.length("description")), """
-SELECT o.symbol, sector, industry, 80 * length(name) AS text_length, market_cap, CASE WHEN pe_ratio > 0 THEN pe_ratio END AS pe_ratio, pb_ratio AS price_to_book, dividend_yield,
+add("k08_parse_overview", "symbol sector industry description_sha256 market_cap$ pe_ratio* price_to_book* dividend_yield* profit_margin* quarterly_earnings_growth* shares_outstanding high_52w* latest_quarter",
+    lambda v: payloads.parse_overview(pf.overview_payloads(v)).withColumn("description_sha256", F.sha2("description", 256)), """
+SELECT o.symbol, sector, industry, sha256(repeat(name, 80)) AS description_sha256, market_cap, CASE WHEN pe_ratio > 0 THEN pe_ratio END AS pe_ratio, pb_ratio AS price_to_book, dividend_yield,
   CASE WHEN o.symbol % 5 <> 0 THEN profit_margin END AS profit_margin, quarterly_earnings_growth, o.symbol * 1234567 AS shares_outstanding, high_52w,
   CASE WHEN o.symbol % 4 <> 0 THEN DATE '2001-09-30' END AS latest_quarter FROM overview o JOIN universe u ON o.symbol = u.symbol""")
 add("k09_parse_insider", "symbol transaction_date owner_name owner_title transaction_type shares price_per_share total_value is_ceo is_cfo is_director is_officer",

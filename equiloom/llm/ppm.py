@@ -15,6 +15,7 @@ most ``SENT_GRAMS``, and else by a join: each chunk of texts meets those of its
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections import Counter
 from collections.abc import Iterator
@@ -289,7 +290,7 @@ def lm_scores(docs: DataFrame, training: Column, order: int = ORDER, support: fl
     ``training`` says which rows are learnt from. Texts are lower-cased (A-Z). Tokens are words between ASCII white space, and
     one end for each text; base_score is the sum of their log10 ((c + 0.5) / (N + 0.5 (V + 1))). A null text is empty. Without
     training rows all bytes are equally likely and N = V = 0. Repeated rows are learnt from, and scored, once each.
-    Words too rare or long for the tasks' table meet their counts in a join, each text's sum first added up by task.
+    Words too rare for the tasks' table meet their counts in a join, each text's sum first added up by task.
     ``support`` and ``frequent`` say what tasks hold in tables, and change no result.
     """
     spark = docs.sparkSession
@@ -301,7 +302,9 @@ def lm_scores(docs: DataFrame, training: Column, order: int = ORDER, support: fl
     trie = trained_trie(grams.where("n > 0"), order, support)
     missing = missing_probabilities(grams, trie, order)
     mass = tokens + 0.5 * (kinds + 1)
-    common = words.where((F.col("c") >= tokens * frequent) & (F.length("word") <= FREQUENT_BYTES)).collect()
+    # Long words are told by a digest after a blank, which no word holds, so that the table's bytes are bounded whatever their length.
+    name = F.when(F.length("word") <= FREQUENT_BYTES, F.col("word")).otherwise(F.concat(F.lit(b" "), F.unhex(F.md5("word"))))
+    common = words.where(F.col("c") >= tokens * frequent).select(name.alias("word"), "c").collect()
     whole = missing.count() <= SENT_GRAMS
     known = _columns(missing.toArrow()) if whole else None
     sent = spark.sparkContext.broadcast((trie, known, {bytes(r["word"]): float(np.log10((r["c"] + 0.5) / mass)) for r in common}))
@@ -321,6 +324,9 @@ def lm_scores(docs: DataFrame, training: Column, order: int = ORDER, support: fl
                     values = list(map(table.get, found))
                     missed = Counter(w for w, v in zip(found, values, strict=True) if v is None)
                     known = [v for v in values if v is not None]
+                    for word in [w for w in missed if len(w) > FREQUENT_BYTES]:
+                        if (value := table.get(b" " + hashlib.md5(word, usedforsecurity=False).digest())) is not None:
+                            known += [value] * missed.pop(word)
                     # A word has no blank, so the head's key is no word, and heads spread over all partitions.
                     heads.append((row, ids[start + i], not trained[start + i], b" %d" % row, 0, len(found), len(known), sum(known), float(lengths[i])))
                     rare += [(row, None, None, w, n, 0, 0, 0.0, 0.0) for w, n in missed.items()]

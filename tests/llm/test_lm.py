@@ -130,6 +130,21 @@ def test_every_context_counts_at_production_parameters(spark, monkeypatch, sent)
         assert found[n] == pytest.approx(model.score(texts[n].encode()), rel=1e-5)
 
 
+def test_a_long_separator_in_every_text_is_no_join_key(spark, monkeypatch):
+    line = "=" * 300
+    docs = spark.createDataFrame([(n, f"{line} some word{n} {line}") for n in range(40)], "doc_id long, text string")
+    joined = {}
+    for longest in (ppm.FREQUENT_BYTES, 1 << 20):
+        monkeypatch.setattr(ppm, "FREQUENT_BYTES", longest)
+        found = ppm.lm_scores(docs, F.lit(True), order=1, frequent=0.1)
+        joined[longest] = {r["doc_id"]: (r["n_tokens"], r["n_known"], round(r["base_score"], 9)) for r in found.collect()}
+    assert len(joined[1 << 20]) == 40 and joined[ppm.FREQUENT_BYTES] == joined[64]
+    # 40 of each frequent word, 80 lines, 40 ends, 40 words of their own.
+    mass = 200 + 0.5 * (43 + 1)
+    expected = 2 * math.log10(80.5 / mass) + 2 * math.log10(40.5 / mass) + math.log10(1.5 / mass)
+    assert all(v == (5, 5, round(expected, 9)) for v in joined[64].values())
+
+
 def test_kept_contexts_grow_with_the_corpus(spark):
     sizes = []
     for rows in (50, 500):

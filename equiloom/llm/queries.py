@@ -303,3 +303,90 @@ sums AS (
 )
 SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
 FROM basic n JOIN sums USING (prefix) LEFT JOIN children USING (prefix) LEFT JOIN basic p ON p.prefix = n.upper"""
+
+_SQL_STEPS = 15
+_SQL_LONGEST = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1"
+_SQL_DP = ",\n".join(
+    f"""dp{k} AS MATERIALIZED (
+  SELECT b.j, min(p.best + b.top * (b.upto - a.upto) - (b.total - a.total)) AS best, arg_min(a.j, struct_pack(c := p.best + b.top * (b.upto - a.upto) - (b.total - a.total), i := a.j)) AS cut
+  FROM bins b JOIN starts a ON a.j < b.j AND a.j >= {k} JOIN dp{k - 1} p ON p.j = a.j GROUP BY b.j
+)"""
+    for k in range(1, _SQL_STEPS + 1)
+)
+ORACLES["op5_packing"] = f"""
+WITH RECURSIVE texts AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, ({_SQL_LONGEST})::BIGINT AS n_tokens FROM documents),
+widths AS (SELECT *, pow(2, greatest(floor(log2(n_tokens)) - 10, 0))::BIGINT AS width FROM texts),
+grouped AS (SELECT max(n_tokens) AS top, count(*) AS n, sum(n_tokens)::BIGINT AS own FROM widths GROUP BY ceil(n_tokens / width) * width),
+bins AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY top) AS j, top, (sum(n) OVER (ORDER BY top))::BIGINT AS upto, (sum(own) OVER (ORDER BY top))::BIGINT AS total FROM grouped
+),
+starts AS (SELECT 0 AS j, 0 AS upto, 0 AS total UNION ALL SELECT j, upto, total FROM bins),
+dp0 AS MATERIALIZED (SELECT j, top * upto - total AS best, 0 AS cut FROM bins),
+{_SQL_DP},
+tables AS ({" UNION ALL ".join(f"SELECT {k} AS k, * FROM dp{k}" for k in range(_SQL_STEPS + 1))}),
+ends AS (SELECT arg_min(k, struct_pack(b := best, k := k)) AS k, max(j) AS j FROM tables WHERE j = (SELECT max(j) FROM bins)),
+path AS (SELECT k, j FROM ends UNION ALL SELECT path.k - 1, t.cut FROM path JOIN tables t ON t.k = path.k AND t.j = path.j WHERE path.k > 0),
+buckets AS (SELECT path.k AS bucket, top AS boundary FROM path JOIN bins USING (j)),
+placed AS (
+  SELECT row, doc_id, n_tokens, min(bucket) AS bucket, min(boundary) AS boundary FROM texts JOIN buckets ON n_tokens <= boundary GROUP BY row, doc_id, n_tokens
+),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id NULLS FIRST, n_tokens) - 1 AS place, greatest(65536 // boundary, 1) AS capacity FROM placed)
+SELECT doc_id, n_tokens, bucket, boundary, place // capacity AS batch, place % capacity AS slot, boundary - n_tokens AS padding FROM ordered"""
+
+_SQL_REST = "CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END"
+_SQL_LISTED = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+_SQL_FITS = "\n".join(
+    f"    WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r} {v}'"
+    for v, r in sorted(_SQL_LISTED, key=lambda x: -len(x[1]))
+)
+ORACLES["op4_url_filter"] = f"""
+WITH RECURSIVE parts AS (
+  SELECT row_number() OVER () AS row, page_id, url, {_SQL_REST} AS rest FROM pages
+),
+split AS (
+  SELECT row, page_id, url, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(rest, ''), '^[^?#]*\\?([^#]*)', 1) AS query FROM parts
+),
+ruled AS MATERIALIZED (
+  SELECT *, CASE
+{_SQL_FITS}
+  END AS fit FROM split
+),
+listed AS (SELECT row, page_id, url, host, path, nullif(split_part(coalesce(fit, ''), ' ', 1), '') AS rule, nullif(split_part(coalesce(fit, ''), ' ', 2), '') AS listed, query FROM ruled),
+tokens AS MATERIALIZED (
+  SELECT DISTINCT row, url, listed, token FROM (
+    SELECT row, url, listed, 'h:' || unnest(string_split(host, '.')) AS token FROM listed UNION ALL
+    SELECT row, url, listed, 'p:' || unnest(string_split(path, '/')) FROM listed UNION ALL
+    SELECT row, url, listed, 'q:' || split_part(unnest(string_split(query, '&')), '=', 1) FROM listed
+  ) WHERE length(token) > 2
+),
+total AS (SELECT count(*) AS n FROM listed WHERE listed IS NOT NULL),
+useful AS (
+  SELECT token, count(*) AS n, string_agg(row::VARCHAR, ',' ORDER BY row) AS rows FROM tokens WHERE listed IS NOT NULL GROUP BY token
+  HAVING count(*) >= (SELECT n * 0.01::DOUBLE FROM total) AND count(*) < (SELECT n FROM total)
+),
+classes AS MATERIALIZED (SELECT token, min(token) OVER (PARTITION BY rows) AS class FROM useful),
+sets AS MATERIALIZED (
+  SELECT row, any_value(url) AS url, any_value(listed) AS listed, list_sort(list(DISTINCT class)) AS has FROM tokens JOIN classes USING (token) GROUP BY row
+),
+choices(row, step, chosen) AS (
+  SELECT row, 0, []::VARCHAR[] FROM sets
+  UNION ALL SELECT c.row, c.step + 1, unnest([c.chosen, list_append(c.chosen, s.has[c.step + 1])]) FROM choices c JOIN sets s ON c.row = s.row WHERE c.step < len(s.has)
+),
+subsets AS MATERIALIZED (SELECT c.row, s.url, s.listed, c.chosen AS items FROM choices c JOIN sets s ON c.row = s.row WHERE c.step = len(s.has) AND len(c.chosen) > 0),
+having_items AS (SELECT items, count(*) AS n FROM subsets WHERE listed IS NOT NULL GROUP BY items),
+rules AS MATERIALIZED (
+  SELECT items, listed AS verdict, count(*) / any_value(h.n) AS confidence, count(*) / any_value(t.n) AS support
+  FROM subsets JOIN having_items h USING (items), total t WHERE listed IS NOT NULL GROUP BY items, listed
+  HAVING count(*) >= ceil(any_value(t.n) * 0.01::DOUBLE) AND count(*) / any_value(h.n) >= 0.8
+),
+needed AS (
+  SELECT * FROM rules r WHERE NOT EXISTS (
+    SELECT 1 FROM rules g WHERE len(g.items) < len(r.items) AND g.verdict = r.verdict AND g.confidence >= r.confidence AND list_has_all(r.items, g.items))
+),
+best AS (
+  SELECT row, max(struct_pack(confidence := confidence, support := support, verdict := verdict, items := items)) AS b
+  FROM subsets JOIN needed USING (items) WHERE listed IS NULL GROUP BY row
+)
+SELECT page_id, host, path, rule, coalesce(listed, b.verdict, 'allow') AS verdict, b.items AS method_items, b.confidence AS method_confidence
+FROM listed LEFT JOIN best USING (row)"""

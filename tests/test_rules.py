@@ -2,6 +2,7 @@
 
 from datetime import date, datetime, timedelta
 from random import Random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from equiloom.functions.expressions import clamp, iso_date, ladder, number, ratio, sample_kurtosis, sample_skew
 from equiloom.functions.frames import latest_by, trailing_means
 from equiloom.functions.ranking import exact_quantiles, levels, numbered, tied_rank
-from equiloom.operators import aggregates, evaluation, filters, fundamental, joins, portfolio, series, signals, technical
+from equiloom.operators import aggregates, evaluation, filters, fundamental, joins, portfolio, reports, series, signals, technical
+from equiloom.plans.catalog import QUERIES  # noqa: F401 (registers the queries)
+from equiloom.plans.queries_portfolio import SCREENS
 from equiloom.sources import maintenance, payloads
 from equiloom.streaming import ingest
 
@@ -496,3 +499,40 @@ def test_window_sharpe_from_pieces(spark):
                     expected[c, w.train_start] = (total, ((1 + total) ** (252 / len(r)) - 1 - 0.03) / vol if vol > 1e-12 else 0.0)
         assert found.keys() == expected.keys()
         assert all(np.allclose(found[k], expected[k], atol=2e-6) for k in expected)
+
+
+def test_low_risk_screen_takes_all_categories(spark):
+    rows = [(1, "HIGH", 5.0, 0.1), (2, "VERY_HIGH", 4.0, 0.1), (3, "LOW", 3.0, 0.1), (4, "MODERATE", 2.0, 0.1), (5, "LOW", 9.0, -0.1)]
+    risk = spark.createDataFrame(rows, "symbol int, risk_category string, risk_adjusted_score double, annual_return double")
+    assert [r.symbol for r in SCREENS["low_risk"][0](SimpleNamespace(risk=risk)).collect()] == [1, 2, 3, 4]
+    assert [r.symbol for r in reports.low_risk(risk).collect()] == [3]
+
+
+@pytest.mark.parametrize("strategy", evaluation.SCORE_GRID)
+def test_grid_picks_among_many_ties(spark, strategy):
+    rng = Random(strategy)
+    columns = ["value_score", "growth_score", "dividend_score", "momentum_score", "composite_score", "pe_ratio", "price_to_book", "dividend_yield", "payout_ratio", "revenue_growth", "earnings_growth"]
+
+    def row(symbol, date_no):
+        # Some dates have few symbols, and one of them only rows without a positive score.
+        values = [None if date_no == 2 else rng.choice([None, -10.0, 0.0, 0.55, 12.0, 60.0, 65.0, 80.0, 100.0, rng.uniform(-10, 100)]) for _ in columns]
+        return (symbol, day(date_no), *values, rng.choice([None, 4, 5, 6, 9]))
+
+    rows = [row(s, n) for n, symbols in enumerate((400, 9, 30)) for s in range(symbols)]
+    table = spark.createDataFrame(rows, "symbol int, rebalance_date date, " + ", ".join(f"{c} double" for c in columns) + ", fscore int")
+    every = evaluation.parameter_grid_scores(table, strategy)
+    few = evaluation.contenders(table, strategy)
+    n = max(evaluation.PORTFOLIO_GRID[strategy][0])
+    expected, found = {}, {}
+    for r in every.where("score > 0").select("rebalance_date", "combo", "symbol", F.round("score", 8).alias("s")).collect():
+        expected.setdefault((r.rebalance_date, r.combo), []).append((-r.s, r.symbol))
+    for r in evaluation.grid_picks(evaluation.parameter_grid_scores(few, strategy), strategy).collect():
+        found.setdefault((r.rebalance_date, r.combo), {})[r.pick_no] = r.symbol
+    assert found == {k: {i + 1: s for i, (_, s) in enumerate(sorted(v)[:n])} for k, v in expected.items()}
+    assert few.count() <= table.count() and every.count() == 81 * len(rows)
+
+
+def test_walks_trim_tied_rows(spark):
+    rows = [(s, day(0), 50.0, 50.0, 50.0, 50.0) for s in range(200)]
+    table = spark.createDataFrame(rows, "symbol int, rebalance_date date, value_score double, growth_score double, composite_score double, momentum_score double")
+    assert sorted(r.symbol for r in evaluation.contenders(table, "BALANCED").collect()) == list(range(25))

@@ -135,7 +135,7 @@ add("g37_parameter_grid_scores", "strategy combo symbol score*", grid_scores, "
 
 def walks(v, *strategies: str) -> dict[str, DataFrame]:
     """Each strategy's walk; scores, and returns of all their picks, are made once for all."""
-    picks = {s: ev.grid_picks(ev.parameter_grid_scores(v.month_scores, s), s) for s in strategies}
+    picks = {s: ev.grid_picks(ev.parameter_grid_scores(stored(ev.contenders(v.month_scores, s), "contenders"), s), s) for s in strategies}
     moved = ev.picked_returns(list(picks.values()), v.bars, v.months, v.days)
     moved = stored(moved, "picked-returns") if len(strategies) > 1 else moved
     windows = checkpointed(ev.walk_windows(v.days))

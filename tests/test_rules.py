@@ -13,8 +13,9 @@ from equiloom.functions.expressions import clamp, iso_date, ladder, number, rati
 from equiloom.functions.frames import latest_by, trailing_means
 from equiloom.functions.ranking import exact_quantiles, levels, numbered, tied_rank
 from equiloom.operators import aggregates, evaluation, filters, fundamental, joins, portfolio, reports, series, signals, technical
-from equiloom.plans.catalog import QUERIES  # noqa: F401 (registers the queries)
+from equiloom.plans.catalog import QUERIES
 from equiloom.plans.queries_portfolio import SCREENS
+from equiloom.plans.registry import COMPOSED
 from equiloom.sources import maintenance, payloads
 from equiloom.streaming import ingest
 
@@ -536,3 +537,15 @@ def test_walks_trim_tied_rows(spark):
     rows = [(s, day(0), 50.0, 50.0, 50.0, 50.0) for s in range(200)]
     table = spark.createDataFrame(rows, "symbol int, rebalance_date date, value_score double, growth_score double, composite_score double, momentum_score double")
     assert sorted(r.symbol for r in evaluation.contenders(table, "BALANCED").collect()) == list(range(25))
+
+
+@pytest.mark.parametrize("name", ["a17_sector_quality", "c01_ladders", "g07_breakout_score", "g26_update_holdings", "g36_performance_stats", "g38_walk_forward", "k01_merge_latest", "u01_holding_sets", "u02_union_of_portfolios"])
+def test_queries_with_many_readers_store_their_bars(name):
+    assert name in QUERIES and name.startswith(COMPOSED)
+
+
+def test_numbers_without_patterns(spark):
+    texts = [" $1,234.5% ", "%$,", "NONE", "n/a", "-", "-3", "1e3", "x1", None, ",N,ULL$", "$-0.5"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", number(F.col("t")).alias("n"))
+    assert "regexp_replace" not in rows._jdf.queryExecution().toString()
+    assert [r.n for r in rows.orderBy("i").collect()] == [1234.5, None, None, None, None, -3.0, 1000.0, None, None, None, -0.5]

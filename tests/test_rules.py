@@ -549,3 +549,30 @@ def test_numbers_without_patterns(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", number(F.col("t")).alias("n"))
     assert "regexp_replace" not in rows._jdf.queryExecution().toString()
     assert [r.n for r in rows.orderBy("i").collect()] == [1234.5, None, None, None, None, -3.0, 1000.0, None, None, None, -0.5]
+
+
+def test_accounts_meet_signals_without_a_sort_of_the_pairs(spark, capsys):
+    rng = Random(8)
+    kinds = ["BALANCED", "VALUE", "GROWTH", "DIVIDEND", "OTHER", None]
+    accounts = [(i, rng.choice(kinds)) for i in range(60)] + [(7, "VALUE"), (7, "BALANCED"), (None, "GROWTH"), (None, "DIVIDEND")]
+    queue = [(s, rng.choice([*kinds[1:], "BALANCED"]), float(rng.randrange(6))) for s in range(80)]
+    left = spark.createDataFrame(accounts, "account_id long, strategy string")
+    found = joins.signals_for_accounts(left, spark.createDataFrame(queue, "symbol long, portfolio_type string, score double"), 5)
+    assert found.columns == ["portfolio_type", "account_id", "strategy", "symbol", "score", "row_no"]
+    expected = {}
+    for account, strategy in accounts:
+        meets = joins.TYPES if strategy == "BALANCED" else [strategy]
+        expected.setdefault(account, []).extend((-v, s, k) for s, k, v in queue if k is not None and k in meets)
+    expected = sorted(((a, n, *row) for a, rows in expected.items() for n, row in enumerate(sorted(rows)[:5], 1)), key=str)
+    assert sorted(((r["account_id"], r["row_no"], -r["score"], r["symbol"], r["portfolio_type"]) for r in found.collect()), key=str) == expected
+    joins.signals_for_accounts(left, spark.createDataFrame(queue, "symbol long, portfolio_type string, score double"), 5).explain()
+    once = capsys.readouterr().out.split("(_rows")[0]  # the branch of ids that stand once
+    assert "row_number() windowspecdefinition(account_id" not in once
+
+
+def test_shares_that_are_not_read_cost_no_join(spark, capsys):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), (None, 5.0)], "g string, v double")
+    shared = aggregates.share_of_total(rows, ["g"], "v")
+    assert sorted((r["g"], r["v"], r["weight"]) for r in shared.collect()) == [("a", 1.0, 0.25), ("a", 3.0, 0.75), ("b", 2.0, 1.0)]
+    shared.groupBy("g").count().explain()
+    assert "Join" not in capsys.readouterr().out

@@ -1,7 +1,9 @@
 """One row of each class of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands: texts that agree in all ``ROWS`` minima of one of ``BANDS`` bands stand in a bucket. A pair of
-similarity s is missed with probability (1 - s^5)^32: 3 in a million at 0.8, less above. Only links that are verified on the shingles themselves
+Candidates come from the SimHash index first: texts whose fingerprints of five-word shingles are joined by links of ``BITS_APART`` bits or fewer in
+the Gray-order index of ``simhash`` stand in a bucket. Pairs at 0.8 lie up to some 11 bits apart, further than that index can search a large table, so MinHash
+bands add to it: texts that agree in all ``ROWS`` minima of one of ``BANDS`` bands stand in a bucket, too. A pair of
+similarity s is missed by these with probability (1 - s^5)^32: 3 in a million at 0.8, less above. Only links that are verified on the shingles themselves
 join texts, in two steps. First each text is held against the first one of a bucket, which makes one tree of a large group of near copies. Then
 buckets that still hold several trees are cut into blocks of about ``BLOCK`` texts, of which any two meet in a unit of work: there each text looks
 for texts of other trees, by size, then by agreement of minima, then by the shingles. Buckets of one tree are never opened, nor do blocks of
@@ -18,11 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from equiloom.llm.common import stored
-from equiloom.llm.simhash import components
+from equiloom.llm.simhash import components, links, majority
 
 WORDS = 5
 #: Least similarity, as a fraction, so that equality is met without rounding.
 LEAST = (4, 5)
+#: Bits by which linked fingerprints may differ: with four parts of 16 bits an upper node has one in 65,536 of the codes.
+BITS_APART = 3
 BANDS, ROWS = 32, 5
 #: Agreeing minima below which no pair is looked at: 0.8 gives 128 of 160 on average, and fewer than 100 once in a hundred million.
 LEAST_AGREEING = 100
@@ -61,34 +65,46 @@ def digest(text: str) -> Column:
 
 
 def printed(docs: DataFrame) -> DataFrame:
-    """For every row of ``docs`` (doc_id, text): digest of the text, code of its set of shingles, their number, band keys (none without words), a byte of each minimum."""
-    extra = {"digest": F.lit(b""), "code": F.lit(b""), "size": F.lit(0), "bands": F.array(F.lit(0).cast("long")), "signs": F.lit(b"")}
+    """For every row of ``docs`` (doc_id, text): digest of the text, code of its set of shingles, their number, its SimHash fingerprint, band keys (none without words), a byte of each minimum."""
+    extra = {"digest": F.lit(b""), "code": F.lit(b""), "size": F.lit(0), "fingerprint": F.lit(0).cast("long"), "bands": F.array(F.lit(0).cast("long")), "signs": F.lit(b"")}
     schema = docs.select("doc_id", *(c.alias(n) for n, c in extra.items())).schema
     names = ["doc_id", *extra]
 
-    def of(text: bytes | None) -> tuple[bytes, int, list[int], bytes]:
+    def of(text: bytes | None) -> tuple[bytes, int, int, list[int], bytes]:
         found = shingles(text)
         low = minima(found)
-        return xxhash.xxh3_128_digest(found.tobytes()), len(found), band_keys(low) if len(found) else [], low.astype(np.uint8).tobytes()
+        pieces = (found[at:at + SHINGLES_AT_ONCE] for at in range(0, len(found), SHINGLES_AT_ONCE))
+        return xxhash.xxh3_128_digest(found.tobytes()), len(found), majority(pieces), band_keys(low) if len(found) else [], low.astype(np.uint8).tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, tuple[bytes, int, list[int], bytes]] = {}
+            seen: dict[bytes, tuple[bytes, int, int, list[int], bytes]] = {}
             out = []
             for name, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if name not in seen:
                     seen[name] = of(text)
                 out.append(seen[name])
-            types = (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+            types = (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             columns = [pa.array([row[n] for row in out], kind) for n, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     return docs.select("doc_id", digest("text").alias("digest"), F.col("text").cast("binary")).mapInArrow(work, schema)
 
 
+def indexed(codes: DataFrame) -> DataFrame:
+    """(code, band) for ``codes`` (code, fingerprint, bands) with words: the band is that of all fingerprints the SimHash index links."""
+    prints = codes.where(F.size("bands") > 0).select("code", "fingerprint")
+    roots = components(links(prints.select("fingerprint").distinct(), BITS_APART))
+    linked = prints.join(roots, F.col("fingerprint") == F.col("node"), "left")
+    return linked.select("code", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fingerprint")).alias("band"))
+
+
 def buckets(codes: DataFrame) -> DataFrame:
-    """(band, code, first, n): each code of a band that several have, with the band's smallest code and number of codes. Of bands of the same codes one stays."""
-    filed = codes.select("code", F.explode("bands").alias("band"))
+    """(band, code, first, n): each code of a band that several have, with the band's smallest code and number of codes. Of bands of the same codes one stays.
+
+    Bands are those of the SimHash index and of MinHash.
+    """
+    filed = indexed(codes).unionByName(codes.select("code", F.explode("bands").alias("band")))
     shared = filed.groupBy("band").agg(F.count("*").alias("n"), F.min("code").alias("first"), F.max("code").alias("last"), F.bit_xor(F.xxhash64("code")).alias("who")).where("n > 1")
     one = shared.groupBy("n", "first", "last", "who").agg(F.min("band").alias("band"))
     return filed.join(one.select("band", "first", "n"), "band").select("band", "code", "first", "n")
@@ -193,8 +209,8 @@ def links_between(placed: DataFrame, sets: DataFrame, block: int = BLOCK) -> Dat
 
 def classes(docs: DataFrame, prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """(code, class) of every code that links to another; codes reachable by links have one class."""
-    codes = stored(prints.groupBy("code").agg(F.min("digest").alias("digest"), F.first("bands").alias("bands"), F.first("signs").alias("signs")), "codes")
-    filed = stored(buckets(codes.select("code", "bands")), "buckets")
+    codes = stored(prints.groupBy("code").agg(F.min("digest").alias("digest"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.first("signs").alias("signs")), "codes")
+    filed = stored(buckets(codes.select("code", "fingerprint", "bands")), "buckets")
     wanted = codes.join(filed.select("code").distinct(), "code").select("digest", "code", "signs")
     sets = stored(shingled(docs, wanted), "shingles")
     # Each text against one other: the smallest of the first ones of its bands.

@@ -12,7 +12,7 @@ left a node has at most 2^15 different codes, so no node can outgrow a task what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,11 +40,16 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     else:
         shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
     total = max(1, len(found) - words + 1)
-    ones, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    for start in range(0, total, SHINGLES_AT_ONCE):
-        count = min(SHINGLES_AT_ONCE, total - start)
-        hashes = np.fromiter((digest(s, seed) for _, s in zip(range(count), shingles)), "<u8", count)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(count, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    digest, counts = xxhash.xxh64_intdigest, (min(SHINGLES_AT_ONCE, total - start) for start in range(0, total, SHINGLES_AT_ONCE))
+    return majority(np.fromiter((digest(s, seed) for _, s in zip(range(n), shingles)), "<u8", n) for n in counts)
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """Signed code of the bits that are set in over half the 64-bit hashes."""
+    ones, total = np.zeros(BITS, np.int64), 0
+    for hashes in pieces:
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(hashes)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 

@@ -166,6 +166,29 @@ def test_recall_by_similarity(spark, low, high):
     assert left >= {2 * n for n in range(planted)} and len(left) - planted <= 0.01 * planted
 
 
+def test_the_simhash_index_files_texts_that_share_no_band(spark):
+    rows = [(b"a", 0, [1]), (b"b", 0b111, [2]), (b"c", 0b111111, [3]), (b"d", -1, [4]), (b"e", 0, [])]  # three bits apart in a chain, far off, without words
+    codes = spark.createDataFrame([(bytearray(c), f, b) for c, f, b in rows], "code binary, fingerprint long, bands array<long>")
+    found = nearcopies.buckets(codes).collect()
+    assert sorted(bytes(r["code"]) for r in found) == [b"a", b"b", b"c"] and len({r["band"] for r in found}) == 1
+    assert {(bytes(r["first"]), r["n"]) for r in found} == {(b"a", 3)}
+
+
+def test_pairs_within_three_bits_are_found_without_minhash(spark):
+    rng = random.Random(4)
+    words = [f"w{n}" for n in range(5000)]
+    texts = []
+    for _ in range(100):
+        text = rng.choices(words, k=2000)
+        texts += [" ".join(text), " ".join([*text[:-1], "changed"])]
+    prints = nearcopies.printed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    of = {r["doc_id"]: r for r in prints.collect()}
+    near = {n for n in range(0, 200, 2) if ((of[n]["fingerprint"] ^ of[n + 1]["fingerprint"]) & (1 << 64) - 1).bit_count() <= 3}
+    alone = prints.withColumn("bands", F.array(F.monotonically_increasing_id()))
+    band = {bytes(r["code"]): r["band"] for r in nearcopies.buckets(alone.select("code", "fingerprint", "bands")).collect()}
+    assert len(near) > 90 and all(band[bytes(of[n]["code"])] == band[bytes(of[n + 1]["code"])] for n in near)
+
+
 def test_joined_trees_against_all_pairs():
     rng = np.random.default_rng(5)
     for _ in range(20):

@@ -8,7 +8,7 @@ from equiloom.functions.frames import by_symbol
 from equiloom.operators import learning
 from equiloom.operators.series import forward_changes
 from equiloom.plans.registry import add, view
-from equiloom.session import checkpointed
+from equiloom.session import stored
 
 SCORES = ["value_score", "growth_score", "dividend_score", "momentum_score", "composite_score", "pe_ratio", "price_to_book", "dividend_yield"]
 SECTOR_FLAGS = [f"sector_{s}" for s in ("technology", "energy", "industrials", "utilities", "consumer_staples")]
@@ -31,8 +31,8 @@ add("g46_ml_features", "symbol trade_date target* " + " ".join(f"{s}*" for s in
 
 def fitted(v) -> tuple:
     """Trained on the oldest days, held back by the following ones; the newest are left to predict."""
-    parts = learning.split_by_date(checkpointed(features(v)))
-    return learning.train_return_model(parts["train"], learning.feature_names(SCORES), parts["validation"]), parts
+    parts = learning.split_by_date(stored(features(v), "features"))
+    return learning.train_return_model(parts["train"], learning.feature_names(SCORES), parts["validation"], indicators=learning.indicator_names()), parts
 
 
 def trained(v) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from equiloom.functions.expressions import clamp, iso_date, ladder, number, ratio, sample_kurtosis, sample_skew
 from equiloom.functions.frames import latest_by, trailing_means
 from equiloom.functions.ranking import exact_quantiles, levels, numbered, tied_rank
-from equiloom.operators import aggregates, evaluation, filters, fundamental, joins, portfolio, reports, series, signals, technical
+from equiloom.operators import aggregates, evaluation, filters, fundamental, joins, learning, portfolio, reports, series, signals, technical
 from equiloom.plans.catalog import QUERIES
 from equiloom.plans.queries_portfolio import SCREENS
 from equiloom.plans.registry import COMPOSED
@@ -482,6 +482,49 @@ def test_sequences_are_slices_of_chunks(spark, chunk):
     assert found == expected | {("C", 5): ([(200.0 + m, m) for m in range(5)], 1005)} and len(rows) == 36
 
 
+def test_as_of_series_joins_nothing_back(spark):
+    left = [(1, "A", day(0)), (2, "A", day(5)), (2, "A", day(5)), (3, "A", None), (4, None, day(5)), (5, "B", day(9)), (6, "C", day(9))]
+    right = [("A", day(1), 1.0), ("A", day(5), None), ("A", None, 3.0), (None, day(2), 4.0), ("B", day(9), 5.0), ("B", day(10), 6.0)]
+    asked, known = spark.createDataFrame(left, "id int, symbol string, t date"), spark.createDataFrame(right, "symbol string, d date, v double")
+    found = joins.as_of_series(asked, known, "symbol", "t", "d", ["v"])
+    assert sorted(map(str, found.collect())) == sorted(map(str, joins.as_of_join(asked, known, "symbol", "t", "d", ["v"]).collect()))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    targets = asked.select("symbol", F.col("t").alias("trade_date"), F.lit(0.1).alias("target"))
+    scores = known.select("symbol", F.col("d").alias("signal_date"), "v")
+    features = learning.ml_features(targets, scores, ["v"], listing(spark, ("A", "B", "C")))
+    plan = features._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and len(features.collect()) == 6
+
+
+def test_parts_are_cut_at_days_known_beforehand(spark):
+    rows = spark.createDataFrame([(day(n), float(n)) for n in range(100) for _ in range(1 + n % 3)] + [(None, 0.0)], "trade_date date, target double")
+    parts = learning.split_by_date(rows)
+    days = sorted((name, r.a, r.z) for name, df in parts.items() for r in df.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("z")).collect())
+    assert days == [("test", day(80), day(99)), ("train", day(0), day(63)), ("validation", day(64), day(79))]
+    assert not any("ubquery" in df._jdf.queryExecution().optimizedPlan().toString() for df in parts.values())
+
+
+def test_a_rare_indicator_counts_and_scaled_rows_are_stored(spark):
+    """A flag of a tenth of the rows has equal quartiles; scaled by their distance it would be zero in all rows."""
+    rng = Random(5)
+    rows = spark.createDataFrame([(rng.gauss(0, 1), int(n % 10 == 0), (0.2 if n % 10 == 0 else -0.1) + rng.gauss(0, 0.01)) for n in range(600)], "score double, rare int, target double")
+    model = learning.train_return_model(rows, ["rare", "score"], rows, trees=4, indicators=["rare"])
+    assert {r.feature: r.importance > 0.5 for r in learning.importances(model, ["rare", "score"]).collect()} == {"rare": True, "score": False}
+    seen = {r.rare: r.p for r in learning.predict(model, rows).groupBy("rare").agg(F.avg("predicted").alias("p")).collect()}
+    assert seen[1] == pytest.approx(0.2, abs=0.02) and seen[0] == pytest.approx(-0.1, abs=0.02)
+    assert learning.predict(model, rows).columns == ["score", "rare", "target", "predicted"]
+    plan = learning._scaled(model.__class__(model.stages[:-1]), rows)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "UDF" not in plan
+
+
+def test_training_reads_closes_stored_once(spark):
+    from equiloom.plans.derived import Priced
+
+    v = Priced(spark, "/root/testdata/sf0.001")
+    assert v.bars.columns == ["symbol", "trade_date", "close"] and v.bars is v.bars
+    assert "lineitem" not in v.bars._jdf.queryExecution().executedPlan().toString()
+
+
 def test_window_sharpe_from_pieces(spark):
     rng = Random(1)
     returns = [(c, day(n), rng.gauss(0, 0.02) if c else 0.001) for c in (0, 1, 2) for n in range(0, 900, 2)]

@@ -1,5 +1,6 @@
 """Worked examples, edge cases and properties of single operators."""
 
+import re
 from datetime import date, datetime, timedelta
 from random import Random
 from types import SimpleNamespace
@@ -355,6 +356,27 @@ def test_means_recover_from_an_odd_value(spark, odd):
     assert [r.m for r in rows][:5] + [r.m for r in rows][10:] == [1.0] * 21
 
 
+@pytest.mark.parametrize("odd", [None, float("nan"), float("inf"), 1e17])
+def test_wide_means_come_from_sums_of_tens_and_fifties(spark, odd):
+    rng = Random(4)
+    closes = [odd if n in (7, 130) else rng.uniform(10, 20) for n in range(400)]
+    rows = spark.createDataFrame([(s, day(n), x) for s in "AB" for n, x in enumerate(closes if s == "A" else [None, None, *closes[200:270]])], "symbol string, trade_date date, close double")
+    spans = (1, 5, 20, 30, 50, 55, 100, 120, 200, 230)
+    means = trailing_means(rows, {f"m{n}": ("close", n) for n in spans})
+    assert means.columns == [*rows.columns, *(f"m{n}" for n in spans)]
+    frames = [int(n) for n in re.findall(r"specifiedwindowframe\(RowFrame, -(\d+), currentrow", means._jdf.queryExecution().optimizedPlan().toString())]
+    assert max(frames) == 54  # a span no sums of ten make up
+    for symbol, part in means.toPandas().sort_values("trade_date").groupby("symbol"):
+        values = part["close"].tolist()
+        for n in spans:
+            for at, found in enumerate(part[f"m{n}"]):
+                seen = [x for x in values[max(0, at - n + 1):at + 1] if x is not None and not (odd is None and np.isnan(x))]
+                if not seen:
+                    assert pd.isna(found)
+                elif not any(x == odd or (x != x) for x in seen):
+                    assert found == pytest.approx(np.mean(seen), rel=1e-12)
+
+
 def test_quantiles_and_ranks_of_a_hot_value(spark):
     rows = spark.range(0, 20000).select(F.when(F.col("id") % 10 < 9, 0.0).otherwise(F.col("id") / 7).alias("v"), "id")
     values = sorted(r.v for r in rows.collect())

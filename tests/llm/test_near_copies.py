@@ -83,6 +83,24 @@ def test_classes(spark, node_limit):
     assert len(set(zip(expected, found, strict=True))) == len(set(expected))
 
 
+def test_rounds_hold_no_broadcast_and_end_with_stars(spark, monkeypatch):
+    plans, stored = [], simhash.stored
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    chain = spark.createDataFrame([(n, n + 1) for n in range(40)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in simhash.components(chain).collect()} == {(n, 0) for n in range(41)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+    assert all("SortMergeJoin" in p for p in plans[1:])
+    plans.clear()
+    stars = spark.createDataFrame([(7, 1), (1, 9), (4, 3), (3, 4), (5, 5)], "a long, b long")
+    assert sorted((r["node"], r["root"]) for r in simhash.components(stars).collect()) == [(1, 1), (3, 3), (4, 3), (7, 1), (9, 1)]
+    assert len(plans) == 1
+
+
 def test_odd_rows(spark):
     rows = [(5, "a b c d", 1), (2, "A  b\tc d", 2), (2, "other words stand here", 3), (None, "a b c d", 4), (9, None, 5), (7, "", 6), (8, "other words stand here", 7), (8, "other words stand here", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint int")
